@@ -27,7 +27,9 @@ def _nfkc():
     def normalise(texts: pa.Array) -> pa.Array:
         return pc.utf8_normalize(texts, form="NFKC")
 
-    return F.arrow_udf(normalise, T.StringType())
+    # declared non-deterministic so that a later filter on the result is not
+    # turned into a second evaluation of it below the first
+    return F.arrow_udf(normalise, T.StringType()).asNondeterministic()
 
 
 def nfkc(text: Column) -> Column:

@@ -88,7 +88,7 @@ def route_reviews(
     names = F.array(*[F.lit(v) for v in labels])
     text = F.col("review_text")
     found = (
-        reviews.where(F.length(stripped(text)) > 0)
+        reviews.where(text.isNotNull())
         .select(F.col("id").alias("review_id"), text, category_probs(text).alias("_p"))
         .select(
             "review_id",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mendlist import fixed
 from mendlist.operators.common import LIST_ROWS, nest
+from mendlist.storage import settle
 
 
 def check_page(limit: int, offset=0) -> None:
@@ -146,12 +147,14 @@ def reviews_with_aspects(reviews: DataFrame, aspects: DataFrame, features: DataF
 def page_with_aspects(page: DataFrame, aspects: DataFrame, features: DataFrame, per_list=LIST_ROWS) -> DataFrame:
     """A page of reviews, each with the list of all its aspects.
 
-    ``page`` comes from ``newest_page`` (at most 200 rows), so its ids are
-    broadcast and the aspect table is filtered where it lies. A review with
+    ``page`` comes from ``newest_page`` (at most 200 rows). It is stored first,
+    its ids are broadcast, and the aspect table is filtered where it lies and
+    read once. A review with
     more than ``per_list`` aspects comes as several rows, numbered by ``part``.
     """
+    page = settle(page)
     ids = F.broadcast(page.select(F.col("id").alias("review_id")))
-    shown = aspect_rows(aspects.join(ids, "review_id", "left_semi"), features)
+    shown = settle(aspect_rows(aspects.join(ids, "review_id", "left_semi"), features))
     item = F.struct("feature_key", "sentiment", "confidence", "source")
     lists = nest(shown, "review_id", "id", item, "aspects", per_list).withColumnRenamed("review_id", "id")
     empty = F.array().cast("array<struct<feature_key:string,sentiment:string,confidence:double,source:string>>")

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mendlist.storage import settle
+
 BROADCAST_ROWS = 100_000  # narrow rows counted before they are broadcast
 LIST_ROWS = 10_000  # elements per nested list before it is split into parts
 
@@ -20,10 +22,13 @@ def keep_first(df: DataFrame, keys, order_by) -> DataFrame:
     return numbered.where("_n = 1").drop("_n")
 
 
-def counted_broadcast(df: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only where a count shows ``df`` to be small (one count job)."""
-    few = df.limit(rows + 1).count() <= rows
-    return F.broadcast(df) if few else df
+def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint only where ``rows``, a count made before, is small.
+
+    ``df`` should be stored already, so that no long job runs inside the
+    broadcast and its time limit.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def nest(df: DataFrame, key: str, row_id: str, element: Column, name: str, per_list=LIST_ROWS) -> DataFrame:
@@ -34,15 +39,13 @@ def nest(df: DataFrame, key: str, row_id: str, element: Column, name: str, per_l
     first; where no key is that large (the usual case) one shuffle is enough.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > per_list)
-    large = sizes.select(key, F.ceil(F.col("_rows") / per_list).alias("_parts"))
+    large = settle(sizes.select(key, F.ceil(F.col("_rows") / per_list).alias("_parts")))
     n_large = large.count()
     rows = df.select(key, F.col(row_id).alias("_at"), element.alias("_item"))
     if n_large == 0:
         rows = rows.withColumn("part", F.lit(0).cast("bigint"))
     else:
-        if n_large <= BROADCAST_ROWS:
-            large = F.broadcast(large)
-        rows = rows.join(large, key, "left")
+        rows = rows.join(broadcast_if_few(large, n_large), key, "left")
         part = F.pmod(F.xxhash64("_at"), F.coalesce("_parts", F.lit(1)))
         rows = rows.withColumn("part", part).drop("_parts").repartition(key, "part")
     ordered = F.array_sort(F.collect_list(F.struct("_at", "_item")))

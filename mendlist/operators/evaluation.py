@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mendlist import fixed
 from mendlist.functions.gates import sigmoid_value, top_position
 from mendlist.functions.scores import safe_ratio
+from mendlist.functions.text import stripped
 from mendlist.operators.taxonomy import map_category
 from mendlist.operators.training import multi_hot
 
@@ -30,7 +31,7 @@ def gold_category_labels(
 
 def gold_sentiment(polarity: Column) -> Column:
     """Normalised gold sentiment; null for a missing or invalid polarity."""
-    spelled = F.lower(F.trim(polarity))
+    spelled = F.lower(stripped(polarity))
     spelled = F.when(spelled.isin(*fixed.NEUTRAL_SPELLINGS), "neutral").otherwise(spelled)
     return F.when(spelled.isin(*fixed.SENTIMENTS), spelled)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mendlist import fixed
 from mendlist.functions.scores import safe_ratio
-from mendlist.operators.common import counted_broadcast
+from mendlist.operators.common import broadcast_if_few
 from mendlist.storage import settle
 
 PREFIX = 4  # hex digits of the hash that form a bucket
@@ -47,10 +47,14 @@ def strata_check(groups: DataFrame) -> DataFrame:
     """One row: can the groups be stratified by domain?
 
     Needs every domain known, more than one of them, and two groups in each.
+    ``n_mixed`` counts the groups whose rows do not agree on the domain.
     """
-    sizes = groups.groupBy("domain").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("domain").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("agreed")).alias("mixed")
+    )
     return sizes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_groups"),
+        F.coalesce(F.sum("mixed"), F.lit(0)).alias("n_mixed"),
         F.coalesce(F.sum(F.when(F.col("domain").isNull(), F.col("n"))), F.lit(0)).alias("n_unknown"),
         F.count("domain").alias("n_domains"),
         F.min(F.when(F.col("domain").isNotNull(), F.col("n"))).alias("smallest"),
@@ -141,21 +145,20 @@ def assign_splits(
 ) -> DataFrame:
     """``rows`` with a ``split`` column (train / val / test).
 
-    The narrow group table is written once to the shared folder, and two small
-    facts are read on the driver: whether it can be stratified, and whether any
-    group's rows disagree on the domain. Only in the latter case are the rows
-    shuffled to meet their group; otherwise the split is decided row by row.
+    The narrow group table is written once to the shared folder, and the one
+    row of ``strata_check`` is read on the driver. Only where some group's rows
+    disagree on the domain are the rows joined with their group; otherwise the
+    split is decided row by row, without moving the rows.
     """
     groups = settle(group_domains(rows, order_by, key, domain))
     facts = strata_check(groups).first()
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
     stratum = F.col("domain") if facts["usable"] else F.lit("")
-    borders = counted_broadcast(
-        settle(_borders(groups.select(stratum.alias("stratum"), hashed.alias("h")), test, val))
-    )
+    borders = settle(_borders(groups.select(stratum.alias("stratum"), hashed.alias("h")), test, val))
+    borders = broadcast_if_few(borders, facts["n_domains"] if facts["usable"] else 1)
     if not facts["usable"]:
         placed = rows.withColumn("_stratum", F.lit(""))
-    elif groups.where(~F.col("agreed")).isEmpty():
+    elif facts["n_mixed"] == 0:
         placed = rows.withColumn("_stratum", F.col(domain))
     else:
         placed = rows.join(groups.select(key, F.col("domain").alias("_stratum")), key)
@@ -176,7 +179,8 @@ def split_report(rows: DataFrame) -> DataFrame:
 
 def straddling_groups(rows: DataFrame, key="group_key") -> DataFrame:
     """One row: groups, and how many of them lie in more than one split (0 when right)."""
-    per_group = rows.groupBy(key).agg((F.min("split") != F.max("split")).alias("straddles"))
+    code = F.when(F.col("split") == "train", 1).when(F.col("split") == "val", 2).otherwise(4)
+    per_group = rows.groupBy(key).agg((F.bit_count(F.bit_or(code)) > 1).alias("straddles"))
     return per_group.agg(
         F.count("*").alias("n_groups"), F.count_if("straddles").alias("n_straddling")
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendlist.functions.text import stripped
 from mendlist.sources.literals import category_features
 
 
@@ -34,7 +35,7 @@ def map_category(rows: DataFrame, category: Column, mapping=None) -> DataFrame:
     text, so it is broadcast.
     """
     table = category_features(rows.sparkSession, mapping).withColumn("_matched", F.lit(True))
-    keyed = rows.withColumn("category_key", F.lower(F.trim(category)))
+    keyed = rows.withColumn("category_key", F.lower(stripped(category)))
     joined = keyed.join(F.broadcast(table), "category_key", "left")
     outcome = (
         F.when(F.col("feature_key").isNotNull(), "mapped")

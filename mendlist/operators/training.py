@@ -154,22 +154,26 @@ def category_examples(labels: DataFrame, progress: DataFrame, vocabulary=fixed.L
 def category_pos_weights(records: DataFrame, vocabulary=fixed.LABELS, labels="labels") -> DataFrame:
     """(label, positives, total, weight): negatives over positives, capped.
 
-    One scan and one shuffle of label counts: the null entry added to every
-    label list counts the records.
+    One scan: an extra entry ``""`` added to every label list counts the
+    records. Counts are combined within the map tasks, so the shuffle carries
+    at most one row per label and task.
     """
+    known = F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isin(*vocabulary))
     # a record counts once per label, however often its list repeats it
-    entries = F.array_distinct(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(labels, F.array().cast("array<string>"))))
+    entries = F.array_distinct(F.concat(F.array(F.lit("")), known))
     counts = records.select(F.explode(entries).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-    total = F.coalesce(counts.where("label IS NULL").select("n").scalar(), F.lit(0))
-    vocab = F.broadcast(label_table(records.sparkSession, vocabulary).select("label"))
-    positives = F.coalesce("n", F.lit(0))
-    joined = counts.where("label IS NOT NULL").join(vocab, "label", "right")
-    ratio = (total - positives).cast("double") / (positives.cast("double") + fixed.WEIGHT_EPSILON)
-    return joined.select(
+    vocab = F.broadcast(label_table(records.sparkSession, ("", *vocabulary)).select("label"))
+    n = F.coalesce("n", F.lit(0))
+    # one row per vocabulary entry from here on
+    joined = counts.join(vocab, "label", "right").select(
         "label",
-        positives.alias("positives"),
-        total.alias("total"),
-        F.least(ratio, F.lit(fixed.POS_WEIGHT_CAP)).alias("weight"),
+        n.alias("positives"),
+        F.max(F.when(F.col("label") == "", n)).over(W.partitionBy()).alias("total"),
+    )
+    positives = F.col("positives")
+    ratio = (F.col("total") - positives).cast("double") / (positives.cast("double") + fixed.WEIGHT_EPSILON)
+    return joined.where("label <> ''").select(
+        "label", "positives", "total", F.least(ratio, F.lit(fixed.POS_WEIGHT_CAP)).alias("weight")
     )
 
 

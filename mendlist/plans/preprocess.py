@@ -18,15 +18,16 @@ def prepared_reviews(
     test=fixed.TEST_SHARE,
     val=fixed.VAL_SHARE,
     seed=fixed.SPLIT_SEED,
+    store_at=None,
 ) -> DataFrame:
     """Cleaned, deduplicated reviews with their split.
 
     Of equal texts in an app the first by (domain, text, id) stays, which is the
     order in which an annotated CSV is loaded. The clean rows are written once
-    to the shared folder, as the split reads them more than once.
+    (at ``store_at``, else in the shared folder), as the split reads them twice.
     """
     kept = dedup_reviews(clean_reviews(reviews), ["domain", "review_text", "id"])
-    kept = settle(kept.withColumn("group_key", group_key()))
+    kept = settle(kept.withColumn("group_key", group_key()), store_at)
     return assign_splits(kept, test=test, val=val, seed=seed).drop("group_key")
 
 
@@ -42,7 +43,8 @@ def training_tables(prepared: DataFrame, annotations: DataFrame) -> dict[str, Da
 
 def preprocess(spark: SparkSession, tables: Tables, **split_options) -> dict[str, int]:
     """Write splits and training records; returns rows per split."""
-    write_splits(prepared_reviews(read_raw_reviews(spark, tables.reviews), **split_options), tables.splits)
+    raw = read_raw_reviews(spark, tables.reviews)
+    write_splits(prepared_reviews(raw, store_at=tables.clean, **split_options), tables.splits)
     prepared = spark.read.parquet(tables.splits)
     annotations = spark.read.parquet(tables.annotations)
     records = training_tables(prepared, annotations)

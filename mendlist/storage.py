@@ -31,13 +31,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there afterwards.
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` once and read it from there afterwards.
 
-    Used for narrow results that several later steps read; the copy survives
-    the loss of executors.
+    Cuts the lineage of results that several later steps read; the copy
+    survives the loss of executors. Without ``path`` it lies in the shared
+    folder, under a name no other run uses, and may be deleted after the run.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, "settled")
-    df.write.mode("errorifexists").parquet(path)
+    path = path or fresh_path(spark, "settled")
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -577,6 +577,7 @@ def split_accounting(d):
     "split_strata_check",
     f"""WITH {R.TURN_GROUPS}, sizes AS (SELECT domain, count(*) AS n FROM groups GROUP BY domain)
     SELECT CAST(sum(n) AS BIGINT) AS n_groups, CAST(coalesce(sum(n) FILTER (domain IS NULL), 0) AS BIGINT) AS n_unknown,
+    (SELECT count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) > 1)) AS n_mixed,
     count(domain) AS n_domains, min(n) AS smallest,
     CAST(count(domain) > 1 AND bool_and(domain IS NOT NULL) AND min(n) >= 2 AS BIGINT) AS usable FROM sizes""",
 )

@@ -134,6 +134,10 @@ def _borders(groups: DataFrame, test: float, val: float) -> DataFrame:
     return shares.select("stratum").join(last, "stratum", "left").na.fill("", ["test_to", "val_to"])
 
 
+def _split(h, test_to, val_to):
+    return F.when(h <= test_to, "test").when(h <= val_to, "val").otherwise("train")
+
+
 def assign_splits(
     rows: DataFrame,
     order_by="id",
@@ -146,7 +150,8 @@ def assign_splits(
     """``rows`` with a ``split`` column (train / val / test).
 
     The narrow group table is written once to the shared folder, and the one
-    row of ``strata_check`` is read on the driver. Only where some group's rows
+    row of ``strata_check`` is read on the driver (as is the one border row
+    where there is a single stratum). Only where some group's rows
     disagree on the domain are the rows joined with their group; otherwise the
     split is decided row by row, without moving the rows.
     """
@@ -155,19 +160,16 @@ def assign_splits(
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
     stratum = F.col("domain") if facts["usable"] else F.lit("")
     borders = settle(_borders(groups.select(stratum.alias("stratum"), hashed.alias("h")), test, val))
-    borders = broadcast_if_few(borders, facts["n_domains"] if facts["usable"] else 1)
-    if not facts["usable"]:
-        placed = rows.withColumn("_stratum", F.lit(""))
-    elif facts["n_mixed"] == 0:
+    if not facts["usable"]:  # one stratum: its borders are two constants
+        ends = borders.first() or {"test_to": "", "val_to": ""}
+        return rows.withColumn("split", _split(hashed, F.lit(ends["test_to"]), F.lit(ends["val_to"])))
+    borders = broadcast_if_few(borders, facts["n_domains"])
+    if facts["n_mixed"] == 0:
         placed = rows.withColumn("_stratum", F.col(domain))
     else:
         placed = rows.join(groups.select(key, F.col("domain").alias("_stratum")), key)
     placed = placed.join(borders.withColumnRenamed("stratum", "_stratum"), "_stratum")
-    split = (
-        F.when(hashed <= F.col("test_to"), "test")
-        .when(hashed <= F.col("val_to"), "val")
-        .otherwise("train")
-    )
+    split = _split(hashed, F.col("test_to"), F.col("val_to"))
     return placed.withColumn("split", split).select(*rows.columns, "split")
 
 

@@ -83,15 +83,29 @@ def sentiment_records(master: DataFrame) -> DataFrame:
     ).select("review_id", "aspect", "text", "label", *rest)
 
 
+def _label_entries(labels, vocabulary) -> Column:
+    """The known labels of a record, each once, and ``""`` for the record itself."""
+    labels = F.coalesce(labels, F.array().cast("array<string>"))
+    known = F.filter(labels, lambda x: x.isin(*vocabulary))
+    return F.array_distinct(F.concat(F.array(F.lit("")), known))
+
+
 def label_histogram(records: DataFrame, vocabulary=fixed.LABELS) -> DataFrame:
-    """Records per (split, label), 0 for labels a split lacks."""
-    counts = records.select("split", F.explode("labels").alias("label")).groupBy("split", "label").agg(
-        F.count("*").alias("n")
+    """Records per (split, label), 0 for labels a split lacks.
+
+    One scan, one shuffle of counts; a split's counts then form a map of at
+    most the vocabulary, from which every label is read.
+    """
+    counts = (
+        records.select("split", F.explode(_label_entries(F.col("labels"), vocabulary)).alias("label"))
+        .groupBy("split", "label")
+        .agg(F.count("*").alias("n"))
     )
-    grid = records.select("split").distinct().select(
-        "split", F.explode(F.array(*[F.lit(v) for v in vocabulary])).alias("label")
+    per_split = counts.groupBy("split").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("_n")
     )
-    return grid.join(counts, ["split", "label"], "left").na.fill(0, ["n"])
+    rows = per_split.select("split", "_n", F.explode(F.array(*[F.lit(v) for v in vocabulary])).alias("label"))
+    return rows.select("split", "label", F.coalesce(F.try_element_at("_n", "label"), F.lit(0)).alias("n"))
 
 
 def sentiment_histogram(records: DataFrame) -> DataFrame:
@@ -158,9 +172,7 @@ def category_pos_weights(records: DataFrame, vocabulary=fixed.LABELS, labels="la
     records. Counts are combined within the map tasks, so the shuffle carries
     at most one row per label and task.
     """
-    known = F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isin(*vocabulary))
-    # a record counts once per label, however often its list repeats it
-    entries = F.array_distinct(F.concat(F.array(F.lit("")), known))
+    entries = _label_entries(F.col(labels), vocabulary)
     counts = records.select(F.explode(entries).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
     vocab = F.broadcast(label_table(records.sparkSession, ("", *vocabulary)).select("label"))
     n = F.coalesce("n", F.lit(0))

@@ -892,8 +892,12 @@ def letter_sentiments():
 
 
 def _letter_features(d):
-    """The features of the stand-in model that have a display name: those in English texts."""
-    return d.documents.where("lang = 'en'").select(F.lit("electric").alias("feature_key"), F.lit("Power").alias("display_name")).distinct()
+    """Features with a display name; only one of them is a label of the stand-in model."""
+    english = F.col("lang") == "en"
+    return d.documents.select(
+        F.when(english, "electric").otherwise(F.col("lang")).alias("feature_key"),
+        F.when(english, "Power").otherwise(F.col("lang")).alias("display_name"),
+    ).distinct()
 
 
 def _count(c, text="text"):
@@ -1127,27 +1131,41 @@ _ITEMS = f"""items AS (
 rows_ AS (SELECT 'l' || i AS label, p, i = label AS t FROM items)"""
 
 
-def _per_label(threshold):
-    return f"""{_ITEMS}, c AS (SELECT label, count(*) FILTER (p >= {threshold} AND t) AS tp, count(*) FILTER (p >= {threshold} AND NOT t) AS fp,
-      count(*) FILTER (p < {threshold} AND t) AS fn, count(*) FILTER (t) AS support FROM rows_ GROUP BY label),
-    m AS (SELECT *, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS pr, coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0) AS rc,
-      coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0) AS f1 FROM c)"""
-
-
-@query(
-    "category_metrics",
-    f"""WITH {_per_label(0.55)}, k AS (SELECT * FROM m WHERE support > 0)
-    SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
-      SELECT 'precision_micro' AS metric, coalesce(sum(tp) / CAST(nullif(sum(tp + fp), 0) AS DOUBLE), 0) AS value FROM k
-      UNION ALL SELECT 'recall_micro', coalesce(sum(tp) / CAST(nullif(sum(tp + fn), 0) AS DOUBLE), 0) FROM k
-      UNION ALL SELECT 'f1_micro', coalesce(2 * sum(tp) / CAST(nullif(2 * sum(tp) + sum(fp) + sum(fn), 0) AS DOUBLE), 0) FROM k
-      UNION ALL SELECT 'precision_macro', avg(pr) FROM k
+# counts of a table c(label, tp, fp, fn) turned into rates
+_RATES = """m AS (SELECT *, tp + fn AS support, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS pr,
+      coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0) AS rc,
+      coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0) AS f1 FROM c),
+    k AS (SELECT * FROM m WHERE support > 0)"""
+_MACRO = """SELECT 'precision_macro' AS metric, avg(pr) AS value FROM k
       UNION ALL SELECT 'recall_macro', avg(rc) FROM k
       UNION ALL SELECT 'f1_macro', avg(f1) FROM k
-      UNION ALL SELECT 'optimal_threshold', 0.55
       UNION ALL SELECT 'f1_' || label, f1 FROM m
-      UNION ALL SELECT 'support_' || label, support FROM m)""",
-)
+      UNION ALL SELECT 'support_' || label, support FROM m"""
+_MICRO = """SELECT 'precision_micro' AS metric, coalesce(sum(tp) / CAST(nullif(sum(tp + fp), 0) AS DOUBLE), 0) AS value FROM k
+      UNION ALL SELECT 'recall_micro', coalesce(sum(tp) / CAST(nullif(sum(tp + fn), 0) AS DOUBLE), 0) FROM k
+      UNION ALL SELECT 'f1_micro', coalesce(2 * sum(tp) / CAST(nullif(2 * sum(tp) + sum(fp) + sum(fn), 0) AS DOUBLE), 0) FROM k"""
+
+
+def label_metrics_sql(counts: str, threshold: float) -> str:
+    """Multi-label metrics over CTEs ending in c(label, tp, fp, fn)."""
+    return f"""WITH {counts}, {_RATES} SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
+      {_MICRO} UNION ALL {_MACRO} UNION ALL SELECT 'optimal_threshold', {threshold})"""
+
+
+def class_metrics_sql(guesses: str) -> str:
+    """3-class metrics over CTEs ending in v(truth, guess)."""
+    return f"""WITH {guesses}, c AS (SELECT label, count(*) FILTER (truth = i AND guess = i) AS tp,
+      count(*) FILTER (truth <> i AND guess = i) AS fp, count(*) FILTER (truth = i AND guess <> i) AS fn
+      FROM v, (VALUES (0, 'negative'), (1, 'neutral'), (2, 'positive')) n(i, label) GROUP BY 1), {_RATES}
+    SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
+      SELECT 'accuracy' AS metric, sum(tp) / CAST(sum(support) AS DOUBLE) AS value FROM m UNION ALL {_MACRO})"""
+
+
+_LABEL_COUNTS = f"""{_ITEMS}, c AS (SELECT label, count(*) FILTER (p >= 0.55 AND t) AS tp,
+    count(*) FILTER (p >= 0.55 AND NOT t) AS fp, count(*) FILTER (p < 0.55 AND t) AS fn FROM rows_ GROUP BY label)"""
+
+
+@query("category_metrics", label_metrics_sql(_LABEL_COUNTS, 0.55))
 def category_metrics(d):
     return E.category_metrics(d.category_outputs, NAMES, 0.55).select("metric", r6("value"))
 
@@ -1175,22 +1193,11 @@ def threshold_sweep(d):
     return E.best_threshold(d.category_outputs, NAMES).select("threshold", r6("f1_macro"))
 
 
-@query(
-    "sentiment_metrics",
-    f"""WITH v AS (SELECT CASE WHEN label < 3 THEN 0 WHEN label < 6 THEN 1 ELSE 2 END AS truth,
-      list_position(x, list_max(x)) - 1 AS guess FROM (SELECT label, {_SENTIMENT_LOGITS} AS x FROM embeddings)),
-    c AS (SELECT i, name, count(*) FILTER (truth = i AND guess = i) AS tp, count(*) FILTER (truth <> i AND guess = i) AS fp,
-      count(*) FILTER (truth = i AND guess <> i) AS fn FROM v, (VALUES (0, 'negative'), (1, 'neutral'), (2, 'positive')) n(i, name) GROUP BY 1, 2),
-    m AS (SELECT *, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0) AS pr, coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0) AS rc,
-      coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0) AS f1, tp + fn AS support FROM c)
-    SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
-      SELECT 'accuracy' AS metric, sum(tp) / CAST(sum(support) AS DOUBLE) AS value FROM m
-      UNION ALL SELECT 'precision_macro', avg(pr) FROM m WHERE support > 0
-      UNION ALL SELECT 'recall_macro', avg(rc) FROM m WHERE support > 0
-      UNION ALL SELECT 'f1_macro', avg(f1) FROM m WHERE support > 0
-      UNION ALL SELECT 'f1_' || name, f1 FROM m
-      UNION ALL SELECT 'support_' || name, support FROM m)""",
-)
+_GUESSES = f"""v AS (SELECT CASE WHEN label < 3 THEN 0 WHEN label < 6 THEN 1 ELSE 2 END AS truth,
+      list_position(x, list_max(x)) - 1 AS guess FROM (SELECT label, {_SENTIMENT_LOGITS} AS x FROM embeddings))"""
+
+
+@query("sentiment_metrics", class_metrics_sql(_GUESSES))
 def sentiment_metrics(d):
     return E.sentiment_metrics(d.sentiment_outputs).select("metric", r6("value"))
 
@@ -1315,12 +1322,29 @@ def _digit_scores():
     return load
 
 
-@query("eval_report_roundtrip")
+_GOLD_COUNTS = f"""{R.ANNOTATED}, {_MAPPED}, g AS (SELECT id, sentence, coalesce(bool_or(feature_key = 'cost'), false) AS cost,
+      coalesce(bool_or(feature_key = 'usability'), false) AS usability FROM mapped GROUP BY 1, 2),
+    rows_ AS (SELECT 'cost' AS label, contains(sentence, '0') AS p, cost AS t FROM g
+      UNION ALL SELECT 'safety', contains(sentence, '1'), false FROM g
+      UNION ALL SELECT 'usability', contains(sentence, '2'), usability FROM g),
+    c AS (SELECT label, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp,
+      count(*) FILTER (NOT p AND t) AS fn FROM rows_ GROUP BY label)"""
+_GOLD_GUESSES = f"""{R.ANNOTATED}, {_MAPPED}, x AS (SELECT sentiment, {_count('0', 'sentence')} AS a,
+      {_count('1', 'sentence')} AS b, {_count('2', 'sentence')} AS c FROM mapped WHERE feature_key IS NOT NULL),
+    v AS (SELECT CASE sentiment WHEN 'negative' THEN 0 WHEN 'N/A' THEN 1 ELSE 2 END AS truth,
+      CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS guess FROM x)"""
+
+
+@query(
+    "eval_report_roundtrip",
+    f"""SELECT 'category' AS task, * FROM ({label_metrics_sql(_GOLD_COUNTS, 0.5)})
+    UNION ALL SELECT 'sentiment', * FROM ({class_metrics_sql(_GOLD_GUESSES)})""",
+)
 def eval_report_roundtrip(d):
     reviews, notes = _gold_inputs(d)
     path = fresh_path(d.spark, "eval-report")
     category = A.scorer(_digit_scores())
-    return evaluate(
+    report = evaluate(
         d.spark,
         reviews,
         notes,
@@ -1331,6 +1355,7 @@ def eval_report_roundtrip(d):
         ("cost", "safety", "usability"),
         mapping=MAPPING,
     )
+    return report.select("task", "metric", r6("value"))
 
 
 @query("baseline_model_scores")

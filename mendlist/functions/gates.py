@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mendlist import fixed
+from mendlist.functions.binding import bound
 
 
 def sigmoid_value(x: Column, clip=None) -> Column:
@@ -19,20 +20,15 @@ def sigmoid(logits: Column, clip=None) -> Column:
     return F.transform(logits, lambda x: sigmoid_value(x, clip))
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, not once per element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def softmax(logits: Column) -> Column:
     def shares(powers):
         total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-        return _bound(total, lambda t: F.transform(powers, lambda x: x / t))
+        return bound(total, lambda t: F.transform(powers, lambda x: x / t))
 
     def powers(top):
         return F.transform(logits, lambda x: F.exp(x - top))
 
-    return _bound(_bound(F.array_max(logits), powers), shares)
+    return bound(bound(F.array_max(logits), powers), shares)
 
 
 def decision_confidence(probs: Column, threshold=fixed.DECISION_THRESHOLD) -> Column:

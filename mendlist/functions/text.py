@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The characters that count as white space, as a regex class body.
-SPACE = (
-    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The characters that count as white space, as themselves, as a
+# regex class body, and the part that is left of them after NFKC.
+SPACES = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NFKC_SPACE = r"\t-\r\x1c-\x20\x85\u1680\u2028\u2029"
 
 # Characters that NFKC leaves alone, each by itself and in any sequence: ASCII,
 # Latin-1 letters, basic Cyrillic, kana, unified CJK, Hangul syllables, plain
@@ -42,27 +46,34 @@ def nfkc(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Readable one-line text; null becomes the empty string."""
+    """Readable one-line text; null becomes the empty string.
+
+    Every step reads its input once, no pattern backtracks over a long run, and
+    classes name the printable ASCII characters first, which most text is made of.
+    """
     text = nfkc(F.coalesce(text.cast("string"), F.lit("")))
     text = F.regexp_replace(text, r"<[^>]+>", " ")
-    text = F.regexp_replace(text, rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+", " ")
-    # an address always fills a whole blank-free run, so only run starts are tried
-    text = F.regexp_replace(
-        text, rf"(?<![^{SPACE}])[^{SPACE}]+@[^{SPACE}]+\.[^{SPACE}]+", " "
-    )
-    text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
-    text = F.regexp_replace(text, r"([!?.])\1{2,}", "$1$1")
-    return one_spaced(text)
-
-
-def one_spaced(text: Column) -> Column:
-    """White space runs become one space; none is left at either end."""
-    return F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    black = rf"[\x21-\x7e[^{NFKC_SPACE}]]"
+    text = F.regexp_replace(text, rf"(?:https?://|www\.){black}++", " ")
+    # an address always fills a whole blank-free run: one starting with a first
+    # character, an @ later on, and a dot inside what follows the first such @
+    to_at = rf"[\x21-\x3f\x41-\x7e[^{NFKC_SPACE}@]]*+"
+    to_dot = rf"[\x21-\x2d\x2f-\x7e[^{NFKC_SPACE}.]]*+"
+    text = F.regexp_replace(text, rf"(?<!{black}){black}{to_at}@{black}{to_dot}\.{black}++", " ")
+    # control characters and white space together become single spaces
+    gap = r"\x00-\x1f\x7f\x85\u1680\u2028\u2029"
+    text = F.regexp_replace(text, rf"[[^\x21-\x7e]&&[{gap} ]]{{2,}}|[[^\x20-\x7e]&&[{gap}]]", " ")
+    return F.trim(F.regexp_replace(text, r"([!?.])\1{2,}", "$1$1"))
 
 
 def stripped(text: Column) -> Column:
     """White space (of any kind) removed at both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def has_text(text: Column) -> Column:
+    """True where anything but white space is left; false for null."""
+    return F.coalesce(text.rlike(rf"[\x21-\x7e[^{SPACE}]]"), F.lit(False))
 
 
 def near_text(text: Column) -> Column:
@@ -70,7 +81,8 @@ def near_text(text: Column) -> Column:
 
     Text in other scripts becomes the empty string.
     """
-    return one_spaced(F.regexp_replace(F.lower(text), rf"[^a-z0-9{SPACE}]", ""))
+    kept = F.regexp_replace(F.lower(text), rf"[^a-z0-9{SPACE}]+", "")
+    return F.trim(F.regexp_replace(kept, r"[^a-z0-9]+", " "))
 
 
 def fingerprint(text: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from mendlist import fixed
 from mendlist.functions import gates
+from mendlist.functions.binding import bound
 from mendlist.functions.scores import safe_ratio
-from mendlist.functions.text import stripped
+from mendlist.functions.text import has_text
 from mendlist.operators.ingest import stable_id
 from mendlist.operators.taxonomy import with_display_name
 
@@ -20,27 +21,30 @@ _TAG = "struct<feature_key:string,sentiment:string,confidence:double>"
 
 def keyword_tags(text: Column) -> Column:
     """Aspects found by case-insensitive substring rules; a default when none hits."""
-    lower = F.lower(text)
-    has = lambda word: F.contains(lower, F.lit(word))
-    found = []
-    for feature, words, sentiment, confidence in fixed.KEYWORD_RULES:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | has(word)
-        mood = F.lit(sentiment)
-        if fixed.UPLIFT_WORD in words:
-            mood = F.when(has(fixed.UPLIFT_WORD), "positive").otherwise(mood)
-        tag = F.struct(F.lit(feature), mood, F.lit(confidence)).cast(_TAG)
-        found.append(F.when(hit, tag))
-    tags = F.array_compact(F.array(*found))
-    default = F.struct(*[F.lit(v) for v in fixed.NO_KEYWORD]).cast(_TAG)
-    return F.when(F.size(tags) > 0, tags).otherwise(F.array(default))
+
+    def found(lower):
+        tags = []
+        for feature, words, sentiment, confidence in fixed.KEYWORD_RULES:
+            hit = F.lit(False)
+            for word in words:
+                hit = hit | F.contains(lower, F.lit(word))
+            mood = F.lit(sentiment)
+            if fixed.UPLIFT_WORD in words:
+                mood = F.when(F.contains(lower, F.lit(fixed.UPLIFT_WORD)), "positive").otherwise(mood)
+            tag = F.struct(F.lit(feature), mood, F.lit(confidence)).cast(_TAG)
+            tags.append(F.when(hit, tag))
+        return F.array_compact(F.array(*tags))
+
+    default = F.array(F.struct(*[F.lit(v) for v in fixed.NO_KEYWORD]).cast(_TAG))
+    return bound(
+        bound(F.lower(text), found), lambda tags: F.when(F.size(tags) > 0, tags).otherwise(default)
+    )
 
 
 def tag_reviews(reviews: DataFrame, text="review") -> DataFrame:
     """One row per (review, aspect) by the keyword rules; blank reviews give none."""
     rest = [c for c in reviews.columns if c != text]
-    return reviews.where(F.length(stripped(F.col(text))) > 0).select(
+    return reviews.where(has_text(F.col(text))).select(
         *rest, F.col(text).alias("original_review"), F.inline(keyword_tags(F.col(text)))
     )
 

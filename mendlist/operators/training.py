@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mendlist import fixed
 from mendlist.functions.scores import safe_ratio
-from mendlist.functions.text import stripped, title_words
+from mendlist.functions.text import has_text, stripped, title_words
 from mendlist.sources.literals import labels as label_table
 from mendlist.sources.literals import literal_table
 from mendlist.sources.readers import require_rows
@@ -59,11 +59,12 @@ def master_records(reviews: DataFrame, pairs: DataFrame, keep=("split",)) -> Dat
         F.array_sort(F.collect_list(F.struct("first_seq", "category", "sentiment"))).alias("_found")
     )
     text = stripped(F.col("review_text"))
-    texts = reviews.select(F.col("id").alias("review_id"), text.alias("text"), *keep)
+    texts = reviews.where(has_text(F.col("review_text"))).select(
+        F.col("id").alias("review_id"), text.alias("text"), *keep
+    )
     aspects = F.transform("_found", lambda x: F.struct(x["category"].alias("category"), x["sentiment"].alias("sentiment")))
     return (
-        texts.where(F.length("text") > 0)
-        .join(lists, "review_id", "left")
+        texts.join(lists, "review_id", "left")
         .select("review_id", "text", F.coalesce(aspects, F.array().cast(_ASPECTS)).alias("aspects"), *keep)
     )
 

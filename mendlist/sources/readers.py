@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendlist import fixed, schemas
-from mendlist.functions.text import stripped
+from mendlist.functions.text import has_text, stripped
 
 
 class InputError(ValueError):
@@ -63,7 +63,7 @@ def lines_as_reviews(texts: DataFrame, text="text") -> DataFrame:
     """One ``review`` row per non-blank line of ``text``, stripped."""
     rest = [c for c in texts.columns if c != text]
     lines = texts.select(*rest, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "review"))
-    return lines.withColumn("review", stripped(F.col("review"))).where(F.length("review") > 0)
+    return lines.where(has_text(F.col("review"))).withColumn("review", stripped(F.col("review")))
 
 
 def read_raw_reviews(spark: SparkSession, path: str) -> DataFrame:

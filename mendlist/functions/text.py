@@ -1,7 +1,8 @@
 """Text functions: cleaning and the near-duplicate key."""
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +23,15 @@ NFKC_STABLE = (
     r"^[\x00-\x7f\xc0-\xff\u0400-\u045f"
     r"\u2012-\u2016\u2018-\u2023\u20ac"
     r"\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
-    r"\x{1f300}-\x{1f64f}\x{1f680}-\x{1f6c5}]*$"
+    r"\x{1f300}-\x{1f64f}\x{1f680}-\x{1f6c5}]*\z"
 )
 
 
 def _nfkc():
     # a local function is shipped to the executors whole, with no import of this package
     def normalise(texts: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(texts, form="NFKC")
+        form = unicodedata.normalize
+        return pa.array([t and form("NFKC", t) for t in texts.to_pylist()], pa.string())
 
     # declared non-deterministic so that a later filter on the result is not
     # turned into a second evaluation of it below the first

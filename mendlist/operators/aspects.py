@@ -13,6 +13,7 @@ from mendlist.functions import gates
 from mendlist.functions.binding import bound
 from mendlist.functions.scores import safe_ratio
 from mendlist.functions.text import has_text
+from mendlist.operators.common import lookup
 from mendlist.operators.ingest import stable_id
 from mendlist.operators.taxonomy import with_display_name
 
@@ -121,7 +122,7 @@ def resolve_aspects(routed: DataFrame, features: DataFrame) -> DataFrame:
 
     A missing confidence counts as 1; an invalid sentiment or source is an error.
     """
-    ids = features.select("feature_key", F.col("id").alias("feature_id"))
+    ids = lookup(features.select("feature_key", F.col("id").alias("feature_id")))
     return routed.join(ids, "feature_key").select(
         stable_id(F.col("review_id"), F.col("feature_id"), F.col("source")).alias("id"),
         "review_id",

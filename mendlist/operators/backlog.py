@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mendlist import fixed
-from mendlist.operators.common import LIST_ROWS, nest
+from mendlist.operators.common import LIST_ROWS, lookup, nest
 from mendlist.storage import settle
 
 
@@ -104,7 +104,7 @@ def matching_reviews(
     if sentiment:
         hits = hits.where(F.col("sentiment") == sentiment)
     if feature_key:
-        wanted = features.where(F.col("feature_key") == feature_key).select(F.col("id").alias("feature_id"))
+        wanted = lookup(features.where(F.col("feature_key") == feature_key).select(F.col("id").alias("feature_id")))
         hits = hits.join(wanted, "feature_id", "left_semi")
     # one row per review before the shuffle, however many aspects it has
     ids = hits.select(F.col("review_id").alias("id")).distinct()
@@ -123,7 +123,7 @@ def newest_page(matching: DataFrame, limit=fixed.PAGE_DEFAULT, offset=0) -> Data
 
 def aspect_rows(aspects: DataFrame, features: DataFrame) -> DataFrame:
     """Aspects with their feature key, as shown beside a review."""
-    keys = features.select(F.col("id").alias("feature_id"), "feature_key")
+    keys = lookup(features.select(F.col("id").alias("feature_id"), "feature_key"))
     return aspects.join(keys, "feature_id").select(
         "id", "review_id", "feature_key", "sentiment", "confidence", "source"
     )

@@ -31,6 +31,17 @@ def broadcast_if_few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def lookup(df: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
+    """A lookup table for a join with many rows: broadcast if a count finds it small.
+
+    Otherwise the join shuffles, and a key with very many rows would fill one
+    partition until AQE splits it. Pass a stored table, so that the count reads
+    file footers and the broadcast is a plain scan; beyond ``rows`` rows the
+    table is left as it is.
+    """
+    return broadcast_if_few(df, df.limit(rows + 1).count())
+
+
 def nest(df: DataFrame, key: str, row_id: str, element: Column, name: str, per_list=LIST_ROWS) -> DataFrame:
     """Lists of ``element`` per key, ordered by ``row_id`` (unique within the key).
 

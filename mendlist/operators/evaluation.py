@@ -9,6 +9,7 @@ from mendlist import fixed
 from mendlist.functions.gates import sigmoid_value, top_position
 from mendlist.functions.scores import safe_ratio
 from mendlist.functions.text import stripped
+from mendlist.operators.common import lookup
 from mendlist.operators.taxonomy import map_category
 from mendlist.operators.training import multi_hot
 
@@ -40,7 +41,7 @@ def gold_sentiment_pairs(
     reviews: DataFrame, annotations: DataFrame, features: DataFrame, mapping=None
 ) -> DataFrame:
     """(review_id, feature_key, text_a, text_b, gold_sentiment) per usable annotation."""
-    names = features.select("feature_key", F.col("display_name").alias("text_b"))
+    names = lookup(features.select("feature_key", F.col("display_name").alias("text_b")))
     usable = (
         map_category(annotations, F.col("aspect_category"), mapping)
         .where(F.col("outcome") == "mapped")

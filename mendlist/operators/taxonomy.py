@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendlist.functions.text import stripped
+from mendlist.operators.common import lookup
 from mendlist.sources.literals import category_features
 
 
@@ -23,7 +24,7 @@ def missing_features(seed: DataFrame, stored: DataFrame) -> DataFrame:
 
 def with_display_name(rows: DataFrame, features: DataFrame) -> DataFrame:
     """Adds ``display_name``, the key itself where the taxonomy lacks it."""
-    names = features.select("feature_key", "display_name")
+    names = lookup(features.select("feature_key", "display_name"))
     joined = rows.join(names, "feature_key", "left")
     return joined.withColumn("display_name", F.coalesce("display_name", "feature_key"))
 

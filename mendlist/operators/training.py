@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mendlist import fixed
 from mendlist.functions.scores import safe_ratio
 from mendlist.functions.text import has_text, stripped, title_words
+from mendlist.operators.common import lookup
 from mendlist.sources.literals import labels as label_table
 from mendlist.sources.literals import literal_table
 from mendlist.sources.readers import require_rows
@@ -225,7 +226,7 @@ def sentiment_pairs(labels: DataFrame, features: DataFrame) -> DataFrame:
     Rows with an unknown feature or sentiment are dropped; see
     ``sentiment_pair_report`` for how many.
     """
-    names = features.select("feature_key", "display_name")
+    names = lookup(features.select("feature_key", "display_name"))
     return (
         labels.where(F.col("sentiment").isin(*fixed.SENTIMENTS))
         .join(names, "feature_key")

@@ -24,7 +24,7 @@ from mendlist.plans.flow import analyse
 from mendlist.plans.gold import evaluate
 from mendlist.plans.ingest import csv_tables
 from mendlist.sources import literals, readers, writers
-from mendlist.storage import fresh_path
+from mendlist.storage import fresh_path, settle
 from testbed import roles as R
 from testbed.roles import Data
 
@@ -418,11 +418,13 @@ def dedup_accounting(d):
 
 @query(
     "blank_near_keys",
-    f"""SELECT source, count(*) AS blank_near_keys FROM documents
-    WHERE {near_sql('text')} = '' GROUP BY source""",
+    rf"""SELECT source, count(*) AS blank_near_keys FROM (
+      SELECT source, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents)
+    WHERE length(line) > 0 AND {near_sql('line')} = '' GROUP BY source""",
 )
 def blank_near_keys(d):
-    return C.blank_near_keys(d.documents, "text", "source")
+    lines = readers.lines_as_reviews(d.documents.select("source", "text"))
+    return C.blank_near_keys(lines, "review", "source")
 
 
 @query("english_documents", "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en'")
@@ -754,9 +756,8 @@ def sentiment_class_weights(d):
 def _named_kinds(d):
     """A taxonomy over part types; promo parts have no feature."""
     kind = F.lower("p_type")
-    return d.part.select(kind.alias("feature_key"), F.concat(F.lit("Kind "), kind).alias("display_name")).where(
-        "feature_key <> 'promo'"
-    ).distinct()
+    named = d.part.select(kind.alias("feature_key"), F.concat(F.lit("Kind "), kind).alias("display_name"))
+    return settle(named.where("feature_key <> 'promo'").distinct())
 
 
 @query(
@@ -812,7 +813,7 @@ def label_index(d):
 )
 def unknown_features(d):
     used = d.aspects.select(F.lower("feature_id").alias("feature_key"))
-    return T.unknown_features(used, X.list_features(d.features))
+    return T.unknown_features(used, d.features.where("is_active"))
 
 
 @query(
@@ -894,10 +895,11 @@ def letter_sentiments():
 def _letter_features(d):
     """Features with a display name; only one of them is a label of the stand-in model."""
     english = F.col("lang") == "en"
-    return d.documents.select(
+    named = d.documents.select(
         F.when(english, "electric").otherwise(F.col("lang")).alias("feature_key"),
         F.when(english, "Power").otherwise(F.col("lang")).alias("display_name"),
-    ).distinct()
+    )
+    return settle(named.distinct())
 
 
 def _count(c, text="text"):
@@ -952,7 +954,7 @@ def _routed_lines(d):
     FROM aspects WHERE feature_id <> 'Brand#13'""",
 )
 def aspects_resolved(d):
-    resolved = A.resolve_aspects(_routed_lines(d), X.list_features(d.features))
+    resolved = A.resolve_aspects(_routed_lines(d), d.features.where("is_active"))
     return resolved.drop("id").withColumn("confidence", r6("confidence"))
 
 
@@ -961,7 +963,7 @@ def aspects_resolved(d):
     f"WITH {R.ASPECTS} SELECT lower(feature_id) AS feature_key, count(*) AS rows FROM aspects WHERE feature_id = 'Brand#13' GROUP BY 1",
 )
 def unresolved_aspects(d):
-    return A.unresolved_aspects(_routed_lines(d), X.list_features(d.features))
+    return A.unresolved_aspects(_routed_lines(d), d.features.where("is_active"))
 
 
 @query(
@@ -982,7 +984,7 @@ def source_rates(d):
 )
 def display_names(d):
     counts = d.aspects.groupBy(F.lower("feature_id").alias("feature_key")).agg(F.count("*").alias("mentions"))
-    return X.with_display_name(counts, X.list_features(d.features))
+    return X.with_display_name(counts, d.features.where("is_active"))
 
 
 # -- model outputs -------------------------------------------------------------
@@ -1079,7 +1081,7 @@ def _gold_features(d):
     """cost and usability, named after the part types mapped to them."""
     kinds = d.part.where("p_type IN ('ECONOMY', 'LARGE')")
     key = F.when(F.col("p_type") == "ECONOMY", "cost").otherwise("usability")
-    return kinds.select(key.alias("feature_key"), F.initcap(key).alias("display_name")).distinct()
+    return settle(kinds.select(key.alias("feature_key"), F.initcap(key).alias("display_name")).distinct())
 
 
 @query(
@@ -1275,7 +1277,7 @@ def scores_roundtrip(d):
 )
 def aspects_roundtrip(d):
     path = fresh_path(d.spark, "review_aspects")
-    resolved = A.resolve_aspects(_routed_lines(d), X.list_features(d.features))
+    resolved = A.resolve_aspects(_routed_lines(d), d.features.where("is_active"))
     writers.write_aspects(resolved, path, "first")
     writers.write_aspects(resolved, path, "first")  # the same run again replaces itself
     return d.spark.read.parquet(path).groupBy("feature_id", "sentiment", "source").agg(F.count("*").alias("n"))

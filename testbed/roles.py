@@ -3,10 +3,13 @@
 Each role is given twice: as a DataFrame and as a SQL common table expression.
 """
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendlist.operators.ingest import stable_id
+from mendlist.storage import settle
 
 
 class Data:
@@ -56,16 +59,18 @@ class Data:
             F.col("o_orderdate").alias("ingested_at"),
         )
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
+        """The taxonomy, stored as a table of its own."""
         brand = F.col("p_brand")
-        return self.part.select(brand).distinct().select(
+        features = self.part.select(brand).distinct().select(
             brand.alias("id"),
             F.lower(brand).alias("feature_key"),
             F.concat(F.lit("The "), brand).alias("display_name"),
             F.lit(None).cast("string").alias("description"),
             (brand != "Brand#13").alias("is_active"),
         )
+        return settle(features)
 
     # -- annotated CSV rows: order lines under their order --------------------
 

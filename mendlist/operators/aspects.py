@@ -75,6 +75,29 @@ def scorer(load: Callable[[], Callable[..., np.ndarray]]):
     return apply
 
 
+def found_categories(scored: DataFrame, features: DataFrame, labels=fixed.LABELS, threshold=fixed.DECISION_THRESHOLD) -> DataFrame:
+    """(review_id, review_text, feature_key, display_name) per category at or above ``threshold``.
+
+    ``scored`` has id, review_text and ``probs``, one probability per label.
+    """
+    names = F.array(*[F.lit(v) for v in labels])
+    found = gates.predicted_labels(F.col("probs"), names, threshold)
+    rows = scored.select(F.col("id").alias("review_id"), "review_text", F.explode(found).alias("feature_key"))
+    return with_display_name(rows, features)
+
+
+def rated_aspects(scored: DataFrame, sentiments=fixed.SENTIMENTS) -> DataFrame:
+    """(review_id, feature_key, sentiment, confidence, source) from sentiment ``probs``."""
+    names = F.array(*[F.lit(s) for s in sentiments])
+    return scored.select(
+        "review_id",
+        "feature_key",
+        gates.top_label(F.col("probs"), names).alias("sentiment"),
+        gates.top_confidence(F.col("probs")).alias("confidence"),
+        F.lit(fixed.ASPECT_SOURCES[0]).alias("source"),
+    )
+
+
 def route_reviews(
     reviews: DataFrame,
     features: DataFrame,
@@ -90,26 +113,10 @@ def route_reviews(
     category) from the text and the feature's display name. The two scorers are
     functions of Columns (see ``scorer``), so any model fits.
     """
-    names = F.array(*[F.lit(v) for v in labels])
     text = F.col("review_text")
-    found = (
-        reviews.where(text.isNotNull())
-        .select(F.col("id").alias("review_id"), text, category_probs(text).alias("_p"))
-        .select(
-            "review_id",
-            text,
-            F.explode(gates.predicted_labels(F.col("_p"), names, threshold)).alias("feature_key"),
-        )
-    )
-    named = with_display_name(found, features)
-    scored = named.withColumn("_s", sentiment_probs(text, F.col("display_name")))
-    return scored.select(
-        "review_id",
-        "feature_key",
-        gates.top_label(F.col("_s"), F.array(*[F.lit(s) for s in sentiments])).alias("sentiment"),
-        gates.top_confidence(F.col("_s")).alias("confidence"),
-        F.lit(fixed.ASPECT_SOURCES[0]).alias("source"),
-    )
+    scored = reviews.where(text.isNotNull()).select("id", text, category_probs(text).alias("probs"))
+    found = found_categories(scored, features, labels, threshold)
+    return rated_aspects(found.withColumn("probs", sentiment_probs(text, F.col("display_name"))), sentiments)
 
 
 def _checked(value: Column, allowed, what: str) -> Column:

@@ -24,8 +24,8 @@ def _present(value: Column) -> Column:
 
 
 def safe_int(value: Column) -> Column:
-    """Integer, or null for markers and anything that is not one."""
-    return _present(value).try_cast("int")
+    """Whole part of a number, or null for markers and anything that is none."""
+    return _present(value).try_cast("double").try_cast("int")
 
 
 def _with_id(rows: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def review_records(rows: DataFrame, order_by, source=fixed.ANNOTATED_SOURCE) ->
         F.lit(source).alias("source"),
         F.col("app").alias("app_id"),
         F.col("sentence").alias("review_text"),
-        F.col("rating").try_cast("int").alias("rating"),
+        safe_int(F.col("rating")).alias("rating"),
         F.lit(None).cast("date").alias("review_date"),
         "domain",
         review_id.cast("string").alias("source_review_id"),
@@ -78,7 +78,7 @@ def annotation_rows(rows: DataFrame, seq: Column) -> DataFrame:
 
 def bad_ratings(rows: DataFrame) -> DataFrame:
     """One row: how many ratings are not integers (they are stored as null)."""
-    bad = F.col("rating").isNotNull() & F.col("rating").try_cast("int").isNull()
+    bad = F.col("rating").isNotNull() & safe_int(F.col("rating")).isNull()
     return rows.agg(F.count_if(bad).alias("bad_ratings"))
 
 

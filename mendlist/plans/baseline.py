@@ -1,28 +1,55 @@
 """Distributed text classifiers: a baseline in place of transformer fine-tuning.
 
 Hashed TF-IDF features with logistic regression, one binary model per label and
-one 3-class model, weighted like the loss functions they stand in for.
+one 3-class model, weighted like the loss functions they stand in for. Training
+is Spark ML over the stored record sets; scoring adds columns to a DataFrame.
 """
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from mendlist import fixed, schemas
+from mendlist.functions.gates import sigmoid, softmax
+from mendlist.operators import evaluation as E
+from mendlist.operators import training as T
+from mendlist.operators.aspects import found_categories, rated_aspects
+from mendlist.plans.ingest import Tables
+from mendlist.sources.readers import read_records, require_rows
 
 HASH_SIZE = 1 << 14
 ROUNDS = 10
 
 
-def fit_features(texts: DataFrame, text="text", hash_size=HASH_SIZE) -> PipelineModel:
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
+@dataclass(frozen=True)
+class Models:
+    texts: PipelineModel
+    categories: dict  # label -> model
+    sentiment: LogisticRegressionModel
+    threshold: float = fixed.DECISION_THRESHOLD
+
+    @property
+    def labels(self):
+        return tuple(sorted(self.categories))
+
+
+def fit_texts(texts: DataFrame, hash_size=HASH_SIZE) -> PipelineModel:
+    """``text`` -> ``features``."""
+    words = RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=hash_size)
     return Pipeline(stages=[words, counts, IDF(inputCol="_tf", outputCol="features")]).fit(texts)
 
 
+def _featured(texts: PipelineModel, df: DataFrame) -> DataFrame:
+    return texts.transform(df).drop("_words", "_tf")
+
+
 def _by_value(weights: dict, value: Column) -> Column:
     chosen = F.lit(1.0)
     for key, weight in weights.items():
@@ -30,34 +57,28 @@ def _by_value(weights: dict, value: Column) -> Column:
     return chosen
 
 
+def weights_by(df: DataFrame, key: str) -> dict:
+    """A weight table (one row per label) as a dict."""
+    return {r[key]: r["weight"] for r in df.select(key, "weight").collect()}
+
+
 def fit_categories(featured: DataFrame, pos_weights: dict[str, float], rounds=ROUNDS) -> dict:
     """label -> model. ``featured`` has ``features`` and a ``labels`` list."""
     featured = featured.select("features", "labels").persist(StorageLevel.MEMORY_AND_DISK)
     models = {}
     for label, weight in sorted(pos_weights.items()):
+        weight = max(weight, fixed.WEIGHT_EPSILON)  # 0 for a label that every record has
         hit = F.array_contains("labels", label)
         data = featured.select(
-            "features",
-            hit.cast("double").alias("y"),
-            F.when(hit, float(weight)).otherwise(1.0).alias("w"),
+            "features", hit.cast("double").alias("y"), F.when(hit, float(weight)).otherwise(1.0).alias("w")
         )
-        models[label] = LogisticRegression(
-            labelCol="y", weightCol="w", maxIter=rounds, regParam=0.01
-        ).fit(data)
+        regression = LogisticRegression(labelCol="y", weightCol="w", maxIter=rounds, regParam=0.01)
+        models[label] = regression.fit(data)
     featured.unpersist()
     return models
 
 
-def category_scores(featured: DataFrame, models: dict) -> DataFrame:
-    """Adds ``probs``, one probability per label in alphabetical order."""
-    for label, model in sorted(models.items()):
-        model.setProbabilityCol(f"_p_{label}").setRawPredictionCol("").setPredictionCol("")
-        featured = model.transform(featured)
-    probs = [vector_to_array(F.col(f"_p_{label}"))[1] for label in sorted(models)]
-    return featured.withColumn("probs", F.array(*probs)).drop(*[f"_p_{label}" for label in models])
-
-
-def fit_sentiment(featured: DataFrame, class_weights: dict[int, float], rounds=ROUNDS):
+def fit_sentiment(featured: DataFrame, class_weights: dict[int, float], rounds=ROUNDS) -> LogisticRegressionModel:
     """3-class model over ``features`` and a class index ``label``."""
     y = F.col("label").cast("double")
     data = featured.select("features", y.alias("y"), _by_value(class_weights, F.col("label")).alias("w"))
@@ -66,15 +87,99 @@ def fit_sentiment(featured: DataFrame, class_weights: dict[int, float], rounds=R
     ).fit(data)
 
 
-def sentiment_scores(featured: DataFrame, model) -> DataFrame:
-    """Adds ``sentiment_probs`` in class-index order."""
-    model.setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
-    scored = model.transform(featured)
-    return scored.withColumn("sentiment_probs", vector_to_array("_p")).drop("_p")
-
-
-def weights_by(df: DataFrame, key: str) -> dict:
-    """A weight table (one row per label) as a dict."""
-    return {r[key]: r["weight"] for r in df.select(key, "weight").collect()}
-
-
+def _raw(model, df: DataFrame, name: str) -> DataFrame:
+    model.setRawPredictionCol(name).setProbabilityCol("").setPredictionCol("")
+    return model.transform(df)
+
+
+def category_logits(models: Models, texts: DataFrame) -> DataFrame:
+    """Adds ``logits``, one per label in alphabetical order, from ``text``."""
+    df = _featured(models.texts, texts)
+    for label, model in models.categories.items():
+        df = _raw(model, df, f"_raw_{label}")
+    logits = [vector_to_array(F.col(f"_raw_{label}"))[1] for label in models.labels]
+    return df.withColumn("logits", F.array(*logits)).select(*texts.columns, "logits")
+
+
+def sentiment_logits(models: Models, texts: DataFrame) -> DataFrame:
+    """Adds ``logits`` in class-index order, from ``text``."""
+    df = _raw(models.sentiment, _featured(models.texts, texts), "_raw")
+    return df.withColumn("logits", vector_to_array("_raw")).select(*texts.columns, "logits")
+
+
+def pair_text(text: Column, feature: Column) -> Column:
+    """Review and feature name as one text."""
+    return F.concat_ws(" ", feature, text)
+
+
+def train(spark: SparkSession, tables: Tables, vocabulary=fixed.LABELS, limit=None, rounds=ROUNDS):
+    """Fit on the stored train records and measure on the val records.
+
+    Returns the models, whose threshold is the best one on val, and a DataFrame
+    of (task, metric, value). ``limit`` caps the records, as for a trial run;
+    weights are counted after the cut.
+    """
+
+    def records(name, schema, split):
+        df = read_records(spark, tables.records(name), schema, split=split)
+        return df if limit is None or split != "train" else df.limit(limit)
+
+    labelled = require_rows(records("aspect_category", schemas.CATEGORY_RECORD, "train"), "training records")
+    texts = fit_texts(labelled.select("text"))
+    names = T.vocabulary_of(labelled, vocabulary)
+    weights = weights_by(T.category_pos_weights(labelled, names), "label")
+    categories = fit_categories(_featured(texts, labelled.select("text", "labels")), weights, rounds)
+
+    def pairs(split):
+        prepared = T.trainer_pairs(records("aspect_sentiment", schemas.SENTIMENT_RECORD, split))
+        return prepared.select(pair_text(F.col("text_a"), F.col("text_b")).alias("text"), "label")
+
+    moods = require_rows(pairs("train"), "sentiment training records")
+    named = moods.withColumn("label", F.element_at(F.array(*[F.lit(s) for s in fixed.SENTIMENTS]), F.col("label") + 1))
+    classes = weights_by(T.sentiment_class_weights(named), "label_index")
+    models = Models(texts, categories, fit_sentiment(_featured(texts, moods), classes, rounds))
+
+    held = records("aspect_category", schemas.CATEGORY_RECORD, "val")
+    truth = F.transform(T.multi_hot(F.col("labels"), names), lambda x: x.cast("int"))
+    outputs = category_logits(models, held.select("text", truth.alias("truth")))
+    best = E.best_threshold(outputs, names).first()
+    if best is not None:
+        models = Models(texts, categories, models.sentiment, best["threshold"])
+    category = E.category_metrics(outputs, names, models.threshold)
+    sentiment = E.sentiment_metrics(sentiment_logits(models, pairs("val").withColumnRenamed("label", "truth")))
+    report = category.select(F.lit("category").alias("task"), "*").unionByName(
+        sentiment.select(F.lit("sentiment").alias("task"), "*")
+    )
+    return models, report
+
+
+def route_with_models(reviews: DataFrame, features: DataFrame, models: Models) -> DataFrame:
+    """``route_reviews`` by the fitted models."""
+    texts = reviews.where(F.col("review_text").isNotNull()).select("id", "review_text", F.col("review_text").alias("text"))
+    scored = category_logits(models, texts).withColumn("probs", sigmoid(F.col("logits")))
+    found = found_categories(scored, features, models.labels, models.threshold)
+    paired = found.withColumn("text", pair_text(F.col("review_text"), F.col("display_name")))
+    return rated_aspects(sentiment_logits(models, paired).withColumn("probs", softmax(F.col("logits"))))
+
+
+def save(models: Models, path: str) -> None:
+    models.texts.write().overwrite().save(f"{path}/texts")
+    models.sentiment.write().overwrite().save(f"{path}/sentiment")
+    for label, model in models.categories.items():
+        model.write().overwrite().save(f"{path}/category_{label}")
+    spark = SparkSession.active()
+    facts = spark.range(1).select(
+        F.array(*[F.lit(v) for v in models.labels]).alias("labels"), F.lit(models.threshold).alias("threshold")
+    )
+    facts.write.mode("overwrite").json(f"{path}/facts")
+
+
+def load(spark: SparkSession, path: str) -> Models:
+    facts = spark.read.schema("labels array<string>, threshold double").json(f"{path}/facts").first()
+    categories = {v: LogisticRegressionModel.load(f"{path}/category_{v}") for v in facts["labels"]}
+    return Models(
+        PipelineModel.load(f"{path}/texts"),
+        categories,
+        LogisticRegressionModel.load(f"{path}/sentiment"),
+        facts["threshold"],
+    )

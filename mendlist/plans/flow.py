@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mendlist import fixed
 from mendlist.operators import aspects as A
 from mendlist.operators.criticality import dated_aspects, windowed_scores
+from mendlist.plans.baseline import Models, route_with_models
 from mendlist.plans.ingest import Tables, ingest_csv, seed_features
 from mendlist.plans.preprocess import preprocess
 from mendlist.sources.readers import active_features, read_split, require_rows
@@ -30,6 +31,14 @@ def infer(
     return write_aspects(A.resolve_aspects(routed, features), tables.aspects, run_id)
 
 
+def infer_with_models(spark: SparkSession, tables: Tables, models: Models, split="test", limit=None, run_id="latest") -> int:
+    """``infer`` by fitted baseline models."""
+    reviews = read_split(spark, tables.splits, split, limit)
+    features = spark.read.parquet(tables.features)
+    routed = route_with_models(reviews, active_features(features), models)
+    return write_aspects(A.resolve_aspects(routed, features), tables.aspects, run_id)
+
+
 def score(spark: SparkSession, tables: Tables, half_life_days=fixed.HALF_LIFE_DAYS) -> int:
     """Recompute the score table from all stored aspects; returns the rows stored."""
     aspects = require_rows(spark.read.parquet(tables.aspects), "review_aspects")

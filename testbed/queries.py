@@ -481,7 +481,7 @@ def nest_annotations(d):
     )
 
 
-@query("bad_ratings", "SELECT count(*) AS bad_ratings FROM orders WHERE TRY_CAST(substr(o_orderpriority, 1, 2) AS BIGINT) IS NULL")
+@query("bad_ratings", "SELECT count(*) AS bad_ratings FROM orders WHERE TRY_CAST(substr(o_orderpriority, 1, 2) AS DOUBLE) IS NULL")
 def bad_ratings(d):
     return I.bad_ratings(d.orders.select(F.substring("o_orderpriority", 1, 2).alias("rating")))
 
@@ -1363,23 +1363,16 @@ def eval_report_roundtrip(d):
 @query("baseline_model_scores")
 def baseline_model_scores(d):
     """Languages as categories and label quality as sentiment, learnt from the texts."""
-    docs = d.documents.select("doc_id", "text", F.array("lang").alias("labels"))
     langs = ("de", "en", "es", "fr")
-    features = baseline.fit_features(docs)
-    featured = features.transform(docs)
+    docs = d.documents.select("doc_id", "text", F.array("lang").alias("labels"))
+    texts = baseline.fit_texts(docs)
     weights = baseline.weights_by(T.category_pos_weights(docs, langs), "label")
-    scored = baseline.category_scores(featured, baseline.fit_categories(featured, weights))
-    graded = d.labels.select(
-        "doc_id",
-        F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 0, "neutral").otherwise("positive").alias("name"),
-    )
-    classes = baseline.weights_by(T.sentiment_class_weights(graded, "name"), "label_index")
-    taught = featured.join(graded, "doc_id").withColumn("label", T.sentiment_index(F.col("name")))
-    model = baseline.fit_sentiment(taught, classes)
-    both = baseline.sentiment_scores(scored, model)
-    names = F.array(*[F.lit(x) for x in langs])
-    return both.select(
-        "doc_id",
-        F.array_join(gates.predicted_labels(F.col("probs"), names, 0.5), "|").alias("labels"),
-        gates.top_label(F.col("sentiment_probs"), F.array(*[F.lit(s) for s in fixed.SENTIMENTS])).alias("sentiment"),
-    )
+    categories = baseline.fit_categories(texts.transform(docs), weights)
+    mood = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 0, "neutral").otherwise("positive")
+    graded = d.labels.select("doc_id", mood.alias("mood"))
+    classes = baseline.weights_by(T.sentiment_class_weights(graded, "mood"), "label_index")
+    taught = docs.join(graded, "doc_id").withColumn("label", T.sentiment_index(F.col("mood")))
+    sentiment = baseline.fit_sentiment(texts.transform(taught), classes)
+    models = baseline.Models(texts, categories, sentiment)
+    names = settle(d.documents.select(F.col("lang").alias("feature_key"), F.upper("lang").alias("display_name")).distinct())
+    return baseline.route_with_models(d.documents_as_reviews, names, models)

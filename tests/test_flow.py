@@ -87,6 +87,42 @@ def test_flow_and_evaluation(spark, csv_path, tmp_path):
                  lambda t: F.transform(scorers[0](t), lambda p: p * 10 - 5), scorers[1], str(tmp_path / "none"), mapping={})
 
 
+def test_baseline_learns_and_is_stored(spark, csv_path, tmp_path):
+    from mendlist.plans import baseline
+    from mendlist.plans.ingest import ingest_csv, seed_features
+
+    tables = Tables(str(tmp_path / "store"))
+    ingest_csv(spark, csv_path, tables)
+    seed_features(spark, tables)
+    preprocess(spark, tables)
+    models, report = baseline.train(spark, tables, vocabulary=("cost", "general", "safety"), rounds=4)
+    got = {(r.task, r.metric): r.value for r in report.collect()}
+    assert got[("category", "f1_cost")] == 1.0 and got[("sentiment", "accuracy")] == 1.0
+    baseline.save(models, str(tmp_path / "models"))
+    again = baseline.load(spark, str(tmp_path / "models"))
+    assert (again.labels, again.threshold) == (models.labels, models.threshold)
+    reviews = readers.read_split(spark, tables.splits, "test")
+    routed = baseline.route_with_models(reviews, spark.read.parquet(tables.features), again).collect()
+    moods = {r.review_id: r.sentiment for r in routed if r.feature_key == "cost"}
+    assert len(moods) == reviews.count()
+    for r in reviews.collect():
+        assert moods[r.id] == ("negative" if r.review_text.startswith("bad") else "positive")
+
+
+def test_command_line(spark, csv_path, tmp_path, capsys):
+    from mendlist.__main__ import main
+
+    store = str(tmp_path / "store")
+    for step in (["ingest", "--csv", csv_path], ["seed"], ["preprocess", "--test", "0.2"], ["features"]):
+        assert main([step[0], "--store", store, *step[1:]]) == 0
+    out = capsys.readouterr().out
+    assert '{"reviews": 80}' in out and '{"features": 12}' in out and '"test": 16' in out and "Usability" in out
+    upload = tmp_path / "u.csv"
+    upload.write_text("review\nIt crashed\n")
+    assert main(["analyse", "--csv", str(upload)]) == 0
+    assert "**reliability** is the most complained-about" in capsys.readouterr().out
+
+
 def test_scores_are_replaced_and_undated_rows_not_stored(spark, table, tmp_path):
     import datetime as dt
 

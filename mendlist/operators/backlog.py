@@ -132,7 +132,9 @@ def aspect_rows(aspects: DataFrame, features: DataFrame) -> DataFrame:
 def reviews_with_aspects(reviews: DataFrame, aspects: DataFrame, features: DataFrame) -> DataFrame:
     """One row per (review, aspect), and one for a review without aspects.
 
-    The flat form for whole tables: nothing is collected per review.
+    The flat form for whole tables: nothing is collected per review. Written
+    as an inner join plus the reviews without aspects, because AQE can split a
+    review with very many aspects in an inner join but not in an outer one.
     """
     shown = aspect_rows(aspects, features).select(
         F.col("review_id").alias("id"),
@@ -141,7 +143,8 @@ def reviews_with_aspects(reviews: DataFrame, aspects: DataFrame, features: DataF
         "confidence",
         F.col("source").alias("aspect_source"),
     )
-    return reviews.join(shown, "id", "left")
+    bare = reviews.join(aspects.select(F.col("review_id").alias("id")).distinct(), "id", "left_anti")
+    return reviews.join(shown, "id").unionByName(bare, allowMissingColumns=True)
 
 
 def page_with_aspects(page: DataFrame, aspects: DataFrame, features: DataFrame, per_list=LIST_ROWS) -> DataFrame:

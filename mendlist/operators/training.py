@@ -117,10 +117,11 @@ def sentiment_histogram(records: DataFrame) -> DataFrame:
 def label_index(labels: DataFrame, label="label", limit=10_000) -> DataFrame:
     """Alphabetical 0-based index of the distinct labels of a vocabulary.
 
-    Ranks in one task, so more than ``limit`` distinct labels is an error: that
-    is not a label vocabulary.
+    More than ``limit`` distinct labels are no vocabulary and an error, found
+    before anything is ranked in one task.
     """
     distinct = labels.select(F.col(label).alias("label")).where(F.col(label).isNotNull()).distinct()
+    distinct = distinct.limit(limit + 1)  # one more than allowed leads to the error below
     ranked = distinct.withColumn("label_index", F.row_number().over(W.orderBy("label")) - 1)
     too_many = F.assert_true(F.col("label_index") < limit, F.lit(f"more than {limit} labels"))
     return ranked.where(too_many.isNull())

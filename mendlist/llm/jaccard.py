@@ -7,8 +7,11 @@ Two sets that reach the threshold then share at least L of their first
 can be demanded of a pair before it is compared in full. Each document takes the L of
 least estimated cost; a pair uses the smaller L of its two documents.
 
+The overlap a pair needs follows from its two sizes, and with it how early in both orders
+its first L shared shingles must lie; later matches do not count.
+
 Only what can change a component is compared. Identical sets are one class. Members of
-a posting list are first compared with their neighbour in it, which joins most of a
+a posting list are first compared with a few neighbours in it, which joins most of a
 group of near copies by a number of comparisons in proportion to its size; then every
 candidate pair that still lies in two components is compared. No pair is skipped otherwise,
 so the components are exact.
@@ -34,12 +37,15 @@ from mendlist.storage import settle
 #: Counters of the corpus sketch, which is 4 MB whatever the corpus, sent in blocks.
 SKETCH = 1 << 20
 BLOCK = 1 << 16
-MAX_MATCHES = 4
-#: Rounds of neighbour comparisons, each over another order of the posting lists.
-ROUNDS = 2
+MAX_MATCHES = 16
+#: Rounds of neighbour comparisons, each over another order of the posting lists, and how
+#: many neighbours a round compares.
+ROUNDS = 3
+NEIGHBOURS = 3
 
 _PROFILE = "id long, n int, d1 long, d2 long, block int, counts binary"
-_POSTING = "token long, id long, n int, matches int, level int"
+_PREFIX = "id long, n int, matches int, prefix array<long>"
+_POSTING = "token long, id long, n int, rank int"
 _SET = "id long, shingles array<long>"
 
 
@@ -118,15 +124,15 @@ def _prefixes(k: int, percent: int, sketch):
         """The number of matches to demand: extra is, by rank, how many others hold a shingle."""
         lists = np.cumsum(extra)
         choices = range(1, max(1, min(MAX_MATCHES, n - slack)) + 1)
-        # reading the lists, and comparing sets of n for at most lists / matches candidates
-        return min(choices, key=lambda m: lists[slack + m - 1] * (1 + n / m / 8))
+        # reading the lists, and comparing sets of n for fewer candidates with each match more
+        return min(choices, key=lambda m: lists[slack + m - 1] * (1 + n / m**2))
 
-    def postings(batches):
+    def prefixes(batches):
         hasher, counts = Hasher(), sketch.value
         noise = counts.mean()
         for batch in batches:
             for texts, ids in runs(batch.column(1), batch.column(0)):
-                token, of, size, matches, level = [], [], [], [], []
+                of, size, matches, prefix = [], [], [], []
                 for i, s in zip(ids.to_numpy(), _sets(texts, hasher, k)):
                     n = len(s)
                     if not n:
@@ -136,50 +142,67 @@ def _prefixes(k: int, percent: int, sketch):
                     most = slack + max(1, min(MAX_MATCHES, n - slack))
                     order = np.lexsort((s, df))[:most]
                     m = matches_of(n, slack, np.maximum(df[order] - 1 - noise, 0))
-                    order = order[: slack + m]
-                    token.append(s[order])
-                    of.append(np.full(len(order), i))
-                    size.append(np.full(len(order), n, np.int32))
-                    matches.append(np.full(len(order), m, np.int32))
-                    level.append(np.maximum(np.arange(len(order)) + 1 - slack, 1).astype(np.int32))
-                if token:
+                    of.append(i), size.append(n), matches.append(m), prefix.append(s[order[: slack + m]])
+                if prefix:
+                    at = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [signed(np.concatenate(token)), *(pa.array(np.concatenate(c)) for c in (of, size, matches, level))],
-                        names=["token", "id", "n", "matches", "level"],
+                        [pa.array(of, pa.int64()), pa.array(size, pa.int32()), pa.array(matches, pa.int32()),
+                         pa.ListArray.from_arrays(pa.array(at), signed(np.concatenate(prefix)))],
+                        names=["id", "n", "matches", "prefix"],
                     )
 
-    return postings
+    return prefixes
 
 
-def _sweep(batches):
-    """Marks, in posting lists sorted by (token, n, id), rows whose token others may share.
+def _shared(batches):
+    """Rows, of posting lists sorted by token, whose token other rows may share.
 
     The first and last list of a batch may go on in another one and always stay.
-    ``mate`` is the row before in the same list.
     """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        same = np.r_[False, token[1:] == token[:-1]]
-        stays = same | np.r_[same[1:], False] | (token == token[0]) | (token == token[-1])
-        mate = pa.array(np.r_[0, ids[:-1]], mask=~same)
-        yield pa.RecordBatch.from_arrays([*batch.columns, mate], names=[*batch.schema.names, "mate"]).filter(pa.array(stays))
+        if batch.num_rows:
+            token = batch.column(0).to_numpy()
+            same = np.r_[False, token[1:] == token[:-1]]
+            yield batch.filter(pa.array(same | np.r_[same[1:], False] | (token == token[0]) | (token == token[-1])))
 
 
-def _other_part(batches):
-    """Pairs of neighbours in one posting list that lie in two components."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token, ids, part = (batch.column(i).to_numpy() for i in range(3))
-        hit = np.flatnonzero((token[1:] == token[:-1]) & (part[1:] != part[:-1]))
-        pairs = np.unique(np.sort(np.stack([ids[hit], ids[hit + 1]], 1), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _neighbours(percent: int):
+    """Pairs near each other in one posting list that lie in two components and may link."""
+
+    def near(batches):
+        for batch in batches:
+            token, ids, part, n, rank = (batch.column(i).to_numpy() for i in range(5))
+            pairs = []
+            for lag in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+                x, y = slice(None, -lag), slice(lag, None)
+                spare = -(-percent * (n[x].astype(np.int64) + n[y]) // (100 + percent)) - 1
+                hit = (token[x] == token[y]) & (part[x] != part[y]) & (rank[x] <= n[x] - spare) & (rank[y] <= n[y] - spare)
+                pairs.append(np.stack([ids[x][hit], ids[y][hit]], 1))
+            if pairs:
+                pairs = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return near
+
+
+def _shingler(k: int):
+    def shingles(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for texts, ids in runs(batch.column(1), batch.column(0)):
+                sets = list(_sets(texts, hasher, k))
+                at = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+                flat = signed(np.concatenate(sets)) if sets else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at), flat)], names=["id", "shingles"])
+
+    return shingles
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets, made from the texts of these documents alone, link."""
+    pairs = settle(pairs)
+    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = settle(docs.join(ids, "id", "left_semi").mapInArrow(_shingler(k), _SET))
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right")).cast("long")
@@ -191,32 +214,37 @@ def _with_part(lists: DataFrame, parts: DataFrame) -> DataFrame:
     return lists.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
 
 
-def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """Every candidate pair whose documents lie in two components.
+def _across(lists: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Every candidate pair whose documents lie in two components, once.
 
-    lists: token, id, n, matches, level, part. In each posting list the largest component
-    is not joined with itself, so a list costs its length times what lies outside of it.
+    lists: token, id, part, rank. In each posting list the largest component is not joined with
+    itself, so a list costs its length times what lies outside of it. A pair is made at its
+    first shared token, if it shares as many as demanded early enough.
     """
     sizes = lists.groupBy("token", "part").agg(F.count("*").alias("rows"))
     main = sizes.groupBy("token").agg(
         F.max_by("part", F.struct("rows", "part")).alias("main"), F.min("part").alias("low"), F.max("part").alias("high")
     ).where("low < high").select("token", "main")
-    mixed = lists.join(main, "token")
-    x = mixed.where("part != main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "matches", "level", "part")])
-    y = mixed.withColumnsRenamed({c: f"{c}_y" for c in ("id", "n", "matches", "level", "part")})
-    small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    demand = F.least("matches_x", "matches_y")
-    meets = (
-        (F.col("part_x") != F.col("part_y"))
-        & ((F.col("part_y") == F.col("main")) | (F.col("id_x") < F.col("id_y")))
-        & (100 * small >= percent * large)
-        & (F.greatest("level_x", "level_y") <= demand)
+    mixed = settle(lists.select("token", "id", "part", "rank").join(main, "token").join(prefixes, "id"))
+    fields = ("id", "n", "matches", "prefix", "part", "rank")
+    x = mixed.where("part != main").select("token", *[F.col(c).alias(f"{c}_x") for c in fields])
+    y = mixed.withColumnsRenamed({c: f"{c}_y" for c in fields})
+    # the overlap that the pair needs, rounded up
+    need = f"(({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent})"
+    demand = "least(matches_x, matches_y)"
+    early = "array_intersect({})".format(
+        ", ".join(f"slice(prefix_{s}, 1, cast(greatest(0, n_{s} - {need} + {demand}) as int))" for s in "xy")
+    )
+    # the cheap conditions come first
+    meets = F.expr(
+        f"part_x != part_y AND (part_y = main OR id_x < id_y) AND {need} <= least(n_x, n_y)"
+        f" AND rank_x <= n_x - {need} + {demand} AND rank_y <= n_y - {need} + {demand}"
     )
     return (
-        x.join(y, (x["token"] == y["token"]) & meets)
-        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), demand.alias("demand"))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("demand").alias("demand"))
-        .where("shared >= demand").select("a", "b")
+        x.join(y, (x["token"] == y["token"]) & meets & F.exists(
+            F.array(F.expr(early)), lambda shared: (F.size(shared) >= F.expr(demand)) & (shared[0] == x["token"])
+        ))
+        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
     )
 
 
@@ -235,34 +263,25 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
     )
     sketch = spark.sparkContext.broadcast(_sketch(profile))
     firsts = docs.join(copies.select("id").distinct(), "id", "left_anti")
-    lists = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _POSTING))
+    prefixes = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _PREFIX))
+    lists = prefixes.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "id", "n", (F.col("pos") + 1).alias("rank")
+    )
     lists = lists.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
-    lists = settle(lists.mapInArrow(_sweep, f"{_POSTING}, mate long"))
-
-    def shingles(batches):
-        hasher = Hasher()
-        for batch in batches:
-            for texts, ids in runs(batch.column(1), batch.column(0)):
-                sets = list(_sets(texts, hasher, k))
-                at = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                flat = signed(np.concatenate(sets)) if sets else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at), flat)], names=["id", "shingles"])
+    lists = settle(lists.mapInArrow(_shared, _POSTING))
 
-    wanted = settle(lists.select("id").distinct())
-    sets = settle(firsts.join(wanted, "id", "left_semi").mapInArrow(shingles, _SET))
-
-    links = settle(verified(
-        lists.where("mate != id").select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct(),
-        sets, percent,
-    ))
-    parts = components(links)
-    for _ in range(ROUNDS - 1):
-        dealt = _with_part(lists, parts).select("token", "id", "part").withColumn("deal", F.xxhash64("id"))
-        dealt = dealt.repartitionByRange("token", "deal").sortWithinPartitions("token", "deal")
-        more = verified(dealt.mapInArrow(_other_part, "a long, b long").distinct(), sets, percent)
-        links = settle(links.union(more))
+    links, parts = None, None
+    for turn in range(ROUNDS):
+        if turn:
+            near = _with_part(lists, parts).withColumn("deal", F.xxhash64("id", F.lit(turn)))
+            near = near.repartitionByRange("token", "deal").sortWithinPartitions("token", "deal")
+        else:
+            near = lists.withColumn("part", F.col("id"))
+        near = near.select("token", "id", "part", "n", "rank").mapInArrow(_neighbours(percent), "a long, b long")
+        more = _verified(near.distinct(), firsts, k, percent)
+        links = settle(links.union(more) if turn else more)
         parts = components(links)
-    more = settle(verified(_across(_with_part(lists, parts), percent), sets, percent))
+    more = settle(_verified(_across(_with_part(lists, parts), prefixes, percent), firsts, k, percent))
     parts = components(links.union(more)).withColumnsRenamed({"id": "rep", "part": "component"})
 
     # all copies of a set share its first document's component

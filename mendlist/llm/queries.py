@@ -1,6 +1,8 @@
 """Every operator of this package as a query over whole tables, some beside their SQL twin."""
 
-from mendlist.llm import jaccard
+from pyspark.sql import functions as F
+
+from mendlist.llm import jaccard, substrings
 
 QUERIES = {}
 SQL = {}
@@ -18,3 +20,10 @@ def query(build):
 @query
 def op8_jaccard_join(spark, folder):
     return jaccard.jaccard_components(_documents(spark, folder), k=3, percent=90)
+
+
+@query
+def op4_repeated_passages(spark, folder):
+    return substrings.without_repeats(_documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )

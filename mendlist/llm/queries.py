@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mendlist.llm import jaccard, substrings
+from mendlist.llm import jaccard, langid, packing, quality, rules, substrings
 
 QUERIES = {}
 SQL = {}
@@ -27,3 +27,39 @@ def op4_repeated_passages(spark, folder):
     return substrings.without_repeats(_documents(spark, folder)).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def _remainder(n):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op1_quality_classifier(spark, folder):
+    docs = _documents(spark, folder)
+    seen = spark.read.parquet(f"{folder}/labels.parquet").where(_remainder(5) != 0)
+    weights = quality.fit(docs, seen)
+    return quality.score(docs.select("doc_id", "text"), weights).select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op2_quality_rules(spark, folder):
+    return rules.judged(_documents(spark, folder))
+
+
+@query
+def op5_cost_balanced_packing(spark, folder):
+    return packing.packed(_documents(spark, folder))
+
+
+@query
+def op10_language_profiles(spark, folder):
+    docs = _documents(spark, folder)
+    profiles = langid.learn(docs.where(_remainder(3) != 1))
+    return langid.predict(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score"
+    )

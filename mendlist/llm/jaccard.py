@@ -120,16 +120,17 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(k: int, percent: int, sketch):
-    def matches_of(n: int, slack: int, extra: np.ndarray) -> int:
-        """The number of matches to demand: extra is, by rank, how many others hold a shingle."""
-        lists = np.cumsum(extra)
+    def matches_of(n: int, slack: int, others: np.ndarray) -> int:
+        """The number of matches to demand: others is, by rank, how many more sets hold a shingle."""
+        lists = np.cumsum(others)
         choices = range(1, max(1, min(MAX_MATCHES, n - slack)) + 1)
-        # reading the lists, and comparing sets of n for fewer candidates with each match more
-        return min(choices, key=lambda m: lists[slack + m - 1] * (1 + n / m**2))
+        # in rows sorted: the prefix, its lists, and sets of n for fewer candidates with each match more
+        return min(choices, key=lambda m: slack + m + lists[slack + m - 1] * (0.1 + n / m**2 / 100))
 
     def prefixes(batches):
         hasher, counts = Hasher(), sketch.value
         noise = counts.mean()
+        unsure = np.sqrt(noise)
         for batch in batches:
             for texts, ids in runs(batch.column(1), batch.column(0)):
                 of, size, matches, prefix = [], [], [], []
@@ -141,7 +142,7 @@ def _prefixes(k: int, percent: int, sketch):
                     slack = n - -(-percent * n // 100)
                     most = slack + max(1, min(MAX_MATCHES, n - slack))
                     order = np.lexsort((s, df))[:most]
-                    m = matches_of(n, slack, np.maximum(df[order] - 1 - noise, 0))
+                    m = matches_of(n, slack, np.maximum(df[order] - 1 - noise, unsure))
                     of.append(i), size.append(n), matches.append(m), prefix.append(s[order[: slack + m]])
                 if prefix:
                     at = np.r_[0, np.cumsum([len(p) for p in prefix])].astype(np.int32)
@@ -154,16 +155,21 @@ def _prefixes(k: int, percent: int, sketch):
     return prefixes
 
 
-def _shared(batches):
-    """Rows, of posting lists sorted by token, whose token other rows may share.
+def _shared(percent: int):
+    """Rows of posting lists, sorted by (token, n, id), that have a partner of fitting size.
 
-    The first and last list of a batch may go on in another one and always stay.
+    The closest sizes of a list are next to each other. Its first and last list may go on
+    in another batch and always stay.
     """
-    for batch in batches:
-        if batch.num_rows:
-            token = batch.column(0).to_numpy()
-            same = np.r_[False, token[1:] == token[:-1]]
-            yield batch.filter(pa.array(same | np.r_[same[1:], False] | (token == token[0]) | (token == token[-1])))
+
+    def sweep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                token, n = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
+                fits = np.r_[False, (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]), False]
+                yield batch.filter(pa.array(fits[:-1] | fits[1:] | (token == token[0]) | (token == token[-1])))
+
+    return sweep
 
 
 def _neighbours(percent: int):
@@ -210,6 +216,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * either).select("a", "b")
 
 
+_DEMAND = "least(matches_x, matches_y)"
+
+
+def _need(percent: int) -> str:
+    """The overlap that a pair needs, rounded up."""
+    return f"(({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent})"
+
+
+def _early(percent: int):
+    """The tokens shared by both prefixes, as far as the demanded first ones can lie."""
+    sides = [f"slice(prefix_{s}, 1, cast(greatest(0, n_{s} - {_need(percent)} + {_DEMAND}) as int))" for s in "xy"]
+    return F.expr(f"array_intersect({', '.join(sides)})")
+
+
 def _with_part(lists: DataFrame, parts: DataFrame) -> DataFrame:
     return lists.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
 
@@ -229,23 +249,26 @@ def _across(lists: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     fields = ("id", "n", "matches", "prefix", "part", "rank")
     x = mixed.where("part != main").select("token", *[F.col(c).alias(f"{c}_x") for c in fields])
     y = mixed.withColumnsRenamed({c: f"{c}_y" for c in fields})
-    # the overlap that the pair needs, rounded up
-    need = f"(({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent})"
-    demand = "least(matches_x, matches_y)"
-    early = "array_intersect({})".format(
-        ", ".join(f"slice(prefix_{s}, 1, cast(greatest(0, n_{s} - {need} + {demand}) as int))" for s in "xy")
-    )
     # the cheap conditions come first
     meets = F.expr(
-        f"part_x != part_y AND (part_y = main OR id_x < id_y) AND {need} <= least(n_x, n_y)"
-        f" AND rank_x <= n_x - {need} + {demand} AND rank_y <= n_y - {need} + {demand}"
+        f"part_x != part_y AND (part_y = main OR id_x < id_y) AND {_need(percent)} <= least(n_x, n_y)"
+        f" AND rank_x <= n_x - {_need(percent)} + 1 AND rank_y <= n_y - {_need(percent)} + 1"
     )
-    return (
-        x.join(y, (x["token"] == y["token"]) & meets & F.exists(
-            F.array(F.expr(early)), lambda shared: (F.size(shared) >= F.expr(demand)) & (shared[0] == x["token"])
-        ))
-        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    first = F.exists(
+        F.array(_early(percent)), lambda shared: (F.size(shared) >= F.expr(_DEMAND)) & (shared[0] == x["token"])
     )
+    return x.join(y, (x["token"] == y["token"]) & meets & first).select(
+        F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")
+    )
+
+
+def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share as many tokens of their prefixes as demanded, early enough."""
+    sides = [
+        prefixes.select(F.col("id").alias(c), *[F.col(f).alias(f"{f}_{s}") for f in ("n", "matches", "prefix")])
+        for c, s in (("a", "x"), ("b", "y"))
+    ]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(F.size(_early(percent)) >= F.expr(_DEMAND)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text="text") -> DataFrame:
@@ -264,11 +287,13 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
     sketch = spark.sparkContext.broadcast(_sketch(profile))
     firsts = docs.join(copies.select("id").distinct(), "id", "left_anti")
     prefixes = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _PREFIX))
-    lists = prefixes.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select(
+    # the first match of a pair lies in the shortest prefix of both: only these make lists
+    shortest = F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")
+    lists = prefixes.select("id", "n", F.posexplode(shortest).alias("pos", "token")).select(
         "token", "id", "n", (F.col("pos") + 1).alias("rank")
     )
     lists = lists.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
-    lists = settle(lists.mapInArrow(_shared, _POSTING))
+    lists = settle(lists.mapInArrow(_shared(percent), _POSTING))
 
     links, parts = None, None
     for turn in range(ROUNDS):
@@ -278,7 +303,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
         else:
             near = lists.withColumn("part", F.col("id"))
         near = near.select("token", "id", "part", "n", "rank").mapInArrow(_neighbours(percent), "a long, b long")
-        more = _verified(near.distinct(), firsts, k, percent)
+        more = _verified(_promising(near.distinct(), prefixes, percent), firsts, k, percent)
         links = settle(links.union(more) if turn else more)
         parts = components(links)
     more = settle(_verified(_across(_with_part(lists, parts), prefixes, percent), firsts, k, percent))

@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from mendlist.llm import jaccard, langid, packing, quality, rules, substrings
+from mendlist.llm import (
+    attribution,
+    boilerplate,
+    decontaminate,
+    jaccard,
+    langid,
+    licenses,
+    packing,
+    quality,
+    rules,
+    substrings,
+)
 
 QUERIES = {}
 SQL = {}
@@ -63,3 +74,26 @@ def op10_language_profiles(spark, folder):
     return langid.predict(docs.select("doc_id", "text"), profiles).select(
         "doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op3_line_frequency(spark, folder):
+    return boilerplate.without_boilerplate(_documents(spark, folder)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@query
+def op6_license_scan(spark, folder):
+    """Documents as files at source/language/thousand/id."""
+    path = F.concat_ws("/", "source", "lang", F.expr("doc_id div 1000"), "doc_id")
+    return licenses.scan(_documents(spark, folder).select(path.alias("path"), "text"))
+
+
+@query
+def op7_section_tokens(spark, folder):
+    return attribution.token_counts(_documents(spark, folder))
+
+
+@query
+def op9_spaced_seeds(spark, folder):
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.leaks(_documents(spark, folder), items)

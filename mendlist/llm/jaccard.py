@@ -16,7 +16,8 @@ group of near copies by a number of comparisons in proportion to its size; then
 candidate pair that still lies in two components is compared. No pair is skipped otherwise,
 so the components are exact.
 
-Nulls, empty texts: no shingles, a component of their own. Fewer than k words: the whole
+Nulls, empty texts: no shingles, a component of their own. Null ids: linked with nothing,
+their component is null. Fewer than k words: the whole
 sequence is one shingle. Rows with the same id count as texts of one document each and
 fall into one component. Columns other than the two named are neither read nor kept.
 """
@@ -285,7 +286,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
         profile.where("n > 0").join(classes.where("size > 1"), ["n", "d1", "d2"]).where("id != rep").select("id", "rep")
     )
     sketch = spark.sparkContext.broadcast(_sketch(profile))
-    firsts = docs.join(copies.select("id").distinct(), "id", "left_anti")
+    firsts = docs.where("id is not null").join(copies.select("id").distinct(), "id", "left_anti")
     prefixes = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _PREFIX))
     # the first match of a pair lies in the shortest prefix of both: only these make lists
     shortest = F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")

@@ -13,7 +13,7 @@ set of languages of a label column it is small, and is checked against
 ``MAX_LANGUAGES`` before it is shared with the tasks.
 
 Null texts and those without a letter: ``und``, score 0. No training texts: ``und``.
-Null languages are never learnt. Repeated ids: each row is predicted.
+Null languages are never learnt. Columns named as the results are replaced. Repeated ids: each row is predicted.
 """
 
 import re
@@ -132,7 +132,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size=SIZE, text="t
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     told = F.arrow_udf(place, "lang_pred string, score double")(F.col(text).cast("string"))
-    return docs.withColumn("told", told).select(*docs.columns, "told.lang_pred", "told.score")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("__told", told).select(*kept, "__told.lang_pred", "__told.score")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -12,6 +12,7 @@ without a shuffle.
 
 Null and empty texts: no features, the score is the bias alone. Repeated ids: each row
 is scored. No labels: every score is 0.5. A document with both labels counts as good.
+A column named as the result is replaced.
 """
 
 import sys

@@ -15,9 +15,9 @@ on the input.
 Documents with the same words are compared once: later ones lose all words if they have
 a window's length, since the first one has the same windows.
 
-Null text: no words. Texts shorter than a window keep everything. Repeated ids: a row is
-removed against other ids only, and every row gives a result row. No columns other than the two named are
-kept.
+Null text: no words. Texts shorter than a window keep everything. Null id: keeps everything
+and removes nothing elsewhere. Repeated ids: rows are removed against other ids only and
+share the word positions removed. No columns other than the two named are kept.
 """
 
 import sys
@@ -146,6 +146,7 @@ def _cutter(window: int):
                 elif starts:
                     edge = np.zeros(len(parts) + 1, int)
                     starts = np.unique(starts)
+                    starts = starts[starts + window <= len(parts)]
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
                     keep = np.cumsum(edge)[:-1] == 0
@@ -164,7 +165,7 @@ def _cutter(window: int):
 def without_repeats(docs: DataFrame, window=WINDOW, phrase=PHRASE, id="doc_id", text="text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words of each document, apart by one space."""
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    profile = settle(docs.mapInArrow(_profiler(window, phrase), "id long, n int, d1 long, d2 long, phrase long"))
+    profile = settle(docs.where("id is not null").mapInArrow(_profiler(window, phrase), "id long, n int, d1 long, d2 long, phrase long"))
     whole = profile.where(F.col("phrase").isNull() & (F.col("n") >= window)).select("id", "n", "d1", "d2")
     firsts = whole.groupBy("n", "d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = settle(whole.join(firsts, ["n", "d1", "d2"]).where("id > first").select("id", F.lit(True).alias("copy")).distinct())

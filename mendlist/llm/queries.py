@@ -13,6 +13,7 @@ from mendlist.llm import (
     quality,
     rules,
     substrings,
+    twins,
 )
 
 QUERIES = {}
@@ -97,3 +98,11 @@ def op7_section_tokens(spark, folder):
 def op9_spaced_seeds(spark, folder):
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     return decontaminate.leaks(_documents(spark, folder), items)
+
+
+SQL |= {
+    "op2_quality_rules": twins.BASE_RULES,
+    "op3_line_frequency": twins.LINE_FREQUENCY,
+    "op4_repeated_passages": twins.REPEATED_PASSAGES,
+    "op8_jaccard_join": twins.JACCARD,
+}

@@ -35,8 +35,8 @@ from mendlist.llm.graph import components
 from mendlist.llm.words import Hasher, Texts, mix, runs, signed
 from mendlist.storage import settle
 
-#: Counters of the corpus sketch, which is 4 MB whatever the corpus, sent in blocks.
-SKETCH = 1 << 20
+#: Counters of the corpus sketch, which is 8 MB whatever the corpus, sent in blocks.
+SKETCH = 1 << 21
 BLOCK = 1 << 16
 MAX_MATCHES = 16
 #: Rounds of neighbour comparisons, each over another order of the posting lists, and how
@@ -46,7 +46,7 @@ NEIGHBOURS = 3
 
 _PROFILE = "id long, n int, d1 long, d2 long, block int, counts binary"
 _PREFIX = "id long, n int, matches int, prefix array<long>"
-_POSTING = "token long, id long, n int, rank int"
+_POSTING = "token long, id long, n int, rank int, tail long"
 _SET = "id long, shingles array<long>"
 
 
@@ -157,18 +157,38 @@ def _prefixes(k: int, percent: int, sketch):
 
 
 def _shared(percent: int):
-    """Rows of posting lists, sorted by (token, n, id), that have a partner of fitting size.
+    """Rows of posting lists, sorted by (token, n, id), that may have a partner of fitting size.
 
-    The closest sizes of a list are next to each other. Its first and last list may go on
-    in another batch and always stay.
+    A row's rank bounds the overlap, and with it the sizes a partner can have. Short lists
+    are tested pair by pair. The first and last list of a batch may go on in another
+    and always stay.
     """
+    span = 8
 
     def sweep(batches):
         for batch in batches:
-            if batch.num_rows:
-                token, n = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
-                fits = np.r_[False, (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]), False]
-                yield batch.filter(pa.array(fits[:-1] | fits[1:] | (token == token[0]) | (token == token[-1])))
+            if not batch.num_rows:
+                continue
+            token, n, rank = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3))
+            list_of = np.cumsum(np.r_[False, token[1:] != token[:-1]])
+            first = np.searchsorted(list_of, list_of)
+            length = np.searchsorted(list_of, list_of, "right") - first
+            most = n - rank + 1  # the overlap cannot be more
+            fits = np.zeros(len(n), bool)
+            for lag in range(1, min(span, len(n) - 1) + 1):
+                x, y = slice(None, -lag), slice(lag, None)
+                need = -(-percent * (n[x] + n[y]) // (100 + percent))
+                hit = (list_of[x] == list_of[y]) & (need <= np.minimum(most[x], most[y]))
+                fits[x] |= hit
+                fits[y] |= hit
+            # longer lists: is there any other size from the smallest to the largest that fits
+            key = list_of * (1 << 32) + n
+            low = np.searchsorted(key, list_of * (1 << 32) + -(-percent * n // 100))
+            top = np.minimum(most * (100 + percent) // percent - n, 100 * n // percent)
+            high = np.searchsorted(key, list_of * (1 << 32) + np.maximum(top, 0), "right")
+            others = high - low - (top >= n)
+            edge = (token == token[0]) | (token == token[-1])
+            yield batch.filter(pa.array(edge | fits | ((length > span + 1) & (others > 0))))
 
     return sweep
 
@@ -246,7 +266,7 @@ def _across(lists: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     main = sizes.groupBy("token").agg(
         F.max_by("part", F.struct("rows", "part")).alias("main"), F.min("part").alias("low"), F.max("part").alias("high")
     ).where("low < high").select("token", "main")
-    mixed = settle(lists.select("token", "id", "part", "rank").join(main, "token").join(prefixes, "id"))
+    mixed = lists.select("token", "id", "part", "rank").join(main, "token").join(prefixes, "id")
     fields = ("id", "n", "matches", "prefix", "part", "rank")
     x = mixed.where("part != main").select("token", *[F.col(c).alias(f"{c}_x") for c in fields])
     y = mixed.withColumnsRenamed({c: f"{c}_y" for c in fields})
@@ -290,8 +310,10 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
     prefixes = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _PREFIX))
     # the first match of a pair lies in the shortest prefix of both: only these make lists
     shortest = F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")
-    lists = prefixes.select("id", "n", F.posexplode(shortest).alias("pos", "token")).select(
-        "token", "id", "n", (F.col("pos") + 1).alias("rank")
+    lists = prefixes.select("id", "n", "prefix", F.posexplode(shortest).alias("pos", "token")).select(
+        "token", "id", "n", (F.col("pos") + 1).alias("rank"),
+        # what follows in the prefix: rows of a list that agree on it are the most alike
+        F.xxhash64(F.slice("prefix", F.col("pos") + 2, 3)).alias("tail"),
     )
     lists = lists.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
     lists = settle(lists.mapInArrow(_shared(percent), _POSTING))
@@ -300,7 +322,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
     for turn in range(ROUNDS):
         if turn:
             near = _with_part(lists, parts).withColumn("deal", F.xxhash64("id", F.lit(turn)))
-            near = near.repartitionByRange("token", "deal").sortWithinPartitions("token", "deal")
+            near = near.repartitionByRange("token", "tail", "deal").sortWithinPartitions("token", "tail", "deal")
         else:
             near = lists.withColumn("part", F.col("id"))
         near = near.select("token", "id", "part", "n", "rank").mapInArrow(_neighbours(percent), "a long, b long")

@@ -41,7 +41,9 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--category", help="package.module:function of the category model")
         sub.add_argument("--sentiment", help="package.module:function of the sentiment model")
 
-    step("ingest", "load an annotated CSV").add_argument("--csv", required=True)
+    sub = step("ingest", "load an annotated CSV")
+    sub.add_argument("--csv", required=True)
+    sub.add_argument("--one-line", action="store_true", help="no cell holds a line break: split large files")
     step("seed", "store the feature taxonomy")
     sub = step("preprocess", "clean, deduplicate, split, write training records")
     sub.add_argument("--test", type=float, default=fixed.TEST_SHARE)
@@ -55,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_argument("--models", help="folder of baseline models, instead of named ones")
     sub.add_argument("--split", default="test")
     sub.add_argument("--limit", type=int)
-    sub.add_argument("--run", default="latest")
+    sub.add_argument("--run", help="name of the run; the split unless given")
     step("score", "recompute criticality").add_argument("--half-life", type=int, default=fixed.HALF_LIFE_DAYS)
     sub = step("flow", "all steps in turn")
     models(sub)
@@ -83,7 +85,7 @@ def run(spark: SparkSession, args) -> None:
     tables = Tables(args.store)
     read = spark.read.parquet
     if args.step == "ingest":
-        ingest_csv(spark, args.csv, tables)
+        ingest_csv(spark, args.csv, tables, not args.one_line)
         say({"reviews": read(tables.reviews).count()})
     elif args.step == "seed":
         seed_features(spark, tables)

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mendlist.functions.binding import bound
+
 # The characters that count as white space, as themselves, as a
 # regex class body, and the part that is left of them after NFKC.
 SPACES = (
@@ -47,25 +49,45 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc()(F.when(~text.rlike(NFKC_STABLE), text)), text)
 
 
-def clean_text(text: Column) -> Column:
+def is_stable(text: Column) -> Column:
+    """True where NFKC changes nothing, for null too."""
+    return F.coalesce(text.rlike(NFKC_STABLE), F.lit(True))
+
+
+def _where_any(text: Column, marks, pattern: str, to: str) -> Column:
+    """``pattern`` replaced in texts that hold one of ``marks``, as any match must."""
+
+    def replaced(t):
+        found = F.lit(False)
+        for mark in marks:
+            found = found | F.contains(t, F.lit(mark))
+        return F.when(found, F.regexp_replace(t, pattern, to)).otherwise(t)
+
+    return bound(text, replaced)
+
+
+def clean_text(text: Column, stable=False) -> Column:
     """Readable one-line text; null becomes the empty string.
 
     Every step reads its input once, no pattern backtracks over a long run, and
     classes name the printable ASCII characters first, which most text is made of.
+    Most texts lack what a pattern needs and skip it. ``stable`` promises that NFKC
+    changes nothing.
     """
-    text = nfkc(F.coalesce(text.cast("string"), F.lit("")))
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    text = text if stable else nfkc(text)
+    text = _where_any(text, "<", r"<[^>]+>", " ")
     black = rf"[\x21-\x7e[^{NFKC_SPACE}]]"
-    text = F.regexp_replace(text, rf"(?:https?://|www\.){black}++", " ")
+    text = _where_any(text, ["://", "www."], rf"(?:https?://|www\.){black}++", " ")
     # an address always fills a whole blank-free run: one starting with a first
     # character, an @ later on, and a dot inside what follows the first such @
     to_at = rf"[\x21-\x3f\x41-\x7e[^{NFKC_SPACE}@]]*+"
     to_dot = rf"[\x21-\x2d\x2f-\x7e[^{NFKC_SPACE}.]]*+"
-    text = F.regexp_replace(text, rf"(?<!{black}){black}{to_at}@{black}{to_dot}\.{black}++", " ")
+    text = _where_any(text, "@", rf"(?<!{black}){black}{to_at}@{black}{to_dot}\.{black}++", " ")
     # control characters and white space together become single spaces
     gap = r"\x00-\x1f\x7f\x85\u1680\u2028\u2029"
     text = F.regexp_replace(text, rf"[[^\x21-\x7e]&&[{gap} ]]{{2,}}|[[^\x20-\x7e]&&[{gap}]]", " ")
-    return F.trim(F.regexp_replace(text, r"([!?.])\1{2,}", "$1$1"))
+    return F.trim(_where_any(text, ["!!!", "???", "..."], r"([!?.])\1{2,}", "$1$1"))
 
 
 def stripped(text: Column) -> Column:

@@ -154,3 +154,21 @@ def source_rates(aspects: DataFrame) -> DataFrame:
         for name in fixed.ASPECT_SOURCES
     ]
     return aspects.agg(total.alias("total"), *shares)
+
+
+def run_statistics(reviews: DataFrame, routed: DataFrame, features: DataFrame) -> DataFrame:
+    """One row on an inference run: reviews read, aspects by source, and what the taxonomy lacks.
+
+    ``unresolved`` counts the routed rows of keys without a feature, which are not
+    stored; ``unknown_keys`` lists these keys (no more than the labels there are).
+    """
+    lost = unresolved_aspects(routed, features).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("unresolved"), F.sort_array(F.collect_set("feature_key")).alias("unknown_keys")
+    )
+    known = lookup(features.select("feature_key"))
+    rates = source_rates(routed.join(known, "feature_key", "left_semi")).withColumnRenamed("total", "aspects")
+    read = reviews.agg(F.count("*").alias("reviews_processed"))
+    one = F.lit(1).alias("_one")
+    return (
+        read.select("*", one).join(rates.select("*", one), "_one").join(lost.select("*", one), "_one").drop("_one")
+    )

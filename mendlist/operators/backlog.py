@@ -132,31 +132,34 @@ def aspect_rows(aspects: DataFrame, features: DataFrame) -> DataFrame:
 def reviews_with_aspects(reviews: DataFrame, aspects: DataFrame, features: DataFrame) -> DataFrame:
     """One row per (review, aspect), and one for a review without aspects.
 
+    An aspect whose feature is not in ``features`` is not shown; its review is.
     The flat form for whole tables: nothing is collected per review. Written
-    as an inner join plus the reviews without aspects, because AQE can split a
-    review with very many aspects in an inner join but not in an outer one.
+    as an inner join plus the reviews without shown aspects, because AQE can split a
+    review with very many aspects in an inner join but not in an outer one. The
+    narrow aspect rows are stored once for both.
     """
-    shown = aspect_rows(aspects, features).select(
-        F.col("review_id").alias("id"),
-        "feature_key",
-        "sentiment",
-        "confidence",
-        F.col("source").alias("aspect_source"),
+    shown = settle(
+        aspect_rows(aspects, features).select(
+            F.col("review_id").alias("id"),
+            "feature_key",
+            "sentiment",
+            "confidence",
+            F.col("source").alias("aspect_source"),
+        )
     )
-    bare = reviews.join(aspects.select(F.col("review_id").alias("id")).distinct(), "id", "left_anti")
+    bare = reviews.join(shown.select("id").distinct(), "id", "left_anti")
     return reviews.join(shown, "id").unionByName(bare, allowMissingColumns=True)
 
 
 def page_with_aspects(page: DataFrame, aspects: DataFrame, features: DataFrame, per_list=LIST_ROWS) -> DataFrame:
     """A page of reviews, each with the list of all its aspects.
 
-    ``page`` comes from ``newest_page`` (at most 200 rows). It is stored first,
-    its ids are broadcast, and the aspect table is filtered where it lies and
-    read once. A review with
-    more than ``per_list`` aspects comes as several rows, numbered by ``part``.
+    ``page`` comes from ``newest_page`` (at most 200 rows). It is stored first;
+    its ids are broadcast after a count, and the aspect table is filtered where it lies and
+    read once. A list comes in parts of ``per_list`` aspects, numbered by ``part``.
     """
     page = settle(page)
-    ids = F.broadcast(page.select(F.col("id").alias("review_id")))
+    ids = lookup(page.select(F.col("id").alias("review_id")))
     shown = settle(aspect_rows(aspects.join(ids, "review_id", "left_semi"), features))
     item = F.struct("feature_key", "sentiment", "confidence", "source")
     lists = nest(shown, "review_id", "id", item, "aspects", per_list).withColumnRenamed("review_id", "id")

@@ -3,19 +3,27 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendlist.functions.text import clean_text, fingerprint, near_text
+from mendlist.functions.text import clean_text, fingerprint, is_stable, near_text
 from mendlist.operators.common import keep_first
 
 
 def clean_reviews(reviews: DataFrame, text="review_text") -> DataFrame:
-    """Clean the text and drop reviews that have none left."""
-    return reviews.withColumn(text, clean_text(F.col(text))).where(F.length(text) > 0)
+    """Clean the text and drop reviews that have none left.
+
+    Only texts that NFKC can change pass through Python.
+    """
+    return _cleaned(reviews, text).where(F.length(text) > 0)
+
+
+def _cleaned(reviews: DataFrame, text: str) -> DataFrame:
+    stable = is_stable(F.col(text).cast("string"))
+    plain = reviews.where(stable).withColumn(text, clean_text(F.col(text), stable=True))
+    return plain.unionByName(reviews.where(~stable).withColumn(text, clean_text(F.col(text))))
 
 
 def cleaning_report(reviews: DataFrame, text="review_text") -> DataFrame:
     """One row: reviews before, emptied by cleaning, and left."""
-    size = F.length(clean_text(F.col(text)))
-    return reviews.select(size.alias("n")).agg(
+    return _cleaned(reviews.select(text), text).select(F.length(text).alias("n")).agg(
         F.count("*").alias("rows_before"),
         F.count_if(F.col("n") == 0).alias("dropped_empty"),
         F.count_if(F.col("n") > 0).alias("rows_after"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mendlist.storage import settle
 
 BROADCAST_ROWS = 100_000  # narrow rows counted before they are broadcast
-LIST_ROWS = 10_000  # elements per nested list before it is split into parts
+LIST_ROWS = 10_000  # elements of one part of a nested list
 
 
 def keep_first(df: DataFrame, keys, order_by) -> DataFrame:
@@ -42,24 +42,35 @@ def lookup(df: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
     return broadcast_if_few(df, df.limit(rows + 1).count())
 
 
-def nest(df: DataFrame, key: str, row_id: str, element: Column, name: str, per_list=LIST_ROWS) -> DataFrame:
-    """Lists of ``element`` per key, ordered by ``row_id`` (unique within the key).
+def numbered(df: DataFrame, key: str, order_by, name="position") -> DataFrame:
+    """0-based places of the rows of each key in ``order_by`` order (unique within the key).
 
-    Keys with more than ``per_list`` rows come as several rows numbered by
-    ``part``, so no task ever holds an unbounded list. A count per key comes
-    first; where no key is that large (the usual case) one shuffle is enough.
+    Rows are range-partitioned by key and order, so a key with very many rows lies in
+    several consecutive partitions. A place is the row number within key and
+    partition, plus the key's rows in the partitions before. Only the first key of a
+    partition can have any, so that table has at most a row per partition.
     """
-    sizes = df.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > per_list)
-    large = settle(sizes.select(key, F.ceil(F.col("_rows") / per_list).alias("_parts")))
-    n_large = large.count()
-    rows = df.select(key, F.col(row_id).alias("_at"), element.alias("_item"))
-    if n_large == 0:
-        rows = rows.withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        rows = rows.join(broadcast_if_few(large, n_large), key, "left")
-        part = F.pmod(F.xxhash64("_at"), F.coalesce("_parts", F.lit(1)))
-        rows = rows.withColumn("part", part).drop("_parts").repartition(key, "part")
-    ordered = F.array_sort(F.collect_list(F.struct("_at", "_item")))
-    return rows.groupBy(key, "part").agg(
-        F.transform(ordered, lambda x: x["_item"]).alias(name)
+    order_by = list(order_by)
+    dealt = settle(df.repartitionByRange(key, *order_by).withColumn("_deal", F.spark_partition_id()))
+    counts = dealt.groupBy(key, "_deal").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy(key).orderBy("_deal").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(key, "_deal", F.sum("_rows").over(before).alias("_before")).where("_before > 0")
+    inside = F.row_number().over(W.partitionBy(key, "_deal").orderBy(*order_by)) - 1
+    return (
+        dealt.join(F.broadcast(offsets.withColumnsRenamed({key: "_key", "_deal": "_from"})),
+                   F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_from")), "left")
+        .withColumn(name, (inside + F.coalesce("_before", F.lit(0))).cast("bigint"))
+        .drop("_deal", "_key", "_from", "_before")
     )
+
+
+def nest(df: DataFrame, key: str, row_id: str, element: Column, name: str, per_list=LIST_ROWS) -> DataFrame:
+    """Lists of ``element`` per key, ordered by ``row_id``, rows alike in it by element.
+
+    Every list comes in parts of ``per_list`` consecutive elements, numbered by
+    ``part``; the parts of a key in order are its list, and no task ever holds more of it.
+    """
+    rows = numbered(df.select(key, F.col(row_id).alias("_at"), element.alias("_item")), key, ["_at", "_item"], "_place")
+    part = F.expr(f"_place div {per_list}").alias("part")
+    ordered = F.array_sort(F.collect_list(F.struct("_place", "_item")))
+    return rows.groupBy(key, part).agg(F.transform(ordered, lambda x: x["_item"]).alias(name))

@@ -56,6 +56,29 @@ def gold_sentiment_pairs(
     )
 
 
+def gold_pair_report(annotations: DataFrame, features: DataFrame, mapping=None) -> DataFrame:
+    """One row: annotations, and how many give no pair for want of a mapping, a valid sentiment or a name.
+
+    The causes are looked for in this order; counts per feature key come first.
+    """
+    named = features.select("feature_key", F.lit(True).alias("_named")).distinct()
+    counts = (
+        map_category(annotations, F.col("aspect_category"), mapping)
+        .groupBy("outcome", "feature_key")
+        .agg(F.count("*").alias("n"), F.count(gold_sentiment(F.col("polarity"))).alias("valid"))
+        .join(named, "feature_key", "left")
+    )
+    mapped, name = F.col("outcome") == "mapped", F.coalesce("_named", F.lit(False))
+    total = lambda c, on: F.coalesce(F.sum(F.when(on, c)), F.lit(0))
+    return counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("annotations"),
+        total(F.col("n"), ~mapped).alias("not_mapped"),
+        total(F.col("n") - F.col("valid"), mapped).alias("invalid_sentiment"),
+        total(F.col("valid"), mapped & ~name).alias("unnamed_feature"),
+        total(F.col("valid"), mapped & name).alias("kept"),
+    )
+
+
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return safe_ratio(2 * tp, 2 * tp + fp + fn)
 
@@ -83,9 +106,12 @@ def label_counts(outputs: DataFrame, names, threshold=fixed.DECISION_THRESHOLD)
 def category_metrics(outputs: DataFrame, names, threshold=fixed.DECISION_THRESHOLD) -> DataFrame:
     """(metric, value) rows of multi-label metrics.
 
+    ``threshold=None`` takes the best threshold of the sweep over the same rows.
     Averages run over the labels that have support (all of them when none has);
     F1 and support are given for every label.
     """
+    if threshold is None:
+        threshold = best_threshold(outputs, names).first()["threshold"]
     counts = label_counts(outputs, names, threshold)
     supported = F.max("support").over(W.partitionBy()) > 0  # one row per label
     counts = counts.withColumn("counted", (F.col("support") > 0) | ~supported)

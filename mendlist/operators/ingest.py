@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendlist import fixed
-from mendlist.operators.common import keep_first, nest
+from mendlist.operators.common import LIST_ROWS, keep_first, nest, numbered
 from mendlist.sources.readers import require_columns
 
 
@@ -76,14 +76,28 @@ def annotation_rows(rows: DataFrame, seq: Column) -> DataFrame:
     )
 
 
+def with_annotation_ids(annotations: DataFrame) -> DataFrame:
+    """``annotation_id``: a hash of the review, the annotation and its n-th occurrence there.
+
+    It stands for the same annotation whenever a file with it is loaded.
+    """
+    what = ["review_id", "aspect_term", "aspect_category", "polarity", "offset_from", "offset_to"]
+    alike = annotations.withColumn("_alike", F.unhex(stable_id(*[F.col(c) for c in what])))
+    return (
+        numbered(alike, "_alike", ["seq"], "_nth")
+        .withColumn("annotation_id", F.sha2(F.concat_ws("\x1f", F.hex("_alike"), F.col("_nth").cast("string")), 256))
+        .drop("_alike", "_nth")
+    )
+
+
 def bad_ratings(rows: DataFrame) -> DataFrame:
     """One row: how many ratings are not integers (they are stored as null)."""
     bad = F.col("rating").isNotNull() & safe_int(F.col("rating")).isNull()
     return rows.agg(F.count_if(bad).alias("bad_ratings"))
 
 
-def nest_annotations(annotations: DataFrame) -> DataFrame:
-    """(review_id, part, annotations): ordered annotation lists per review."""
+def nest_annotations(annotations: DataFrame, per_list=LIST_ROWS) -> DataFrame:
+    """(review_id, part, annotations): ordered annotation lists per review, in parts."""
     item = F.struct(
         "aspect_term",
         "aspect_category",
@@ -91,17 +105,18 @@ def nest_annotations(annotations: DataFrame) -> DataFrame:
         F.col("offset_from").alias("from"),
         F.col("offset_to").alias("to"),
     )
-    return nest(annotations, "review_id", "seq", item, "annotations")
+    return nest(annotations, "review_id", "seq", item, "annotations", per_list)
 
 
-def annotations_of(reviews: DataFrame, annotations="annotations") -> DataFrame:
-    """Annotation rows of reviews that carry them as a nested list."""
+def annotations_of(reviews: DataFrame, annotations="annotations", per_list=LIST_ROWS) -> DataFrame:
+    """Annotation rows of reviews that carry them as a nested list, whole or in parts."""
     item = F.col("_item")
+    part = F.col("part") if "part" in reviews.columns else F.lit(0)
     return reviews.select(
-        F.col("id").alias("review_id"), F.posexplode(annotations).alias("seq", "_item")
+        F.col("id").alias("review_id"), part.alias("_part"), F.posexplode(annotations).alias("seq", "_item")
     ).select(
         "review_id",
-        F.col("seq").cast("bigint").alias("seq"),
+        (F.col("_part") * per_list + F.col("seq")).cast("bigint").alias("seq"),
         item["aspect_term"].alias("aspect_term"),
         item["aspect_category"].alias("aspect_category"),
         item["polarity"].alias("polarity"),

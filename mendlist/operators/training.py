@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from mendlist import fixed
 from mendlist.functions.scores import safe_ratio
 from mendlist.functions.text import has_text, stripped, title_words
-from mendlist.operators.common import lookup
+from mendlist.operators.common import lookup, numbered
 from mendlist.sources.literals import labels as label_table
 from mendlist.sources.literals import literal_table
 from mendlist.sources.readers import require_rows
 
+MAX_CLASSES = 10_000
+
 _ASPECTS = "array<struct<category:string,sentiment:string>>"
 
 
@@ -114,29 +116,25 @@ def sentiment_histogram(records: DataFrame) -> DataFrame:
     return records.groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-def label_index(labels: DataFrame, label="label", limit=10_000) -> DataFrame:
-    """Alphabetical 0-based index of the distinct labels of a vocabulary.
-
-    More than ``limit`` distinct labels are no vocabulary and an error, found
-    before anything is ranked in one task.
-    """
+def label_index(labels: DataFrame, label="label") -> DataFrame:
+    """Alphabetical 0-based index of the distinct labels, however many there are."""
     distinct = labels.select(F.col(label).alias("label")).where(F.col(label).isNotNull()).distinct()
-    distinct = distinct.limit(limit + 1)  # one more than allowed leads to the error below
-    ranked = distinct.withColumn("label_index", F.row_number().over(W.orderBy("label")) - 1)
-    too_many = F.assert_true(F.col("label_index") < limit, F.lit(f"more than {limit} labels"))
-    return ranked.where(too_many.isNull())
+    return numbered(distinct.withColumn("_all", F.lit(0)), "_all", ["label"], "label_index").drop("_all")
 
 
 def vocabulary_of(records: DataFrame, given=None):
     """The given label vocabulary, else the sorted labels found in the records.
 
-    Reads the distinct labels of the training records on the driver; they form
-    the (small) vocabulary of a classifier.
+    The outputs of a classifier, so its labels must fit the driver: more than
+    ``MAX_CLASSES`` distinct ones are an error and need a vocabulary from the caller.
     """
     if given is not None:
         return tuple(sorted(set(given)))
-    found = label_index(records.select(F.explode("labels").alias("label")))
-    return tuple(r["label"] for r in found.orderBy("label_index").collect())
+    found = records.select(F.explode("labels").alias("label")).where("label is not null").distinct()
+    found = found.limit(MAX_CLASSES + 1).collect()  # one more than allowed leads to the error
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels; give a vocabulary")
+    return tuple(sorted(r["label"] for r in found))
 
 
 def multi_hot(labels: Column, vocabulary=fixed.LABELS) -> Column:
@@ -168,6 +166,12 @@ def category_examples(labels: DataFrame, progress: DataFrame, vocabulary=fixed.L
     )
 
 
+def checked_category_examples(labels: DataFrame, progress: DataFrame, vocabulary=fixed.LABELS) -> DataFrame:
+    """``category_examples``, an error without progress rows or without a labelled review."""
+    require_rows(progress, "labelling progress")
+    return require_rows(category_examples(labels, progress, vocabulary), "labelled reviews")
+
+
 def category_pos_weights(records: DataFrame, vocabulary=fixed.LABELS, labels="labels") -> DataFrame:
     """(label, positives, total, weight): negatives over positives, capped.
 

@@ -13,7 +13,6 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from mendlist import fixed, schemas
 from mendlist.functions.gates import sigmoid, softmax
@@ -22,6 +21,7 @@ from mendlist.operators import training as T
 from mendlist.operators.aspects import found_categories, rated_aspects
 from mendlist.plans.ingest import Tables
 from mendlist.sources.readers import read_records, require_rows
+from mendlist.storage import settle
 
 HASH_SIZE = 1 << 14
 ROUNDS = 10
@@ -64,7 +64,7 @@ def weights_by(df: DataFrame, key: str) -> dict:
 
 def fit_categories(featured: DataFrame, pos_weights: dict[str, float], rounds=ROUNDS) -> dict:
     """label -> model. ``featured`` has ``features`` and a ``labels`` list."""
-    featured = featured.select("features", "labels").persist(StorageLevel.MEMORY_AND_DISK)
+    featured = settle(featured.select("features", "labels"))
     models = {}
     for label, weight in sorted(pos_weights.items()):
         weight = max(weight, fixed.WEIGHT_EPSILON)  # 0 for a label that every record has
@@ -74,7 +74,6 @@ def fit_categories(featured: DataFrame, pos_weights: dict[str, float], rounds=RO
         )
         regression = LogisticRegression(labelCol="y", weightCol="w", maxIter=rounds, regParam=0.01)
         models[label] = regression.fit(data)
-    featured.unpersist()
     return models
 
 
@@ -122,7 +121,7 @@ def train(spark: SparkSession, tables: Tables, vocabulary=fixed.LABELS, limit=No
 
     def records(name, schema, split):
         df = read_records(spark, tables.records(name), schema, split=split)
-        return df if limit is None or split != "train" else df.limit(limit)
+        return df if limit is None or split != "train" else df.orderBy("review_id").limit(limit)
 
     labelled = require_rows(records("aspect_category", schemas.CATEGORY_RECORD, "train"), "training records")
     texts = fit_texts(labelled.select("text"))

@@ -10,6 +10,7 @@ from mendlist.plans.ingest import Tables, ingest_csv, seed_features
 from mendlist.plans.preprocess import preprocess
 from mendlist.sources.readers import active_features, read_split, require_rows
 from mendlist.sources.writers import write_aspects, write_scores
+from mendlist.storage import settle
 
 
 def infer(
@@ -19,24 +20,36 @@ def infer(
     sentiment_probs,
     split="test",
     limit=None,
-    run_id="latest",
+    run_id=None,
     threshold=fixed.DECISION_THRESHOLD,
-) -> int:
-    """Find the aspects of a split's reviews and store them as run ``run_id``."""
+) -> dict:
+    """Find the aspects of a split's reviews and store them as run ``run_id``.
+
+    The run is named after the split unless told otherwise, so the runs of
+    two splits stand side by side. Returns the run's statistics.
+    """
     reviews = read_split(spark, tables.splits, split, limit)
     features = spark.read.parquet(tables.features)
     routed = A.route_reviews(
         reviews, active_features(features), category_probs, sentiment_probs, threshold=threshold
     )
-    return write_aspects(A.resolve_aspects(routed, features), tables.aspects, run_id)
+    return store_run(reviews, routed, features, tables, run_id or split)
 
 
-def infer_with_models(spark: SparkSession, tables: Tables, models: Models, split="test", limit=None, run_id="latest") -> int:
+def infer_with_models(spark: SparkSession, tables: Tables, models: Models, split="test", limit=None, run_id=None) -> dict:
     """``infer`` by fitted baseline models."""
     reviews = read_split(spark, tables.splits, split, limit)
     features = spark.read.parquet(tables.features)
     routed = route_with_models(reviews, active_features(features), models)
-    return write_aspects(A.resolve_aspects(routed, features), tables.aspects, run_id)
+    return store_run(reviews, routed, features, tables, run_id or split)
+
+
+def store_run(reviews: DataFrame, routed: DataFrame, features: DataFrame, tables: Tables, run_id: str) -> dict:
+    """Store one run's aspects; returns counts, source rates and unknown feature keys."""
+    routed = settle(routed)
+    written = write_aspects(A.resolve_aspects(routed, features), tables.aspects, run_id)
+    stats = A.run_statistics(reviews, routed, features).first().asDict()
+    return stats | {"aspects_written": written}
 
 
 def score(spark: SparkSession, tables: Tables, half_life_days=fixed.HALF_LIFE_DAYS) -> int:
@@ -64,9 +77,7 @@ def run(
     return {
         "features": spark.read.parquet(tables.features).count(),
         "preprocessing": preprocess(spark, tables),
-        "aspects_written": infer(
-            spark, tables, category_probs, sentiment_probs, inference_split, inference_limit
-        ),
+        **infer(spark, tables, category_probs, sentiment_probs, inference_split, inference_limit),
         "scores_written": score(spark, tables, half_life_days),
     }
 

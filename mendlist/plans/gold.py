@@ -8,6 +8,7 @@ from mendlist.operators import evaluation as E
 from mendlist.operators.training import sentiment_index
 from mendlist.sources.readers import require_rows
 from mendlist.sources.writers import write_report
+from mendlist.storage import settle
 
 
 def evaluate(
@@ -47,9 +48,10 @@ def evaluate(
     report = category.select(F.lit("category").alias("task"), "*").unionByName(
         sentiment.select(F.lit("sentiment").alias("task"), "*")
     )
-    write_report(report, path)
-    stored = spark.read.schema(report.schema).json(path)
-    n_pairs = stored.where("task = 'sentiment' AND metric LIKE 'support_%'").agg(F.sum("value")).first()[0]
+    # checked before anything is left behind
+    report = settle(report)
+    n_pairs = report.where("task = 'sentiment' AND metric LIKE 'support_%'").agg(F.sum("value")).first()[0]
     if not n_pairs:
         raise ValueError("no usable gold sentiment pair")
-    return stored
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)

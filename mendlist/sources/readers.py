@@ -30,8 +30,10 @@ def read_csv(spark: SparkSession, path: str, multi_line=True) -> DataFrame:
     """A header CSV as strings, blank cells as ``""``.
 
     ``multi_line`` accepts quoted line breaks, at the price of one task per
-    file; turn it off for large files without them so that files are split.
-    Adds ``_file`` and ``_row``, which together give the order of the rows.
+    file; turn it off (``--one-line`` on the command line) for large files without
+    them, so that files are split.
+    Adds ``_file`` and ``_row``, which together give the order of the rows: by path,
+    by block of the file, and by row within the block.
     """
     # only the header is looked at: every column is a string
     raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
@@ -78,7 +80,7 @@ def read_split(spark: SparkSession, path: str, split: str, limit=None) -> DataFr
     return df if limit is None else df.limit(limit)
 
 
-def first_reviews(reviews: DataFrame, limit=fixed.INFERENCE_LIMIT) -> DataFrame:
+def first_reviews(reviews: DataFrame, limit: int) -> DataFrame:
     """(id, review_text) of the first ``limit`` reviews by id."""
     return reviews.select("id", "review_text").orderBy("id").limit(limit)
 

@@ -19,10 +19,11 @@ from mendlist.operators import priorities as P
 from mendlist.operators import split as L
 from mendlist.operators import taxonomy as X
 from mendlist.operators import training as T
+from mendlist.operators.common import nest
 from mendlist.plans import baseline
 from mendlist.plans.flow import analyse
 from mendlist.plans.gold import evaluate
-from mendlist.plans.ingest import csv_tables
+from mendlist.plans.ingest import Tables, ingest_csv
 from mendlist.sources import literals, readers, writers
 from mendlist.storage import fresh_path, settle
 from testbed import roles as R
@@ -263,6 +264,18 @@ def reviews_with_aspects(d):
     )
 
 
+@query(
+    "reviews_with_active_aspects",
+    f"""WITH {R.ASPECTS}, {R.REVIEWS}, {R.FEATURES}, active AS (SELECT * FROM features WHERE feature_key < 'm')
+    SELECT reviews.id, feature_key, round(confidence, 6) AS confidence
+    FROM reviews LEFT JOIN (aspects a JOIN active f ON a.feature_id = f.id) ON a.review_id = reviews.id""",
+)
+def reviews_with_active_aspects(d):
+    """A taxonomy that lacks some features: reviews stay when all of their aspects go."""
+    rows = B.reviews_with_aspects(d.reviews, d.aspects, d.features.where("feature_key < 'm'"))
+    return rows.select("id", "feature_key", r6("confidence"))
+
+
 # -- priorities and KPIs -------------------------------------------------------
 
 _TIER = """CASE WHEN negative >= 5 AND negative / CAST(mentions AS DOUBLE) >= 0.5 THEN 'Critical'
@@ -384,14 +397,42 @@ def clean_documents(d):
 @query(
     "cleaning_report",
     f"""SELECT count(*) AS rows_before, count(*) FILTER (n = 0) AS dropped_empty, count(*) FILTER (n > 0) AS rows_after
-    FROM (SELECT length({clean_sql('text')}) AS n FROM documents)""",
+    FROM (SELECT length({clean_sql('text')}) AS n FROM (
+      SELECT text FROM documents UNION ALL SELECT 'www.' || source || '/' || doc_id FROM documents))""",
 )
 def cleaning_report(d):
-    return C.cleaning_report(d.documents, "text")
+    """The documents, and for each a text that is nothing but an address."""
+    address = F.concat(F.lit("www."), "source", F.lit("/"), "doc_id").alias("text")
+    return C.cleaning_report(d.documents.select("text").union(d.documents.select(address)), "text")
+
+
+@query(
+    "clean_compatibility_forms",
+    "SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM (SELECT doc_id, "
+    "array_to_string(list_slice(regexp_extract_all(text, '[a-z]+'), 1, 50), ' ') AS text FROM documents) WHERE length(text) > 0",
+)
+def clean_compatibility_forms(d):
+    """Full-width letters and ligatures in place of plain ones, which NFKC turns back."""
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([a-z]+)")), 1, 50), " ")
+    wide = F.translate(words, "abcdexyz", "ａｂｃｄｅｘｙｚ")
+    wide = F.replace(F.replace(wide, F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ"))
+    return C.clean_reviews(d.documents.select("doc_id", wide.alias("text")), "text")
 
 
-def dedup_sql(key: str) -> str:
-    return f"""SELECT doc_id, source FROM documents
+def with_variants(d):
+    """The documents, and a near copy of each."""
+    near = F.concat(F.lit("* "), "text", F.lit(" !?")).alias("text")
+    return d.documents.select("doc_id", "source", "text").union(
+        d.documents.select((F.col("doc_id") + 10_000_000_000).alias("doc_id"), "source", near)
+    )
+
+
+_VARIANTS = """documents2 AS (SELECT doc_id, source, text FROM documents
+  UNION ALL SELECT doc_id + 10000000000, source, '* ' || text || ' !?' FROM documents)"""
+
+
+def dedup_sql(key: str, table: str = "documents") -> str:
+    return f"""SELECT doc_id, source FROM {table}
     QUALIFY row_number() OVER (PARTITION BY source, {key} ORDER BY doc_id) = 1"""
 
 
@@ -400,30 +441,34 @@ def dedup_exact(d):
     return C.dedup_reviews(d.documents, "doc_id", "text", "source", near=False).select("doc_id", "source")
 
 
-@query("dedup_near", dedup_sql(near_sql("text")))
+@query("dedup_near", f"WITH {_VARIANTS} {dedup_sql(near_sql('text'), 'documents2')}")
 def dedup_near(d):
-    return C.dedup_reviews(d.documents, "doc_id", "text", "source").select("doc_id", "source")
+    return C.dedup_reviews(with_variants(d), "doc_id", "text", "source").select("doc_id", "source")
 
 
 @query(
     "dedup_accounting",
-    f"""WITH d AS (SELECT source, text, {near_sql('text')} AS near FROM documents),
+    f"""WITH {_VARIANTS}, d AS (SELECT source, text, {near_sql('text')} AS near FROM documents2),
     n AS (SELECT (SELECT count(*) FROM d) AS a, (SELECT count(*) FROM (SELECT DISTINCT source, text FROM d)) AS b,
                  (SELECT count(*) FROM (SELECT DISTINCT source, near FROM d)) AS c)
     SELECT a AS rows_before, a - b AS exact_dropped, b - c AS near_dropped, c AS rows_after FROM n""",
 )
 def dedup_accounting(d):
-    return C.dedup_report(d.documents, "text", "source")
+    return C.dedup_report(with_variants(d), "text", "source")
 
 
 @query(
     "blank_near_keys",
     rf"""SELECT source, count(*) AS blank_near_keys FROM (
-      SELECT source, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents)
+      SELECT source, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM (
+        SELECT source, text FROM documents
+        UNION ALL SELECT source, regexp_replace(text, '[A-Za-z0-9]', '*', 'g') FROM documents))
     WHERE length(line) > 0 AND {near_sql('line')} = '' GROUP BY source""",
 )
 def blank_near_keys(d):
-    lines = readers.lines_as_reviews(d.documents.select("source", "text"))
+    """The documents, and each with signs in place of its letters."""
+    signs = d.documents.select("source", F.regexp_replace("text", "[A-Za-z0-9]", "*").alias("text"))
+    lines = readers.lines_as_reviews(d.documents.select("source", "text").union(signs))
     return C.blank_near_keys(lines, "review", "source")
 
 
@@ -481,9 +526,28 @@ def nest_annotations(d):
     )
 
 
-@query("bad_ratings", "SELECT count(*) AS bad_ratings FROM orders WHERE TRY_CAST(substr(o_orderpriority, 1, 2) AS DOUBLE) IS NULL")
+@query(
+    "nest_hot_review",
+    f"""WITH {R.ANNOTATED}, p AS (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY row_no) - 1 AS position,
+      row_no, term FROM annotated)
+    SELECT domain AS review_id, position // 50 AS part, min(position) AS first, count(*) AS n,
+    string_agg(row_no || ':' || term, '|' ORDER BY position) AS items FROM p GROUP BY 1, 2""",
+)
+def nest_hot_review(d):
+    """Lists of thousands of rows (few domains) come in ordered parts."""
+    rows = d.annotated.select("domain", "row_no", "term")
+    nested = nest(rows, "domain", "row_no", F.concat_ws(":", "row_no", "term"), "items", per_list=50)
+    return nested.select(
+        F.col("domain").alias("review_id"), "part", (F.col("part") * 50).alias("first"),
+        F.size("items").cast("bigint").alias("n"), F.array_join("items", "|").alias("items"),
+    )
+
+
+@query("bad_ratings", "SELECT count(*) AS bad_ratings FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")
 def bad_ratings(d):
-    return I.bad_ratings(d.orders.select(F.substring("o_orderpriority", 1, 2).alias("rating")))
+    """Urgent and high orders give their number, the others text."""
+    rating = F.when(F.col("o_orderpriority") == "1-URGENT", "1").when(F.col("o_orderpriority") == "2-HIGH", "2.0")
+    return I.bad_ratings(d.orders.select(F.coalesce(rating, "o_orderpriority").alias("rating")))
 
 
 @query(
@@ -523,10 +587,10 @@ def stable_ids(d):
 
 @query(
     "limited_scan",
-    "SELECT CAST(doc_id AS VARCHAR) AS id, text AS review_text FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 2500",
+    "SELECT CAST(doc_id AS VARCHAR) AS id, text AS review_text FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100",
 )
 def limited_scan(d):
-    return readers.first_reviews(d.documents_as_reviews)
+    return readers.first_reviews(d.documents_as_reviews, 100)
 
 
 # -- split ---------------------------------------------------------------------
@@ -662,14 +726,15 @@ def training_sentiment(d):
 def training_from_nested(d):
     nested = I.nest_annotations(I.annotation_rows(d.annotated, F.col("row_no")))
     item = lambda a: F.concat_ws(":", a["category"], F.coalesce(a["sentiment"], F.lit("-")))
-    parsed = T.parse_aspects(F.col("annotations"), KINDS)
-    return nested.select("review_id", F.array_join(F.transform(parsed, item), "|").alias("aspects"))
+    again = I.annotations_of(nested.withColumnRenamed("review_id", "id"))
+    master = T.master_records(I.review_records(d.annotated, ["row_no"]), T.aspect_pairs(again, KINDS))
+    return master.select("review_id", F.array_join(F.transform("aspects", item), "|").alias("aspects"))
 
 
 def _split_records(d):
-    """Category records whose split is the order status (three values)."""
-    lines = d.annotated.where(F.col("category").isin(*KINDS))
-    return lines.groupBy(F.col("sentence").alias("text"), F.col("domain").alias("split")).agg(
+    """All category records, without labels too, whose split is the order status (three values)."""
+    known = F.when(F.col("category").isin(*KINDS), F.col("category")).alias("category")
+    return d.annotated.select("sentence", "domain", known).groupBy(F.col("sentence").alias("text"), F.col("domain").alias("split")).agg(
         F.collect_set("category").alias("labels")
     )
 
@@ -678,8 +743,7 @@ def _split_records(d):
     "label_histogram",
     f"""WITH {R.ANNOTATED}, n AS (SELECT domain AS split, category AS label, count(DISTINCT sentence) AS n FROM annotated
       WHERE category IN ('economy', 'large', 'medium', 'small') GROUP BY 1, 2),
-    grid AS (SELECT DISTINCT domain AS split, unnest(['economy', 'large', 'medium', 'small', 'unseen']) AS label FROM annotated
-      WHERE category IN {_KINDS_SQL})
+    grid AS (SELECT DISTINCT domain AS split, unnest(['economy', 'large', 'medium', 'small', 'unseen']) AS label FROM annotated)
     SELECT split, label, coalesce(n, 0) AS n FROM grid LEFT JOIN n USING (split, label)""",
 )
 def label_histogram(d):
@@ -728,7 +792,7 @@ def multi_hot(d):
 
 @query(
     "category_pos_weights",
-    f"""WITH {R.ANNOTATED}, r AS (SELECT DISTINCT sentence, domain FROM annotated WHERE category IN {_KINDS_SQL}),
+    f"""WITH {R.ANNOTATED}, r AS (SELECT DISTINCT sentence, domain FROM annotated),
     total AS (SELECT count(*) AS total FROM r),
     n AS (SELECT label, (SELECT count(DISTINCT sentence) FROM annotated WHERE category = label) AS positives
           FROM (SELECT unnest(['economy', 'large', 'medium', 'small', 'unseen']) AS label))
@@ -976,6 +1040,22 @@ def source_rates(d):
     return A.source_rates(d.aspects).select("total", r6("finetuned_rate"), r6("llm_fallback_rate"))
 
 
+@query(
+    "inference_stats",
+    f"""WITH {R.ASPECTS}, {R.REVIEWS} SELECT (SELECT count(*) FROM reviews) AS reviews_processed,
+    count(*) FILTER (feature_id <> 'Brand#13') AS aspects,
+    round(count(*) FILTER (source = 'finetuned' AND feature_id <> 'Brand#13') / CAST(count(*) FILTER (feature_id <> 'Brand#13') AS DOUBLE), 6) AS finetuned_rate,
+    round(count(*) FILTER (source = 'llm_fallback' AND feature_id <> 'Brand#13') / CAST(count(*) FILTER (feature_id <> 'Brand#13') AS DOUBLE), 6) AS llm_fallback_rate,
+    count(*) FILTER (feature_id = 'Brand#13') AS unresolved, 'brand#13' AS unknown_keys FROM aspects""",
+)
+def inference_stats(d):
+    stats = A.run_statistics(d.reviews, _routed_lines(d), d.features.where("is_active"))
+    return stats.select(
+        "reviews_processed", "aspects", r6("finetuned_rate"), r6("llm_fallback_rate"), "unresolved",
+        F.array_join("unknown_keys", "|").alias("unknown_keys"),
+    )
+
+
 @query(
     "display_names",
     f"""WITH {R.ASPECTS} SELECT lower(feature_id) AS feature_key,
@@ -1106,6 +1186,22 @@ def gold_sentiment_pairs(d):
     return E.gold_sentiment_pairs(*_gold_inputs(d), _gold_features(d), MAPPING)
 
 
+@query(
+    "gold_pair_report",
+    f"""WITH {R.ANNOTATED}, {_MAPPED}, m AS (SELECT feature_key,
+      sentiment IN ('negative', 'positive') AS valid FROM mapped)
+    SELECT count(*) AS annotations, count(*) FILTER (feature_key IS NULL) AS not_mapped,
+    count(*) FILTER (feature_key IS NOT NULL AND NOT valid) AS invalid_sentiment,
+    count(*) FILTER (feature_key = 'usability' AND valid) AS unnamed_feature,
+    count(*) FILTER (feature_key = 'cost' AND valid) AS kept FROM m""",
+)
+def gold_pair_report(d):
+    """Missing polarities respelled as something unknown, and a taxonomy with one feature."""
+    _, notes = _gold_inputs(d)
+    polarity = F.when(F.col("polarity").isin("negative", "positive"), F.col("polarity")).otherwise("odd")
+    return E.gold_pair_report(notes.withColumn("polarity", polarity), _gold_features(d).where("feature_key = 'cost'"), MAPPING)
+
+
 _OUTCOME = """CASE WHEN c IN ('economy', 'large', 'small') THEN 'mapped' WHEN c = 'medium' THEN 'ignored' ELSE 'unmapped' END AS outcome"""
 
 
@@ -1167,6 +1263,20 @@ _LABEL_COUNTS = f"""{_ITEMS}, c AS (SELECT label, count(*) FILTER (p >= 0.55 AND
     count(*) FILTER (p >= 0.55 AND NOT t) AS fp, count(*) FILTER (p < 0.55 AND t) AS fn FROM rows_ GROUP BY label)"""
 
 
+@query(
+    "category_metrics_best",
+    f"""WITH {_ITEMS}, t AS (SELECT CAST(0.1 AS DOUBLE) + i * (CAST(0.15 AS DOUBLE) - 0.1 + 0.00) AS threshold FROM range(17) r(i)),
+    a AS (SELECT threshold, label, count(*) FILTER (p >= threshold AND t) AS tp, count(*) FILTER (p >= threshold AND NOT t) AS fp,
+      count(*) FILTER (p < threshold AND t) AS fn FROM rows_, t GROUP BY 1, 2),
+    b AS (SELECT threshold FROM (SELECT threshold, avg(coalesce(2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE), 0)) AS f1 FROM a GROUP BY 1)
+      ORDER BY round(f1, 12) DESC, threshold LIMIT 1), c AS (SELECT label, tp, fp, fn FROM a JOIN b USING (threshold)), {_RATES}
+    SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM ({_MICRO} UNION ALL {_MACRO}
+      UNION ALL SELECT 'optimal_threshold', round(threshold, 2) FROM b)""",
+)
+def category_metrics_best(d):
+    return E.category_metrics(d.category_outputs, NAMES, None).select("metric", r6("value"))
+
+
 @query("category_metrics", label_metrics_sql(_LABEL_COUNTS, 0.55))
 def category_metrics(d):
     return E.category_metrics(d.category_outputs, NAMES, 0.55).select("metric", r6("value"))
@@ -1214,16 +1324,17 @@ def sentiment_metrics(d):
       FROM annotated GROUP BY 1, 2, 3, 4) SELECT * FROM r""",
 )
 def csv_ingest_roundtrip(d):
-    path = fresh_path(d.spark, "annotated-csv")
-    d.annotated.drop("row_no").write.csv(path, header=True, escape='"')
-    reviews, notes = csv_tables(readers.read_annotated_csv(d.spark, path, multi_line=False))
-    stored = fresh_path(d.spark, "raw_reviews")
-    writers.append_reviews(reviews, stored)
-    writers.append_reviews(reviews, stored)  # a second load adds nothing
-    counts = notes.groupBy(F.col("review_id").alias("id")).agg(
+    """A small file first, then all rows: known reviews get the annotations they lack; a repeat adds nothing."""
+    some, everything = fresh_path(d.spark, "annotated-csv"), fresh_path(d.spark, "annotated-csv")
+    d.annotated.where("row_no % 3 = 0").drop("row_no").write.csv(some, header=True, escape='"')
+    d.annotated.drop("row_no").write.csv(everything, header=True, escape='"')
+    store = Tables(fresh_path(d.spark, "store"))
+    for path in (some, everything, everything):
+        ingest_csv(d.spark, path, store, multi_line=False)
+    counts = d.spark.read.parquet(store.annotations).groupBy(F.col("review_id").alias("id")).agg(
         F.count("*").alias("annotations"), F.count("offset_to").alias("spans")
     )
-    return readers.read_raw_reviews(d.spark, stored).join(counts, "id").select(
+    return readers.read_raw_reviews(d.spark, store.reviews).join(counts, "id").select(
         "id", "app_id", "review_text", "domain", F.col("rating").cast("bigint").alias("rating"), "source_review_id", "annotations", "spans"
     )
 

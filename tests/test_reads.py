@@ -62,6 +62,13 @@ def test_page_shows_all_aspects_of_its_reviews(store):
     assert sum(len(r.aspects) for r in split if r.id == "8") == 2
 
 
+def test_reviews_stay_without_known_features(store):
+    reviews, aspects, features = store
+    rows = B.reviews_with_aspects(reviews, aspects, features.where("feature_key = 'ads'")).collect()
+    assert {(r.id, r.feature_key) for r in rows if r.feature_key} == {("0", "ads"), ("4", "ads")}
+    assert {r.id for r in rows} == {r.id for r in reviews.collect()}
+
+
 def test_paging(store):
     order = [r.id for r in B.newest_page(store[0], limit=4, offset=2).collect()]
     assert order == ["8", "3", "4", "5"]

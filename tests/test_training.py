@@ -86,9 +86,11 @@ def test_label_index_and_vocabulary(table):
     assert T.vocabulary_of(df) == ("a", "b")
     assert T.vocabulary_of(df, ("z", "y", "z")) == ("y", "z")
     assert list(fixed.LABELS) == sorted(fixed.LABELS) and len(fixed.LABELS) == 12
-    many = table([(str(i),) for i in range(5)], "label string")
-    with pytest.raises(Exception, match="more than 3 labels"):
-        T.label_index(many, limit=3).collect()
+    many = table([(f"{i * 7919 % 12000:05}",) for i in range(24000)], "label string")
+    got = {r.label: r.label_index for r in T.label_index(many).collect()}
+    assert got == {f"{i:05}": i for i in range(12000)}
+    with pytest.raises(ValueError, match="more than"):
+        T.vocabulary_of(many.select(F.array("label").alias("labels")))
 
 
 def test_label_histogram(table):

@@ -128,3 +128,22 @@ def test_record_files(spark, table):
     assert readers.read_records(spark, path, schema, split="test").count() == 1
     assert [r.review_id for r in readers.read_records(spark, path, schema, split="val").collect()] == ["3"]
     assert readers.read_records(spark, path, schema, with_split=True).count() == 3
+
+
+def test_files_keep_their_order_and_add_up(spark, tmp_path):
+    """Order goes by path, not by size; a second load adds only what is new."""
+    head = "domain,app,sentence,category,term,sentiment,rating,review_id\n"
+    line = "games,Zap,Same text,cost,{},negative,{},r1\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text(head + line.format("first", 1))
+    (tmp_path / "in/b.csv").write_text(head + "".join(line.format(f"t{i:03}", 5) for i in range(300)))
+    store = Tables(str(tmp_path / "store"))
+    ingest_csv(spark, str(tmp_path / "in"), store)
+    notes = lambda: [r.aspect_term for r in spark.read.parquet(store.annotations).orderBy("seq").collect()]
+    assert notes() == ["first"] + [f"t{i:03}" for i in range(300)]
+    assert [r.rating for r in spark.read.parquet(store.reviews).collect()] == [1]
+    (tmp_path / "more.csv").write_text(head + line.format("new", 2) + line.format("first", 1) + line.format("new", 2))
+    for _ in range(2):
+        ingest_csv(spark, str(tmp_path / "more.csv"), store)
+        assert notes() == ["first"] + [f"t{i:03}" for i in range(300)] + ["new", "new"]
+    assert spark.read.parquet(store.reviews).count() == 1

@@ -100,9 +100,11 @@ def leaks(docs: DataFrame, items: DataFrame, share=SHARE, stretch=STRETCH, misse
     return (
         pairs.withColumn("equal", equal)
         .select(
-            F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "shift",
-            F.expr("aggregate(equal, 0, (n, x) -> n + x)").alias("n_matches"),
-            F.size("asked").alias("n_item"), best.alias("longest"),
+            F.col("id").alias("doc_id"), F.col("item").alias("item_id"),
+            *[c.cast("long").alias(n) for n, c in (
+                ("shift", F.col("shift")), ("n_matches", F.expr("aggregate(equal, 0, (n, x) -> n + x)")),
+                ("n_item", F.size("asked")), ("longest", best),
+            )],
         )
         .where((100 * F.col("n_matches") >= share * F.col("n_item")) | (F.col("longest") >= stretch - misses))
     )

@@ -117,7 +117,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     total = np.zeros((blocks, BLOCK), np.int64)
     for block, counts in rows:
         total[block] += np.frombuffer(counts, np.int64)
-    return total.reshape(-1)
+    return np.minimum(total.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
 def _prefixes(k: int, percent: int, sketch):

@@ -11,8 +11,8 @@ A unit can only reach the threshold if it holds one of the heaviest terms of a t
 without which the rest of the template's norm is too small; all other lines are dropped by
 one pattern before any term is counted, without loss.
 
-Ties: the higher cosine, then the license name; between license files of one directory the
-higher cosine, then license, then path. Null and empty texts: no license of their own, may inherit. Null
+Ties: of one unit the earlier template; of a file's lines the later license name; between license
+files of one directory the later license, then path. Null and empty texts: no license of their own, may inherit. Null
 path: no directory, may have a header. Repeated paths: each row is scanned and gets the best of
 all rows of its path. Only path and text are read.
 """
@@ -112,7 +112,7 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold=THRESHOLD, path="path"
     lines = settle(lines.where(F.col("line").rlike(pattern)).select("path", F.xxhash64("line").alias("unit"), _terms(F.col("line")).alias("terms")))
     headers = _cosines(lines.dropDuplicates(["path", "unit"]), model, threshold, ["path", "unit"])
     headers = headers.groupBy("path").agg(
-        F.max_by(F.struct("license", "cosine"), F.struct("cosine", F.expr("-unit"), "license")).alias("h")
+        F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("h")
     )
     some = settle(lines.select("path").distinct())
     whole = files.join(some, "path", "left_semi").select("path", F.xxhash64("text").alias("unit"), _terms(F.col("text")).alias("terms"))

@@ -104,5 +104,7 @@ SQL |= {
     "op2_quality_rules": twins.BASE_RULES,
     "op3_line_frequency": twins.LINE_FREQUENCY,
     "op4_repeated_passages": twins.REPEATED_PASSAGES,
+    "op6_license_scan": twins.LICENSES,
     "op8_jaccard_join": twins.JACCARD,
+    "op9_spaced_seeds": twins.SPACED_SEEDS,
 }

@@ -46,7 +46,7 @@ NEIGHBOURS = 3
 
 _PROFILE = "id long, n int, d1 long, d2 long, block int, counts binary"
 _PREFIX = "id long, n int, matches int, prefix array<long>"
-_POSTING = "token long, id long, n int, rank int, tail long"
+_POSTING = "token long, id long, n int, rank int, matches int"
 _SET = "id long, shingles array<long>"
 
 
@@ -157,38 +157,43 @@ def _prefixes(k: int, percent: int, sketch):
 
 
 def _shared(percent: int):
-    """Rows of posting lists, sorted by (token, n, id), that may have a partner of fitting size.
+    """Rows of posting lists, sorted by (token, n, id), that may be matches of some pair.
 
-    A row's rank bounds the overlap, and with it the sizes a partner can have. Short lists
-    are tested pair by pair. The first and last list of a batch may go on in another
-    and always stay.
+    A row's rank bounds the overlap, and with it the sizes a partner can have. ``lead``
+    marks the rows that may be the first match of a pair. Short lists are tested pair by
+    pair. The first and last list of a batch may go on in another and always stay.
     """
     span = 8
 
+    def fitting(list_of, n, most):
+        """Rows with another in their list for which the pair's need is within both bounds."""
+        fits = np.zeros(len(n), bool)
+        for lag in range(1, min(span, len(n) - 1) + 1):
+            x, y = slice(None, -lag), slice(lag, None)
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            hit = (list_of[x] == list_of[y]) & (need <= np.minimum(most[x], most[y]))
+            fits[x] |= hit
+            fits[y] |= hit
+        # longer lists: is there any other size from the smallest to the largest that fits
+        key = list_of * (1 << 32) + n
+        low = np.searchsorted(key, list_of * (1 << 32) + -(-percent * n // 100))
+        top = np.minimum(most * (100 + percent) // percent - n, 100 * n // percent)
+        high = np.searchsorted(key, list_of * (1 << 32) + np.maximum(top, 0), "right")
+        length = np.searchsorted(list_of, list_of, "right") - np.searchsorted(list_of, list_of)
+        return fits | ((length > span + 1) & (high - low - (top >= n) > 0))
+
     def sweep(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, n, rank = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3))
+            token, n, rank, matches = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 2, 3, 4))
             list_of = np.cumsum(np.r_[False, token[1:] != token[:-1]])
-            first = np.searchsorted(list_of, list_of)
-            length = np.searchsorted(list_of, list_of, "right") - first
-            most = n - rank + 1  # the overlap cannot be more
-            fits = np.zeros(len(n), bool)
-            for lag in range(1, min(span, len(n) - 1) + 1):
-                x, y = slice(None, -lag), slice(lag, None)
-                need = -(-percent * (n[x] + n[y]) // (100 + percent))
-                hit = (list_of[x] == list_of[y]) & (need <= np.minimum(most[x], most[y]))
-                fits[x] |= hit
-                fits[y] |= hit
-            # longer lists: is there any other size from the smallest to the largest that fits
-            key = list_of * (1 << 32) + n
-            low = np.searchsorted(key, list_of * (1 << 32) + -(-percent * n // 100))
-            top = np.minimum(most * (100 + percent) // percent - n, 100 * n // percent)
-            high = np.searchsorted(key, list_of * (1 << 32) + np.maximum(top, 0), "right")
-            others = high - low - (top >= n)
             edge = (token == token[0]) | (token == token[-1])
-            yield batch.filter(pa.array(edge | fits | ((length > span + 1) & (others > 0))))
+            # at the l-th match the overlap cannot be more than n - rank + l
+            lead = (rank <= n + 1 - -(-percent * n // 100)) & (edge | fitting(list_of, n, n - rank + 1))
+            stays = edge | lead | fitting(list_of, n, n - rank + matches)
+            named = pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead)], names=[*batch.schema.names, "lead"])
+            yield named.filter(pa.array(stays))
 
     return sweep
 
@@ -247,7 +252,9 @@ def _need(percent: int) -> str:
 
 def _early(percent: int):
     """The tokens shared by both prefixes, as far as the demanded first ones can lie."""
-    sides = [f"slice(prefix_{s}, 1, cast(greatest(0, n_{s} - {_need(percent)} + {_DEMAND}) as int))" for s in "xy"]
+    sides = [
+        f"slice(prefix_{s}, 1, size(filter(ranks_{s}, r -> r <= n_{s} - {_need(percent)} + {_DEMAND})))" for s in "xy"
+    ]
     return F.expr(f"array_intersect({', '.join(sides)})")
 
 
@@ -267,7 +274,7 @@ def _across(lists: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
         F.max_by("part", F.struct("rows", "part")).alias("main"), F.min("part").alias("low"), F.max("part").alias("high")
     ).where("low < high").select("token", "main")
     mixed = lists.select("token", "id", "part", "rank").join(main, "token").join(prefixes, "id")
-    fields = ("id", "n", "matches", "prefix", "part", "rank")
+    fields = ("id", "n", "matches", "ranks", "prefix", "part", "rank")
     x = mixed.where("part != main").select("token", *[F.col(c).alias(f"{c}_x") for c in fields])
     y = mixed.withColumnsRenamed({c: f"{c}_y" for c in fields})
     # the cheap conditions come first
@@ -286,7 +293,7 @@ def _across(lists: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
 def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share as many tokens of their prefixes as demanded, early enough."""
     sides = [
-        prefixes.select(F.col("id").alias(c), *[F.col(f).alias(f"{f}_{s}") for f in ("n", "matches", "prefix")])
+        prefixes.select(F.col("id").alias(c), *[F.col(f).alias(f"{f}_{s}") for f in ("n", "matches", "ranks", "prefix")])
         for c, s in (("a", "x"), ("b", "y"))
     ]
     return pairs.join(sides[0], "a").join(sides[1], "b").where(F.size(_early(percent)) >= F.expr(_DEMAND)).select("a", "b")
@@ -308,15 +315,26 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
     sketch = spark.sparkContext.broadcast(_sketch(profile))
     firsts = docs.where("id is not null").join(copies.select("id").distinct(), "id", "left_anti")
     prefixes = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _PREFIX))
-    # the first match of a pair lies in the shortest prefix of both: only these make lists
-    shortest = F.expr(f"slice(prefix, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")
-    lists = prefixes.select("id", "n", "prefix", F.posexplode(shortest).alias("pos", "token")).select(
-        "token", "id", "n", (F.col("pos") + 1).alias("rank"),
-        # what follows in the prefix: rows of a list that agree on it are the most alike
-        F.xxhash64(F.slice("prefix", F.col("pos") + 2, 3)).alias("tail"),
+    lists = prefixes.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "id", "n", (F.col("pos") + 1).alias("rank"), "matches"
     )
     lists = lists.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
-    lists = settle(lists.mapInArrow(_shared(percent), _POSTING))
+    rows = settle(lists.mapInArrow(_shared(percent), f"{_POSTING}, lead boolean"))
+    # what is left of each prefix, a few shared tokens, in order of rank
+    left = rows.groupBy("id").agg(
+        F.first("n").alias("n"), F.first("matches").alias("matches"),
+        F.array_sort(F.collect_set(F.struct("rank", "token", "lead"))).alias("rows"),
+    )
+    prefixes = settle(left.where("exists(rows, r -> r.lead)").select(
+        "id", "n", "matches", F.col("rows.rank").alias("ranks"), F.col("rows.token").alias("prefix"), F.col("rows.lead").alias("leads")
+    ))
+    lists = prefixes.select("id", "n", "ranks", "prefix", "leads", F.posexplode("prefix").alias("pos", "token")).where("leads[pos]")
+    lists = settle(lists.select(
+        "token", "id", "n", F.expr("ranks[pos]").alias("rank"),
+        # what follows in the prefix: rows of a list that agree on it are the most alike
+        F.xxhash64(F.slice("prefix", F.col("pos") + 2, 3)).alias("tail"),
+    ))
+    prefixes = prefixes.drop("leads")
 
     links, parts = None, None
     for turn in range(ROUNDS):
@@ -324,7 +342,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
             near = _with_part(lists, parts).withColumn("deal", F.xxhash64("id", F.lit(turn)))
             near = near.repartitionByRange("token", "tail", "deal").sortWithinPartitions("token", "tail", "deal")
         else:
-            near = lists.withColumn("part", F.col("id"))
+            near = lists.withColumn("part", F.col("id")).repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
         near = near.select("token", "id", "part", "n", "rank").mapInArrow(_neighbours(percent), "a long, b long")
         more = _verified(_promising(near.distinct(), prefixes, percent), firsts, k, percent)
         links = settle(links.union(more) if turn else more)

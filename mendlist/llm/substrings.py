@@ -9,7 +9,7 @@ on the input.
 2. Recurring phrases are compiled into Aho-Corasick automata, one shard for about a
    megabyte of documents with the phrases that those documents may hold, and all of its
    documents are streamed through it, which finds every place of every phrase.
-3. Windows whose representative was found are compared exactly, by 128-bit hashes
+3. Windows whose representative was found are compared exactly, by 96-bit hashes
    aggregated over the corpus, and those that start in an earlier document are removed.
 
 Documents with the same words are compared once: later ones lose all words if they have
@@ -127,7 +127,7 @@ def _finder(window: int, phrase: int):
                 h2 = other.spans(t.word_hashes(other), begin, begin + window, 1)
                 doc = t.doc[begin]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(h1), signed(h2), pa.array(ids.to_numpy()[doc]), pa.array((begin - t.first[doc]).astype(np.int32))],
+                    [signed(h1), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids.to_numpy()[doc]), pa.array((begin - t.first[doc]).astype(np.int32))],
                     names=["h1", "h2", "id", "at"],
                 )
 
@@ -176,7 +176,7 @@ def without_repeats(docs: DataFrame, window=WINDOW, phrase=PHRASE, id="doc_id",
         phrases.join(confirmed, "phrase", "left_semi").groupBy("id").agg(F.collect_set("phrase").alias("phrases"))
     )
     windows = settle(
-        docs.join(wanted, "id").mapInArrow(_finder(window, phrase), "h1 long, h2 long, id long, at int")
+        docs.join(wanted, "id").mapInArrow(_finder(window, phrase), "h1 long, h2 int, id long, at int")
     )
     owners = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     late = windows.join(owners, ["h1", "h2"]).where("id > low").groupBy("id").agg(F.collect_list("at").alias("starts"))

@@ -107,9 +107,10 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold=THRESHOLD, path="path"
     """
     model = Model(templates)
     files = files.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text"))
-    pattern = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(model.anchors(threshold)) + r")(?![\p{L}\p{N}])"
+    # between characters of no term, which fail at once inside a word
+    pattern = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(model.anchors(threshold)) + r")(?:$|[^\p{L}\p{N}])"
     lines = files.where(F.col("path").isNotNull()).select("path", F.explode(F.split("text", "\n")).alias("line"))
-    lines = settle(lines.where(F.col("line").rlike(pattern)).select("path", F.xxhash64("line").alias("unit"), _terms(F.col("line")).alias("terms")))
+    lines = settle(lines.where(F.lower("line").rlike(pattern)).select("path", F.xxhash64("line").alias("unit"), _terms(F.col("line")).alias("terms")))
     headers = _cosines(lines.dropDuplicates(["path", "unit"]), model, threshold, ["path", "unit"])
     headers = headers.groupBy("path").agg(
         F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("h")

@@ -1,28 +1,40 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions alone.
 
-Tokens are the lower-cased runs of letters and digits. A mask picks some of ``SPAN``
+Tokens are the lower-cased runs of letters and digits. A mask picks three of ``SPAN``
 consecutive tokens and ignores the rest, so a seed survives substitutions in ignored
 places. Seeds of all test items and of all documents, at every position, are joined by
 hash. A hit gives an alignment of item and document; its overlap is verified token by
 token: the item leaks if at least ``share`` percent of its tokens stand in place, or if some
 ``stretch`` aligned tokens hold at most ``misses`` substitutions.
 
+No such overlap is lost: of five aligned tokens on average three or more stand in place where
+60 % of an item do, so somewhere three of five do, and every choice of three of five is a mask.
+A stretch of 13 with 2 substitutions has four equal tokens in a row. (``share`` under 60 is
+allowed, but then an overlap without a seed is missed.) Masks that differ by a shift alone give
+one seed, and a seed may end with its text, so edges lose nothing. An overlap that is a leak has
+at least ``needed`` seeds; alignments with fewer are dropped before any text is read again.
+
 The seeds of all documents are never shuffled: a bitmap of the items' seeds, of at most
 2**15 longs whatever the number of items and therefore broadcast, lets by those that may match; then the
-exact join, by Spark's choice of strategy. Only documents with a hit are read again.
+exact join, by Spark's choice of strategy. Only documents with enough hits are read again.
 
-Null and empty texts and those shorter than a mask: no seeds, never a hit. Repeated item
+Null and empty texts, and items of fewer than three tokens: no seeds, never a hit. Of an item of
+three tokens only exact copies are found. Repeated item
 ids: each text is an item. Repeated document ids: each row is searched, results are by id.
 """
 
+from itertools import combinations
+from math import ceil, comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendlist.storage import settle
 
-# weight 7 of 11; the second is the mirror image of the first
-MASKS = ("11101001011", "11010010111")
-SPAN = 11
+SPAN = 5
+MASKS = tuple("".join("01"[k in c] for k in range(SPAN)) for c in combinations(range(SPAN), 3))
+# without the shifts: 111, 1101, 1011, 11001, 10101, 10011
+SEEDS = tuple(sorted({m.strip("0") for m in MASKS}, key=lambda m: (len(m), m)))
 SHARE = 60
 STRETCH = 13
 MISSES = 2
@@ -37,15 +49,50 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(split, lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
+def _fewest(top: int) -> dict[tuple[int, int], int]:
+    """{(length, matches): fewest seeds} of an overlap, for lengths up to ``top``."""
+    # by the last SPAN - 1 places; a match ends as many seeds as there are pairs of matches among them
+    state, found = {(0, 0): 0}, {}
+    for length in range(1, top + 1):
+        after = {}
+        for (last, n), seeds in state.items():
+            for x in (0, 1):
+                key = (last << 1 | x) & ((1 << (SPAN - 1)) - 1), n + x
+                total = seeds + x * comb(last.bit_count(), 2)
+                after[key] = min(total, after.get(key, total))
+        state = after
+        for (_, n), seeds in state.items():
+            found[length, n] = min(seeds, found.get((length, n), seeds))
+    return found
+
+
+def needed(share: int, stretch: int, misses: int, top: int = 64) -> list[int]:
+    """Place n: the fewest seeds of a leak of an item of n tokens; the last place holds for longer items too."""
+    fewest = _fewest(max(top, stretch))
+
+    def least(lengths, matches):
+        return min((s for (m, n), s in fewest.items() if m in lengths and n >= matches), default=0)
+
+    run = least(range(1, stretch + 1), stretch - misses)
+    rows = [least(range(1, n + 1), ceil(share * n / 100)) for n in range(top + 1)]
+    # the overlap of a longer item falls into pieces of top / 2 to top tokens, one of them with its share,
+    # or is itself shorter than that
+    pieces = [least(range(m, m + 1), ceil(share * m / 100)) for m in range(top // 2, top + 1)]
+    short = least(range(1, top // 2), ceil(share * top / 100))
+    rows[top] = min(rows[top], *pieces, *([short] if share * top < 50 * top else []))
+    return [max(1, min(n, run)) for n in rows]
+
+
 def _seeds(rows: DataFrame, id: str) -> DataFrame:
-    """(id, at, s0, s1, ...): a seed per mask for each place of ``tokens``."""
-    used = [k for k in range(SPAN) if any(m[k] == "1" for m in MASKS)]
-    room = F.greatest(F.size("tokens") - (SPAN - 1), F.lit(0))
-    shifted = F.arrays_zip(*[F.slice("tokens", F.lit(k + 1), room) for k in used])
+    """(id, at, s0, s1, ...): a seed per mask for each place of ``tokens``; null where the mask does not fit."""
+    shifted = F.arrays_zip(*[
+        F.slice("tokens", F.lit(k + 1), F.greatest(F.size("tokens") - k, F.lit(0))).alias(f"t{k}") for k in range(SPAN)
+    ])
     places = rows.select(id, F.posexplode(shifted).alias("at", "t"))
+    places = places.select(id, "at", "t.*")
     seeds = [
-        F.xxhash64(F.lit(j), *[F.col("t").getField(str(i)) for i, k in enumerate(used) if m[k] == "1"])
-        for j, m in enumerate(MASKS)
+        F.when(F.col(f"t{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(j), *[f"t{k}" for k, c in enumerate(m) if c == "1"]))
+        for j, m in enumerate(SEEDS)
     ]
     return places.select(id, "at", *[s.alias(f"s{j}") for j, s in enumerate(seeds)])
 
@@ -54,26 +101,32 @@ def _word(seed: Column) -> Column:
     return F.shiftrightunsigned(seed, 6).bitwiseAND(WORDS - 1)
 
 
+def _unpivoted(seeds: list[Column]) -> Column:
+    """A row per seed that is not null."""
+    return F.explode(F.filter(F.array(*seeds), lambda s: s.isNotNull())).alias("seed")
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (id, item, shift): document place less item place of a shared seed.
+    """(id, item, shift, n_seeds): document place less item place of shared seeds, and their number.
 
     docs: id, tokens; items: item, tokens.
     """
-    masks = range(len(MASKS))
-    known = settle(_seeds(items, "item").select("item", "at", F.explode(F.array(*[f"s{j}" for j in masks])).alias("seed")))
+    masks = range(len(SEEDS))
+    known = settle(_seeds(items, "item").select("item", "at", _unpivoted([F.col(f"s{j}") for j in masks])))
     bitmap = known.groupBy(_word(F.col("seed")).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")
     )
-    places, may = _seeds(docs, "id"), F.lit(False)
+    places, may = _seeds(docs, "id"), []
     for j in masks:
         # at most WORDS rows of two numbers
         part = F.broadcast(bitmap.select(F.col("word").alias(f"w{j}"), F.col("bits").alias(f"b{j}")))
         places = places.join(part, _word(F.col(f"s{j}")) == F.col(f"w{j}"), "left")
         bit = F.getbit(F.coalesce(f"b{j}", F.lit(0).cast("long")), F.col(f"s{j}").bitwiseAND(63).cast("int"))
-        may = may | (bit == 1)
-    passed = places.where(may).select("id", "at", F.explode(F.array(*[f"s{j}" for j in masks])).alias("seed"))
+        may.append(F.when(bit == 1, F.col(f"s{j}")))
+    passed = places.where(F.coalesce(*may).isNotNull()).select("id", "at", _unpivoted(may))
     at = known.select("seed", "item", F.col("at").alias("item_at"))
-    return passed.join(at, "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    found = passed.join(at, "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+    return found.groupBy("id", "item", "shift").agg(F.count("*").alias("n_seeds"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, share=SHARE, stretch=STRETCH, misses=MISSES,
@@ -83,9 +136,14 @@ def leaks(docs: DataFrame, items: DataFrame, share=SHARE, stretch=STRETCH, misse
     shift: token of the document at which the item would begin; n_matches: its tokens in
     place; longest: the most matches among ``stretch`` aligned tokens.
     """
-    items = settle(items.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("tokens")).where(F.size("tokens") >= SPAN))
+    items = settle(items.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("tokens")).where(F.size("tokens") > 0))
     docs = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    found = settle(hits(docs.select("id", tokens(F.col("text")).alias("tokens")), items))
+    least = needed(share, stretch, misses)
+    enough = F.element_at(F.array(*map(F.lit, least)), F.least(F.size("tokens"), F.lit(len(least) - 1)) + 1)
+    # a number per item id, as small as its texts allow
+    bounds = items.groupBy("item").agg(F.min(enough).alias("enough"))
+    found = hits(docs.select("id", tokens(F.col("text")).alias("tokens")), items)
+    found = settle(found.join(bounds, "item").where(F.col("n_seeds") >= F.col("enough")).select("id", "item", "shift"))
     some = settle(docs.join(found.select("id").distinct(), "id", "left_semi").select("id", tokens(F.col("text")).alias("tokens")))
     pairs = found.join(some, "id").join(items.withColumnRenamed("tokens", "asked"), "item")
     low, high = "greatest(0, -shift)", "least(size(asked), size(tokens) - shift)"

@@ -1,5 +1,6 @@
 """Each operator against brute force, on texts with copies, near copies and odd rows."""
 
+import itertools
 import random
 import zlib
 
@@ -257,6 +258,50 @@ def test_decontamination(spark):
     assert {tuple(r) for r in got.select("doc_id", "item_id", "shift", "n_matches", "n_item", "longest").collect()} == expected
 
 
+def _every_overlap(docs, items):
+    """Verified overlaps at every shift, without seeds."""
+    found = set()
+    for i, text in docs:
+        for j, item in items:
+            a, b = text.split(), item.split()
+            for s in range(1 - len(b), len(a)):
+                equal = [a[q + s] == b[q] for q in range(len(b)) if 0 <= q + s < len(a)]
+                longest = max(sum(equal[k : k + 13]) for k in range(max(1, len(equal) - 12)))
+                if 100 * sum(equal) >= 60 * len(b) or longest >= 11:
+                    found.add((i, j, s, sum(equal), len(b), longest))
+    return found
+
+
+def _leaks(spark, docs, items):
+    got = decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    return sorted(tuple(r) for r in got.select("doc_id", "item_id", "shift", "n_matches", "n_item", "longest").collect())
+
+
+def test_decontamination_loses_no_overlap(spark):
+    deal = random.Random(4)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (4, 5, 6, 8, 10, 11, 13, 14, 15, 20, 30, 60, 64, 65, 90)]
+    docs = []
+
+    def add(item, out, left=0, right=0, cut=slice(None)):
+        w = ["z" if k in out else x for k, x in enumerate(item.split())][cut]
+        docs.append((len(docs), " ".join(["a"] * left + w + ["b"] * right)))
+
+    for out in itertools.combinations(range(13), 2):
+        add(dict(items)[90], {k for k in range(90) if not 40 <= k < 53} | {40 + k for k in out}, deal.randint(0, 3))
+    for n, item in items:
+        for every in (3, 4):
+            add(item, set(range(every - 1, n, every)), 2, 2)
+        for _ in range(8):
+            add(item, set(deal.sample(range(n), n * 2 // 5)), deal.choice([0, 0, 4]), deal.choice([0, 0, 4]))
+        add(item, (), 3, 0, slice(0, -(-6 * n // 10)))
+        add(item, (), 0, 3, slice(n - -(-6 * n // 10), n))
+    expected = _every_overlap(docs, items)
+    assert {e[0] for e in expected} == set(range(len(docs)))
+    assert _leaks(spark, docs, items) == sorted(expected)
+
+
 def test_licenses(spark):
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/x.py", "code here\nmore"), ("a/b/y.py", None), ("a/b/c/z.py", ""),

@@ -18,8 +18,10 @@ The seeds of all documents are never shuffled: a bitmap of the items' seeds, of
 2**15 longs whatever the number of items and therefore broadcast, lets by those that may match; then the
 exact join, by Spark's choice of strategy. Only documents with enough hits are read again.
 
-Null and empty texts, and items of fewer than three tokens: no seeds, never a hit. Of an item of
-three tokens only exact copies are found. Repeated item
+Items of one or two tokens have one seed, their whole sequence, and documents get seeds of that
+length only if there are such items. Of items of up to three tokens just exact copies are found.
+
+Null and empty texts: no seeds, never a hit. Repeated item
 ids: each text is an item. Repeated document ids: each row is searched, results are by id.
 """
 
@@ -83,7 +85,7 @@ def needed(share: int, stretch: int, misses: int, top: int = 64) -> list[int]:
     return [max(1, min(n, run)) for n in rows]
 
 
-def _seeds(rows: DataFrame, id: str) -> DataFrame:
+def _seeds(rows: DataFrame, id: str, masks: list[str]) -> DataFrame:
     """(id, at, s0, s1, ...): a seed per mask for each place of ``tokens``; null where the mask does not fit."""
     shifted = F.arrays_zip(*[
         F.slice("tokens", F.lit(k + 1), F.greatest(F.size("tokens") - k, F.lit(0))).alias(f"t{k}") for k in range(SPAN)
@@ -92,7 +94,7 @@ def _seeds(rows: DataFrame, id: str) -> DataFrame:
     places = places.select(id, "at", "t.*")
     seeds = [
         F.when(F.col(f"t{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(j), *[f"t{k}" for k, c in enumerate(m) if c == "1"]))
-        for j, m in enumerate(SEEDS)
+        for j, m in enumerate(masks)
     ]
     return places.select(id, "at", *[s.alias(f"s{j}") for j, s in enumerate(seeds)])
 
@@ -111,12 +113,20 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs: id, tokens; items: item, tokens.
     """
-    masks = range(len(SEEDS))
-    known = settle(_seeds(items, "item").select("item", "at", _unpivoted([F.col(f"s{j}") for j in masks])))
+    # at most two rows: the lengths of items too short for a seed
+    sizes = items.select(F.size("tokens").alias("n")).where("n between 1 and 2").distinct().collect()
+    used = [*SEEDS, *("1" * n for n in sorted(r.n for r in sizes))]
+    masks = range(len(used))
+    own = [F.col(f"s{j}") for j in masks]
+    known = _seeds(items.where(F.size("tokens") > 2), "item", used).select("item", "at", _unpivoted(own[: len(SEEDS)]))
+    for j in masks[len(SEEDS):]:
+        short = items.where(F.size("tokens") == len(used[j]))
+        known = known.union(_seeds(short, "item", used).where("at = 0").select("item", "at", own[j]))
+    known = settle(known)
     bitmap = known.groupBy(_word(F.col("seed")).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")
     )
-    places, may = _seeds(docs, "id"), []
+    places, may = _seeds(docs, "id", used), []
     for j in masks:
         # at most WORDS rows of two numbers
         part = F.broadcast(bitmap.select(F.col("word").alias(f"w{j}"), F.col("bits").alias(f"b{j}")))

@@ -302,6 +302,16 @@ def test_decontamination_loses_no_overlap(spark):
     assert _leaks(spark, docs, items) == sorted(expected)
 
 
+def test_decontamination_finds_short_items(spark):
+    items = [(0, "Why?"), (1, "forty two"), (2, "one two three"), (3, "a b c d"), (4, " ".join(f"t{k}" for k in range(10)))]
+    docs = [(i, f"some {text}, more why not") for i, (_, text) in enumerate(items)]
+    docs += [(5, "forty"), (6, "forty x two"), (7, "why"), (8, "one two x"), (9, "forty two"), (10, "")]
+    got = _leaks(spark, docs, items)
+    why = [(i, 0, at, 1, 1, 1) for i, at in ((0, 1), (0, 3), (1, 4), (2, 5), (3, 6), (4, 12), (7, 0))]
+    copies = [(i, i, 1, n, n, n) for i, n in ((1, 2), (2, 3), (3, 4), (4, 10))] + [(9, 1, 0, 2, 2, 2)]
+    assert got == sorted(why + copies)
+
+
 def test_licenses(spark):
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/x.py", "code here\nmore"), ("a/b/y.py", None), ("a/b/c/z.py", ""),

@@ -406,6 +406,11 @@ def cleaning_report(d):
     return C.cleaning_report(d.documents.select("text").union(d.documents.select(address)), "text")
 
 
+def widened(words):
+    wide = F.translate(words, "abcdexyz", "ａｂｃｄｅｘｙｚ")
+    return F.replace(F.replace(wide, F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ"))
+
+
 @query(
     "clean_compatibility_forms",
     "SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM (SELECT doc_id, "
@@ -414,9 +419,18 @@ def cleaning_report(d):
 def clean_compatibility_forms(d):
     """Full-width letters and ligatures in place of plain ones, which NFKC turns back."""
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([a-z]+)")), 1, 50), " ")
-    wide = F.translate(words, "abcdexyz", "ａｂｃｄｅｘｙｚ")
-    wide = F.replace(F.replace(wide, F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ"))
-    return C.clean_reviews(d.documents.select("doc_id", wide.alias("text")), "text")
+    return C.clean_reviews(d.documents.select("doc_id", widened(words).alias("text")), "text")
+
+
+@query(
+    "clean_compatibility_forms_whole",
+    "SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM (SELECT doc_id, "
+    "array_to_string(regexp_extract_all(text, '[a-z]+'), ' ') AS text FROM documents) WHERE length(text) > 0",
+)
+def clean_compatibility_forms_whole(d):
+    """As above, over all words of each document."""
+    words = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)")), " ")
+    return C.clean_reviews(d.documents.select("doc_id", widened(words).alias("text")), "text")
 
 
 def with_variants(d):

@@ -60,20 +60,15 @@ def place(lengths: list[int], capacity: int = CAPACITY, quadratic: int = QUADRAT
     heapq.heapify(queue)
     while queue:
         n, i, start = heapq.heappop(queue)
-        n, passed = -n, []
-        while fills and room[fills[0][1]] - used[fills[0][1]] < n:
-            passed.append(heapq.heappop(fills))
-            if len(passed) == 64 and len(fills):  # enough looked at: cut the document
-                break
-        whole = bool(fills) and room[fills[0][1]] - used[fills[0][1]] >= n
-        cost, s = heapq.heappop(fills) if whole else min(passed or [fills[0]])
-        if not whole:
-            if (cost, s) in passed:
-                passed.remove((cost, s))
-            else:
-                heapq.heappop(fills)
-        for entry in passed:
-            heapq.heappush(fills, entry)
+        n, entry = -n, fills[0]
+        if room[entry[1]] - used[entry[1]] >= n:
+            heapq.heappop(fills)
+        else:
+            # of all with room for it the one of least cost; if there is none, the document is cut
+            entry = min((f for f in fills if room[f[1]] - used[f[1]] >= n), default=entry)
+            fills.remove(entry)
+            heapq.heapify(fills)
+        cost, s = entry
         part = min(n, room[s] - used[s])
         pieces.append((i, start, part, sequence + s, used[s]))
         used[s] += part

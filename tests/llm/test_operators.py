@@ -162,6 +162,20 @@ def test_packing_balances_cost():
     assert max(full) < 2 * min(full)
 
 
+def test_packing_cuts_only_what_fits_nowhere():
+    deal = random.Random(3)
+    for low, high in ((300, 700), (400, 600), (20, 1000)):
+        lengths = [deal.randint(low, high) for _ in range(2000)]
+        pieces, count = packing.place(lengths)
+        room = [0] * count
+        for _, _, n, s, _ in pieces:
+            room[s] += n
+        for i, start, n, s, _ in pieces:
+            rest = lengths[i] - start
+            assert n == rest or max(room) < rest
+            room[s] -= n
+
+
 def test_encoder_equals_the_file():
     import public_tokenizers as public
     from tokenizers import Tokenizer

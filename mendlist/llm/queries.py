@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 from mendlist.llm import (
     attribution,
     boilerplate,
+    codes,
+    collocations,
     decontaminate,
     jaccard,
     langid,
     licenses,
+    live_index,
     packing,
     quality,
     rules,
@@ -100,6 +103,21 @@ def op9_spaced_seeds(spark, folder):
     return decontaminate.leaks(_documents(spark, folder), items)
 
 
+@query
+def op11_value_dictionaries(spark, folder):
+    return codes.with_label_errors(codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet")))
+
+
+@query
+def op12_phrase_collocations(spark, folder):
+    return collocations.collocations(collocations.count_phrases(_documents(spark, folder)))
+
+
+@query
+def op13_live_exact_dedup(spark, folder):
+    return live_index.members(live_index.insert(None, _documents(spark, folder)))
+
+
 SQL |= {
     "op2_quality_rules": twins.BASE_RULES,
     "op3_line_frequency": twins.LINE_FREQUENCY,
@@ -107,4 +125,7 @@ SQL |= {
     "op6_license_scan": twins.LICENSES,
     "op8_jaccard_join": twins.JACCARD,
     "op9_spaced_seeds": twins.SPACED_SEEDS,
+    "op11_value_dictionaries": twins.VALUE_DICTIONARIES,
+    "op12_phrase_collocations": twins.COLLOCATIONS,
+    "op13_live_exact_dedup": twins.EXACT_DEDUP,
 }

@@ -109,3 +109,80 @@ SELECT f.path, coalesce(own.license, inh.license) AS license, coalesce(own.cosin
   coalesce(own.kind, CASE WHEN inh.path IS NOT NULL THEN 'inherited' ELSE 'none' END) AS how,
   CASE WHEN own.path IS NOT NULL THEN f.path ELSE inh.from_path END AS license_path
 FROM f LEFT JOIN own ON own.path = f.path LEFT JOIN inh ON inh.path = f.path"""
+
+
+def _assigned(number: int) -> str:
+    """Nearest entries under a codebook; distance and entry share one integer, so ties go to the lower entry."""
+    return f"""
+gaps{number} AS (
+  SELECT c.vec_id, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+  FROM cells c JOIN books{number} b ON c.part = b.part AND c.place = b.place GROUP BY ALL),
+near{number} AS (SELECT vec_id, part, min(d * 64 + entry) AS m FROM gaps{number} GROUP BY ALL)"""
+
+
+def _moved(number: int) -> str:
+    return f"""
+sums{number} AS (
+  SELECT c.part, n.m % 64 AS entry, c.place, sum(c.x) AS s, count(*) AS k
+  FROM cells c JOIN near{number} n ON c.vec_id = n.vec_id AND c.part = n.part GROUP BY ALL),
+books{number + 1} AS (
+  SELECT b.part, b.entry, b.place, coalesce((s.s - ((s.s % s.k) + s.k) % s.k) // s.k, b.x) AS x
+  FROM books{number} b LEFT JOIN sums{number} s ON b.part = s.part AND b.entry = s.entry AND b.place = s.place)"""
+
+
+VALUE_DICTIONARIES = f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding AS v, len(embedding) // 16 AS width FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+cells AS (
+  SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS place, CAST(floor(256 * CAST(v[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+books0 AS (SELECT c.part, f.entry, c.place, c.x FROM cells c JOIN first f USING (vec_id)),
+{_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(m % 64 AS INTEGER)), '' ORDER BY part) AS code,
+    CAST(sum(m // 64) AS BIGINT) AS error
+  FROM near2 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM books2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece
+    FROM documents)),
+grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i
+    FROM pieces, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+  GROUP BY ALL),
+candidates AS (SELECT * FROM grams WHERE size >= 2 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : size], ' ') AS tail FROM (
+    SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r,
+    (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(h.f AS HUGEINT) * t.f) AS score
+  FROM cuts c JOIN grams h ON h.lang = c.lang AND h.phrase = c.head JOIN grams t ON t.lang = c.lang AND t.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covers AS (
+  SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(f) AS f FROM (
+    SELECT lang, f, string_split(phrase, ' ') AS w, unnest([1, 2]) AS i FROM candidates WHERE size = 3) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank,
+  b.phrase, b.a, b.l, b.r, n, CAST(b.score AS BIGINT) AS score
+FROM best b JOIN totals USING (lang) LEFT JOIN covers c ON c.lang = b.lang AND c.phrase = b.phrase
+WHERE c.f IS NULL OR 100 * c.f < 50 * b.a
+QUALIFY rank <= 2000
+"""
+
+EXACT_DEDUP = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)
+"""

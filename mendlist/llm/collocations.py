@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from mendlist.llm.words import mix, signed
 from mendlist.storage import settle
 
-#: Bytes of text and words of a shard: about 300 MB of task memory.
-SHARD_BYTES = 8 << 20
-SHARD_WORDS = 1 << 21
+#: Bytes of text and words of a shard: about 150 MB of task memory.
+SHARD_BYTES = 4 << 20
+SHARD_WORDS = 1 << 20
 #: Largest size of a bitmap, and bits for each phrase known to pass as long as it is smaller.
 BITMAP = 1 << 27
 BITS_EACH = 16
@@ -57,17 +57,22 @@ def _pack(values: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32).astype(np.int64)
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32)
 
 
 def _order(sequence: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the suffixes, sorted by their first ``depth`` words or more."""
+    """Places of the suffixes, sorted by their first ``depth`` words or more, else in any order."""
     rank, width = sequence, 1
     while True:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
-        width *= 2
+        # as many neighbours in one number as 62 bits hold
+        bits = max(1, int(rank.max()).bit_length())
+        joined = min(62 // bits, -(-depth // width))
+        key = rank
+        for j in range(1, joined):
+            key = (key << bits) | np.roll(rank, -j * width)
+        width *= joined
         if width >= depth:
-            return np.argsort(key, kind="stable")
+            return np.argsort(key)
         rank = np.unique(key, return_inverse=True)[1]
 
 
@@ -78,20 +83,22 @@ def _sequences(texts: pa.Array, langs: pa.Array):
     data = _LOWER[np.frombuffer(raw, np.uint8)[at[0] : at[-1]]] if raw is not None else np.zeros(0, np.uint8)
     at = at - at[0]
     gap = _GAPS[data]
-    before = np.ones(len(data), bool)
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:] = gap[:-1]
+    after[:-1] = gap[1:]
     inner = at[(at > 0) & (at < len(data))]
     before[inner] = True
+    after[inner - 1] = True
     start = np.flatnonzero(~gap & before)
     if not len(start):
         return None
-    piece = np.cumsum(_ENDS[data], dtype=np.int64)[start]
+    length = np.flatnonzero(~gap & after) + 1 - start
+    piece = np.searchsorted(np.flatnonzero(_ENDS[data]), start)
     doc = np.searchsorted(at, start, "right") - 1
     # the bytes of all words, one after the other
-    inside = np.flatnonzero(~gap)
-    cuts = np.append(np.searchsorted(inside, start), len(inside)).astype(np.int64)
-    flat = pa.py_buffer(np.ascontiguousarray(data[inside]))
-    encoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), flat]).dictionary_encode()
+    cuts, flat = pa.py_buffer(np.r_[0, np.cumsum(length)]), pa.py_buffer(data[~gap])
+    encoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, cuts, flat]).dictionary_encode()
+    del gap, before, after
     lang = langs.dictionary_encode()
     code = encoded.indices.to_numpy().astype(np.int64)
     lang_of = lang.indices.to_numpy().astype(np.int64)[doc]
@@ -105,11 +112,13 @@ def _sequences(texts: pa.Array, langs: pa.Array):
 
 def _shard(sequence, words, langs, lang_of, sign: int, depth: int):
     """One stored row. Only words that occur in the sequence are kept."""
-    used = np.unique(sequence[sequence > 0])
-    number = np.zeros(len(words) + 1, np.int64)
-    number[used] = np.arange(1, len(used) + 1)
-    sequence = np.r_[0, number[sequence], 0]
-    words, lang_of = words.take(pa.array(used - 1)), lang_of[used - 1]
+    seen = np.bincount(sequence, minlength=len(words) + 1) > 0
+    seen[0] = False
+    used = np.flatnonzero(seen)
+    if len(used) < len(words):
+        sequence = np.cumsum(seen)[sequence] * seen[sequence]
+        words, lang_of = words.take(pa.array(used - 1)), lang_of[used - 1]
+    sequence = np.r_[0, sequence, 0].astype(np.int64)
     counts = np.bincount(sequence, minlength=len(used) + 1)
     # read in turn: sequence[i - 1] stands before suffix i, and before it in the reverse what follows
     left = np.roll(sequence, 1)[_order(sequence, depth)]
@@ -163,7 +172,7 @@ class _Index:
         self.words = pa.array([b"", *text.split(b"\n")], pa.binary()).cast(pa.string())
         self.lang_of = np.r_[0, ints(lang_of)]
         self.langs = pa.array(langs, pa.string())
-        self.counts = ints(first)
+        self.counts = ints(first).astype(np.int64)
         self.side = {"left": ints(left), "right": ints(right)}
         self.steps = {}
         starts = np.r_[0, np.cumsum(self.counts)[:-1]]
@@ -174,7 +183,7 @@ class _Index:
         """Where the row that begins with the word before (after) a row's phrase lies."""
         if to not in self.steps:
             order = np.argsort(self.side[to], kind="stable")
-            step = np.empty_like(order)
+            step = np.empty(len(order), np.int32)
             step[order] = np.arange(len(order))
             self.steps[to] = step
         return self.steps[to]
@@ -191,16 +200,20 @@ class _Index:
         of = np.repeat(np.arange(len(size)), size)
         row = np.arange(begin[-1]) - begin[of] + low[to][of]
         word = self.side[to][row]
-        order = np.argsort(of * len(self.counts) + word, kind="stable")
-        of, row, word = of[order], row[order], word[order]
-        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (word[1:] != word[:-1])]) if len(of) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(of)))
+        key = of * len(self.counts) + word
+        del word
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(key)))
+        of, word = np.divmod(key[new], len(self.counts))
+        first = np.minimum.reduceat(row, new) if len(new) else new
         # the rows of smaller words come first on the other side
-        lows = {to: self._step(to)[row[new]], away: low[away][of[new]] + new - begin[of[new]]}
-        added = word[new][:, None]
-        grown = np.hstack([added, ids[of[new]]] if to == "left" else [ids[of[new]], added])
+        lows = {to: self._step(to)[first], away: low[away][of] + new - begin[of]}
+        added = word[:, None]
+        grown = np.hstack([added, ids[of]] if to == "left" else [ids[of], added])
         self.level = grown, lows, count
-        self.keep(word[new] > 0)
+        self.keep(word > 0)
 
     def hashes(self, ids: np.ndarray) -> np.ndarray:
         return _phrase_hashes(self.known, ids)

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of settled results, as long as their DataFrames are in use.
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it from there afterwards.
 
     Cuts the lineage of results that several later steps read; the copy
     survives the loss of executors. Without ``path`` it lies in the shared
-    folder, under a name no other run uses, and may be deleted after the run.
+    folder, under a name no other run uses, and may be deleted after the run; ``release``
+    does so as soon as everything made from it is stored itself.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, "settled")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[settled] = path
+    return settled
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete the folders of settled results that no one reads any more.
+
+    What was made from them must be stored: a lost task could not be repeated otherwise.
+    Other DataFrames are left alone.
+    """
+    for df in settled:
+        path = _FOLDERS.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

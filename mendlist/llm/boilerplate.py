@@ -26,6 +26,16 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(line)))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer until no column (in any case) has them."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -48,20 +58,21 @@ def boilerplate(docs: DataFrame, ratio=RATIO, min_pages=MIN_PAGES, text="text",
 
 def without_boilerplate(docs: DataFrame, ratio=RATIO, min_pages=MIN_PAGES, text="text", host="source") -> DataFrame:
     """All rows and columns with the lines dropped from ``text``, and n_lines, n_dropped."""
-    dropped = settle(boilerplate(docs, ratio, min_pages, text, host)).select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
+    of, drop, rest = unused(docs.columns, "__host", "__drop", "__kept")
+    dropped = settle(boilerplate(docs, ratio, min_pages, text, host)).select(F.col("host").alias(of), F.col("drop").alias(drop))
     key = F.coalesce(F.col(host).cast("string"), F.lit(""))
     kept = F.filter(
-        _lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _key(x))
+        _lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains(drop, _key(x))
     )
     n = lambda lines: F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    shown = [F.col(c) for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+    shown = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
     return (
-        docs.join(dropped, key == F.col("__host"), "left")
-        .withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
+        docs.join(dropped, key == F.col(of), "left")
+        .withColumn(rest, F.when(F.col(drop).isNotNull(), kept))
         .select(
             *shown,
-            F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")).alias(text),
+            F.when(F.col(rest).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")).alias(text),
             F.when(F.col(text).isNull(), 0).otherwise(n(_lines(F.col(text)))).cast("long").alias("n_lines"),
-            F.when(F.col("__kept").isNull(), 0).otherwise(n(_lines(F.col(text))) - n(F.col("__kept"))).cast("long").alias("n_dropped"),
+            F.when(F.col(rest).isNull(), 0).otherwise(n(_lines(F.col(text))) - n(F.col(rest))).cast("long").alias("n_dropped"),
         )
     )

@@ -25,6 +25,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mendlist.llm.boilerplate import unused
+
 SIZE = 400
 MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
@@ -133,7 +135,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size=SIZE, text="t
 
     told = F.arrow_udf(place, "lang_pred string, score double")(F.col(text).cast("string"))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("__told", told).select(*kept, "__told.lang_pred", "__told.score")
+    (into,) = unused(docs.columns, "__told")
+    return docs.withColumn(into, told).select(*[F.col(f"`{c}`") for c in kept], f"{into}.lang_pred", f"{into}.score")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -21,7 +21,6 @@ files read in the same partitions give the same result.
 
 import heapq
 import sys
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +36,56 @@ BLOCK_TOKENS = 1 << 20
 END = 0
 
 _PIECE = (
-    "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 )
 
 
+class _LeastByRoom:
+    """Entries by free room, and the least of all with at least some room, in logarithmic time.
+
+    A tree over the amounts of room: each node holds the least entry below it.
+    """
+
+    def __init__(self, most: int):
+        self.half = 1 << most.bit_length()
+        self.tree = [None] * (2 * self.half)
+        self.heaps = [[] for _ in range(self.half)]
+
+    def _renew(self, room: int):
+        at = room + self.half
+        top = self.heaps[room][0] if self.heaps[room] else None
+        while self.tree[at] != top:
+            self.tree[at] = top
+            if at == 1:
+                break
+            other = self.tree[at ^ 1]
+            if other is not None and (top is None or other < top):
+                top = other
+            at >>= 1
+
+    def push(self, room: int, entry):
+        heap = self.heaps[room]
+        heapq.heappush(heap, (*entry, room))
+        if heap[0][1] == entry[1]:
+            self._renew(room)
+
+    def pop(self, room: int):
+        """The least entry with this much room or more, or None."""
+        a, b, best = room + self.half, 2 * self.half, None
+        while a < b:
+            if a & 1:
+                top = self.tree[a]
+                if top is not None and (best is None or top < best):
+                    best = top
+                a += 1
+            a >>= 1
+            b >>= 1
+        if best is not None:
+            heapq.heappop(self.heaps[best[2]])
+            self._renew(best[2])
+        return best
+
+
 def place(lengths: list[int], capacity: int = CAPACITY, quadratic: int = QUADRATIC):
     """(document index, start, length, sequence, offset) of each piece of one block."""
     pieces, tails, sequence = [], [], 0
@@ -54,28 +99,26 @@ def place(lengths: list[int], capacity: int = CAPACITY, quadratic: int = QUADRAT
     # full sequences, then powers of two for the rest
     room = [capacity] * (total // capacity)
     room += [1 << b for b in range(capacity.bit_length()) if total % capacity >> b & 1]
-    used, fills = [0] * len(room), [(0.0, s) for s in range(len(room))]
-    heapq.heapify(fills)
+    used, cost = [0] * len(room), [0.0] * len(room)
+    least = _LeastByRoom(capacity)
+    for s, free in enumerate(room):
+        least.push(free, (0.0, s))
     queue = [(-n, i, start) for n, i, start in tails]
     heapq.heapify(queue)
     while queue:
         n, i, start = heapq.heappop(queue)
-        n, entry = -n, fills[0]
-        if room[entry[1]] - used[entry[1]] >= n:
-            heapq.heappop(fills)
-        else:
-            # of all with room for it the one of least cost; if there is none, the document is cut
-            entry = min((f for f in fills if room[f[1]] - used[f[1]] >= n), default=entry)
-            fills.remove(entry)
-            heapq.heapify(fills)
-        cost, s = entry
-        part = min(n, room[s] - used[s])
+        # of all with room for it the one of least cost; if there is none, the document is cut
+        entry = least.pop(-n) or least.pop(1)
+        s = entry[1]
+        free = room[s] - used[s]
+        part = min(-n, free)
         pieces.append((i, start, part, sequence + s, used[s]))
         used[s] += part
-        if used[s] < room[s]:
-            heapq.heappush(fills, (cost + part + part * part / quadratic, s))
-        if part < n:
-            heapq.heappush(queue, (part - n, i, start + part))
+        cost[s] += part + part * part / quadratic
+        if part < free:
+            least.push(free - part, (cost[s], s))
+        if part < -n:
+            heapq.heappush(queue, (part + n, i, start + part))
     return pieces, sequence + len(room)
 
 
@@ -88,14 +131,15 @@ def _packer(vocabulary: Vocabulary, capacity: int, quadratic: int):
             nonlocal begun
             pieces, count = place([len(e) for e in encoded], capacity, quadratic)
             rows = [
-                (ids[i], start, n, zlib.crc32(encoded[i][start : start + n].tobytes()), len(encoded[i]), begun + s, at)
+                (ids[i], start, n, encoded[i][start : start + n].tobytes(), len(encoded[i]), begun + s, at)
                 for i, start, n, s, at in pieces
             ]
             begun += count
             ids.clear(), encoded.clear()
             columns = zip(*rows) if rows else [[]] * 7
-            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -112,7 +156,10 @@ def _packer(vocabulary: Vocabulary, capacity: int, quadratic: int):
 
 
 def packed(docs: DataFrame, capacity=CAPACITY, quadratic=QUADRATIC, vocabulary=None, id="doc_id", text="text") -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence."""
+    """One row per piece: where it lies in its document and in its sequence, and its token ids.
+
+    ids: little-endian unsigned 32-bit numbers, one after the other.
+    """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     pieces = docs.mapInArrow(_packer(vocabulary or Vocabulary(), capacity, quadratic), _PIECE)
     return pieces.withColumnRenamed("id", "doc_id")

@@ -68,7 +68,9 @@ def op2_quality_rules(spark, folder):
 
 @query
 def op5_cost_balanced_packing(spark, folder):
-    return packing.packed(_documents(spark, folder))
+    return packing.packed(_documents(spark, folder)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
 
 
 @query

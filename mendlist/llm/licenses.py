@@ -1,22 +1,25 @@
 """License scan with DataFrame functions alone: sparse TF-IDF cosine, and inheritance by path.
 
-Each line of a file is compared to the templates, and so is the whole file. A line at or
+What is compared to the templates of a file that names a license (``MARKER``): every line and every
+block of adjacent lines that do so, and the whole file, this to the forms alone that make
+license files (no tags, no headers of source files). A line or block at or
 above ``threshold`` is a license header of its file; a file that as a whole reaches it is
 a license file of its directory, and its own license too. Files with neither inherit from the nearest
 ancestor directory with a license file.
 
 Terms are lower-cased runs of letters and digits. Weights are tf * idf with
 ``idf = ln((1 + T) / (1 + df)) + 1`` over the T templates; a term of no template has df 0.
-A unit can only reach the threshold if it holds one of the heaviest terms of a template, those
-without which the rest of the template's norm is too small; all other lines are dropped by
-one pattern before any term is counted, without loss.
+Each unit is scored in its own row: the templates' weights are one literal map of
+fixed size, terms of no template only add to the norm. Nothing but one license
+per file is stored or shuffled.
 
-Ties: of one unit the earlier template; of a file's lines the later license name; between license
+Ties: of one unit the earlier template; of a file's units the later license name; between license
 files of one directory the later license, then path. Null and empty texts: no license of their own, may inherit. Null
 path: no directory, may have a header. Repeated paths: each row is scanned and gets the best of
 all rows of its path. Only path and text are read.
 """
 
+import json
 import math
 import re
 from collections import Counter
@@ -24,22 +27,14 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendlist.llm.license_texts import FILE_FORMS, templates
 from mendlist.storage import settle
 
 THRESHOLD = 0.7
-
-# License names and customary notices.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
-]
+TEMPLATES = templates()
+#: A unit is compared if it matches, in lower case: licenses name themselves or one of their terms.
+MARKER = "licen[cs]|copyright|spdx|public domain|warrant|permission|redistribut"
+BLANK_LINES = "\n[ \t\r\n]*\n"
 
 
 def _words(text: str) -> list[str]:
@@ -50,46 +45,59 @@ class Model:
     """Template weights, fitted on the templates alone; of their size."""
 
     def __init__(self, templates):
-        counts = [(name, Counter(_words(text))) for name, text in templates]
-        df = Counter(t for _, c in counts for t in c)
-        idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
+        counts = [Counter(_words(text)) for _, text in templates]
+        df = Counter(t for c in counts for t in c)
+        self.names = [name for name, _ in templates]
+        self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
         self.unknown = math.log(1 + len(counts)) + 1
-        self.idf, self.weights = idf, []
-        for i, (name, c) in enumerate(counts):
-            norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
-            self.weights += [(i, name, t, n * idf[t] / norm) for t, n in c.items()]
-
-    def anchors(self, threshold: float) -> list[str]:
-        """Terms of which any unit that reaches the threshold holds one."""
-        found = set()
-        for i in {w[0] for w in self.weights}:
-            own = sorted(((w, t) for j, _, t, w in self.weights if j == i), reverse=True)
-            rest = sum(w * w for w, _ in own)
-            for w, t in own:
-                if rest < threshold**2 * (1 - 1e-9):
-                    break
-                found.add(t)
-                rest -= w * w
-        return sorted(found)
+        norms = [math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items())) for c in counts]
+        #: by term, its part of the unit vector of each template
+        self.weights = {t: [c[t] * idf / norm for c, norm in zip(counts, norms)] for t, idf in self.idf.items()}
+
+    def literal(self) -> Column:
+        """term -> (idf, weight in each template)."""
+        entries = {t: {"idf": self.idf[t], "weights": self.weights[t]} for t in sorted(self.idf)}
+        return F.from_json(F.lit(json.dumps(entries, ensure_ascii=False)), "map<string, struct<idf: double, weights: array<double>>>")
 
 
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _cosines(units: DataFrame, model: Model, threshold: float, keys: list[str]) -> DataFrame:
-    """keys, license, cosine: the best template of each unit (keys, terms) that reaches the threshold."""
-    spark = units.sparkSession
-    # tables of the templates' size
-    known = F.broadcast(spark.createDataFrame(sorted(model.idf.items()), "term string, idf double"))
-    weights = F.broadcast(spark.createDataFrame(model.weights, "template int, license string, term string, weight double"))
-    counts = units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    counts = settle(counts.join(known, "term", "left").withColumn("own", F.col("tf") * F.coalesce("idf", F.lit(model.unknown))))
-    norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("norm"))
-    dots = counts.join(weights, "term").groupBy(*keys, "template", "license").agg(F.sum(F.col("own") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, keys).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
-    best = F.max_by(F.struct("license", "cosine"), F.struct("cosine", (-F.col("template")).alias("first")))
-    return scored.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.license", "best.cosine")
+def _squares(terms: Column) -> Column:
+    """The sum of the squared counts of the distinct terms: equal ones follow each other when sorted."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+
+    def add(s, t):
+        run = F.when(t == s["last"], s["run"]).otherwise(F.lit(0).cast("long"))
+        # (run + 1)^2 - run^2
+        return F.struct(t.alias("last"), (run + 1).alias("run"), (s["total"] + 2 * run + 1).alias("total"))
+
+    return F.aggregate(F.array_sort(terms), start, add, lambda s: s["total"])
+
+
+def _scored(units: DataFrame, model: Model, file_forms: int) -> DataFrame:
+    """license and cosine: the best template of each row's ``unit``; of a ``whole`` file's among the first ones."""
+    vocabulary = sorted(model.idf)
+    units = units.withColumn("terms", _terms(F.col("unit")))
+    units = units.select(
+        "*", F.filter("terms", lambda t: t.isin(vocabulary)).alias("known"),
+        _squares(F.filter("terms", lambda t: ~t.isin(vocabulary))).alias("unknown"),
+    ).drop("terms", "unit")
+    table = model.literal()
+    units = units.withColumn("counts", F.transform(F.array_distinct("known"), lambda t: F.struct(
+        F.size(F.filter("known", lambda x: x == t)).alias("tf"), F.element_at(table, t).alias("m")
+    ))).drop("known")
+    zeros = F.array_repeat(F.lit(0.0), len(model.names))
+    dots = F.aggregate("counts", zeros, lambda acc, c: F.zip_with(
+        acc, c["m"]["weights"], lambda a, w: a + c["tf"] * c["m"]["idf"] * w
+    ))
+    own = F.aggregate("counts", F.lit(0.0), lambda a, c: a + F.pow(c["tf"] * c["m"]["idf"], F.lit(2.0)))
+    dots = F.slice(dots, F.lit(1), F.when(F.col("whole"), file_forms).otherwise(len(model.names)))
+    units = units.withColumns({"dots": dots, "norm": F.sqrt(own + F.col("unknown") * F.lit(model.unknown**2))}).drop("counts", "unknown")
+    units = units.where("norm > 0").withColumn("dot", F.array_max("dots"))
+    name = F.element_at(F.array(*[F.lit(n) for n in model.names]), F.array_position("dots", F.col("dot")).cast("int"))
+    return units.withColumns({"license": name, "cosine": F.round(F.col("dot") / F.col("norm"), 6)}).drop("dots", "dot", "norm")
 
 
 def ancestors(path: Column) -> Column:
@@ -100,26 +108,21 @@ def ancestors(path: Column) -> Column:
     )
 
 
-def scan(files: DataFrame, templates=TEMPLATES, threshold=THRESHOLD, path="path", text="text") -> DataFrame:
+def scan(files: DataFrame, templates=TEMPLATES, file_forms=FILE_FORMS, threshold=THRESHOLD, path="path", text="text") -> DataFrame:
     """(path, license, cosine, how, license_path) of each file.
 
+    The first ``file_forms`` templates may be a whole file.
     how: 'file', 'header', 'inherited' or 'none'; license_path: the file it comes from.
     """
-    model = Model(templates)
     files = files.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text"))
-    # between characters of no term, which fail at once inside a word
-    pattern = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(model.anchors(threshold)) + r")(?:$|[^\p{L}\p{N}])"
-    lines = files.where(F.col("path").isNotNull()).select("path", F.explode(F.split("text", "\n")).alias("line"))
-    lines = settle(lines.where(F.lower("line").rlike(pattern)).select("path", F.xxhash64("line").alias("unit"), _terms(F.col("line")).alias("terms")))
-    headers = _cosines(lines.dropDuplicates(["path", "unit"]), model, threshold, ["path", "unit"])
-    headers = headers.groupBy("path").agg(
-        F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("h")
-    )
-    some = settle(lines.select("path").distinct())
-    whole = files.join(some, "path", "left_semi").select("path", F.xxhash64("text").alias("unit"), _terms(F.col("text")).alias("terms"))
-    owned = _cosines(whole.dropDuplicates(["path", "unit"]), model, threshold, ["path", "unit"])
-    owned = owned.groupBy("path").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", "license")).alias("f"))
-    own = settle(headers.join(owned, "path", "full"))
+    named = files.where(F.col("path").isNotNull() & F.lower("text").rlike(MARKER))
+    parts = F.concat(F.split("text", "\n"), F.split("text", BLANK_LINES))
+    marked = F.filter(parts, lambda u: F.lower(u).rlike(MARKER))
+    units = named.select("path", "text", F.explode(F.array_distinct(F.concat(marked, F.array("text")))).alias("unit"))
+    units = units.select("path", (F.col("unit") == F.col("text")).alias("whole"), "unit")
+    found = _scored(units, Model(templates), file_forms).where(F.col("cosine") >= threshold)
+    best = F.struct("cosine", "license")
+    own = settle(found.groupBy("path").agg(F.max(F.when(F.col("whole"), best)).alias("f"), F.max(best).alias("h")))
 
     at = F.struct("f.cosine", "f.license", "path")
     shelves = settle(

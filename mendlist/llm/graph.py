@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendlist.storage import settle
+from mendlist.storage import release, settle
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         low = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         wide = arcs.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b"))
         wide = wide.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-        edges = settle(_relink(wide))
+        before, edges = edges, settle(_relink(wide))
+        release(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("part")).union(

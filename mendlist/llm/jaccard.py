@@ -18,12 +18,14 @@ so the components are exact.
 
 Nulls, empty texts: no shingles, a component of their own. Null ids: linked with nothing,
 their component is null. Fewer than k words: the whole
-sequence is one shingle. Rows with the same id count as texts of one document each and
-fall into one component. Columns other than the two named are neither read nor kept.
+sequence is one shingle. Rows with the same id are texts of one document: links of any of them
+are its links, so they fall into one component. Where such texts differ, each gets a number
+of its own for the join. Columns other than the two named are neither read nor kept.
 """
 
 import sys
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from mendlist.llm.graph import components
 from mendlist.llm.words import Hasher, Texts, mix, runs, signed
-from mendlist.storage import settle
+from mendlist.operators.common import numbered
+from mendlist.storage import release, settle
 
 #: Counters of the corpus sketch, which is 8 MB whatever the corpus, sent in blocks.
 SKETCH = 1 << 21
@@ -65,6 +68,11 @@ def _sets(texts: pa.Array, hasher: Hasher, k: int):
             yield whole[i : i + 1] if n else whole[:0]
 
 
+def _digests(s: np.ndarray):
+    """Two digests of a set of shingle hashes."""
+    return (np.bitwise_xor.reduce(mix(s)), np.add.reduce(s)) if len(s) else (np.uint64(0), np.uint64(0))
+
+
 def _profiler(k: int):
     def profile(batches):
         hasher, counts, seen = Hasher(), np.zeros(SKETCH, np.int32), False
@@ -74,8 +82,8 @@ def _profiler(k: int):
                 for s in _sets(texts, hasher, k):
                     np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
                     n.append(len(s))
-                    d1.append(np.bitwise_xor.reduce(mix(s)) if len(s) else np.uint64(0))
-                    d2.append(np.add.reduce(s) if len(s) else np.uint64(0))
+                    for digests, d in zip((d1, d2), _digests(s)):
+                        digests.append(d)
                 seen = True
                 none = pa.nulls(len(n))
                 yield pa.RecordBatch.from_arrays(
@@ -231,15 +239,45 @@ def _shingler(k: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, made from the texts of these documents alone, link."""
-    pairs = settle(pairs)
+    """The pairs (a, b), stored, whose sets, made from the texts of these documents alone, link."""
     ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = settle(docs.join(ids, "id", "left_semi").mapInArrow(_shingler(k), _SET))
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right")).cast("long")
     either = F.size("left") + F.size("right") - both
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * either).select("a", "b")
+    found = settle(pairs.join(a, "a").join(b, "b").where(100 * both >= percent * either).select("a", "b"))
+    release(ids, sets)
+    return found
+
+
+class _Links:
+    """Verified links, and all pairs compared so far: none is compared twice."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.docs, self.k, self.percent = docs, k, percent
+        self.links, self.compared = [], []
+
+    def _known(self, parts) -> DataFrame:
+        return reduce(DataFrame.union, parts)
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Compares the pairs (a, b) not compared yet; whether there were new links."""
+        if self.compared:
+            pairs = pairs.join(self._known(self.compared), ["a", "b"], "left_anti")
+        pairs = settle(pairs)
+        if not pairs.count():
+            release(pairs)
+            return False
+        self.compared.append(pairs)
+        self.links.append(_verified(pairs, self.docs, self.k, self.percent))
+        return self.links[-1].count() > 0
+
+    def all(self) -> DataFrame:
+        return self._known(self.links) if self.links else self.docs.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+
+    def release(self):
+        release(*self.links, *self.compared)
 
 
 _DEMAND = "least(matches_x, matches_y)"
@@ -299,6 +337,49 @@ def _promising(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame
     return pairs.join(sides[0], "a").join(sides[1], "b").where(F.size(_early(percent)) >= F.expr(_DEMAND)).select("a", "b")
 
 
+def _marked(k: int):
+    """Texts with the size and digests of their sets."""
+
+    def mark(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for texts, ids in runs(batch.column(1), batch.column(0)):
+                sets = list(_sets(texts, hasher, k))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, texts.cast(pa.string()), pa.array([len(s) for s in sets], pa.int32()),
+                     *(signed(np.array(d, np.uint64)) for d in zip(*map(_digests, sets)))],
+                    names=["id", "text", "n", "d1", "d2"],
+                )
+
+    return mark
+
+
+def _numbered_apart(docs: DataFrame, profile: DataFrame, k: int):
+    """(docs, profile, other): ids that have texts with different sets get a number for each of these.
+
+    other: number, id; None if there are no such ids. Numbers are below (above, if there is no room) all ids.
+    """
+    digests = F.struct("n", "d1", "d2")
+    texts = profile.where("n > 0 and id is not null")
+    several = settle(
+        texts.groupBy("id").agg(F.min(digests).alias("low"), F.max(digests).alias("high")).where("low != high").select("id")
+    )
+    if not several.count():
+        release(several)
+        return docs, profile, None
+    edge = profile.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    other = settle(texts.join(several, "id", "left_semi").select("id", "n", "d1", "d2").distinct())
+    # consecutive numbers, whatever the partitions
+    other = numbered(other.withColumn("all", F.lit(0)), "all", ["id", "n", "d1", "d2"], "place").drop("all")
+    below = edge.low > -(1 << 62)
+    other = settle(other.withColumn("number", F.lit(edge.low - 1) - F.col("place") if below else F.lit(edge.high + 1) + F.col("place")).drop("place"))
+    apart = docs.join(several, "id", "left_semi").mapInArrow(_marked(k), "id long, text string, n int, d1 long, d2 long")
+    apart = apart.join(other, ["id", "n", "d1", "d2"]).select(F.col("number").alias("id"), "text")
+    docs = docs.join(several, "id", "left_anti").union(apart)
+    renamed = profile.join(other, ["id", "n", "d1", "d2"], "left").withColumn("id", F.coalesce("number", "id")).drop("number")
+    return settle(docs), settle(renamed.select(*profile.columns)), other
+
+
 def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text="text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents linked at ``percent`` % or more.
 
@@ -307,36 +388,40 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     profile = settle(docs.mapInArrow(_profiler(k), _PROFILE))
-    classes = settle(profile.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
-    # identical sets: all but the first of each class
-    copies = settle(
-        profile.where("n > 0").join(classes.where("size > 1"), ["n", "d1", "d2"]).where("id != rep").select("id", "rep")
-    )
     sketch = spark.sparkContext.broadcast(_sketch(profile))
-    firsts = docs.where("id is not null").join(copies.select("id").distinct(), "id", "left_anti")
-    prefixes = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _PREFIX))
-    lists = prefixes.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select(
+    docs, profile, other = _numbered_apart(docs, profile.where("block is null").select("id", "n", "d1", "d2"), k)
+    sets = profile.where("n > 0 and id is not null")
+    classes = settle(sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
+    # identical sets: all but the first of each class
+    copies = settle(sets.join(classes, ["n", "d1", "d2"]).where("id != rep").select("id", "rep"))
+    release(classes)
+    gone = settle(copies.select("id").distinct())
+    firsts = docs.where("id is not null").join(gone, "id", "left_anti")
+    full = settle(firsts.mapInArrow(_prefixes(k, percent, sketch), _PREFIX))
+    lists = full.select("id", "n", "matches", F.posexplode("prefix").alias("pos", "token")).select(
         "token", "id", "n", (F.col("pos") + 1).alias("rank"), "matches"
     )
     lists = lists.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
     rows = settle(lists.mapInArrow(_shared(percent), f"{_POSTING}, lead boolean"))
+    release(full)
     # what is left of each prefix, a few shared tokens, in order of rank
     left = rows.groupBy("id").agg(
         F.first("n").alias("n"), F.first("matches").alias("matches"),
         F.array_sort(F.collect_set(F.struct("rank", "token", "lead"))).alias("rows"),
     )
-    prefixes = settle(left.where("exists(rows, r -> r.lead)").select(
+    shared = settle(left.where("exists(rows, r -> r.lead)").select(
         "id", "n", "matches", F.col("rows.rank").alias("ranks"), F.col("rows.token").alias("prefix"), F.col("rows.lead").alias("leads")
     ))
-    lists = prefixes.select("id", "n", "ranks", "prefix", "leads", F.posexplode("prefix").alias("pos", "token")).where("leads[pos]")
+    release(rows)
+    lists = shared.select("id", "n", "ranks", "prefix", "leads", F.posexplode("prefix").alias("pos", "token")).where("leads[pos]")
     lists = settle(lists.select(
         "token", "id", "n", F.expr("ranks[pos]").alias("rank"),
         # what follows in the prefix: rows of a list that agree on it are the most alike
         F.xxhash64(F.slice("prefix", F.col("pos") + 2, 3)).alias("tail"),
     ))
-    prefixes = prefixes.drop("leads")
+    prefixes = shared.drop("leads")
 
-    links, parts = None, None
+    found, parts = _Links(firsts, k, percent), None
     for turn in range(ROUNDS):
         if turn:
             near = _with_part(lists, parts).withColumn("deal", F.xxhash64("id", F.lit(turn)))
@@ -344,20 +429,40 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id="doc_id", text=
         else:
             near = lists.withColumn("part", F.col("id")).repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
         near = near.select("token", "id", "part", "n", "rank").mapInArrow(_neighbours(percent), "a long, b long")
-        more = _verified(_promising(near.distinct(), prefixes, percent), firsts, k, percent)
-        links = settle(links.union(more) if turn else more)
-        parts = components(links)
-    more = settle(_verified(_across(_with_part(lists, parts), prefixes, percent), firsts, k, percent))
-    parts = components(links.union(more)).withColumnsRenamed({"id": "rep", "part": "component"})
-
+        more = found.add(_promising(near.distinct(), prefixes, percent))
+        if more or parts is None:
+            parts = settle(components(found.all()))
+        if not more:
+            break
+    if found.add(_across(_with_part(lists, parts), prefixes, percent)):
+        parts = settle(components(found.all()))
+    release(lists, shared)
+
+    links = parts.select(F.col("id").alias("rep"), F.col("part").alias("component"))
     # all copies of a set share its first document's component
-    same = copies.join(parts, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    own = parts.select(F.col("rep").alias("id"), "component")
-    known = settle(same.union(own).groupBy("id").agg(F.min("component").alias("component")))
-    return profile.where("block is null").select("id", "n").join(known, "id", "left").select(
+    same = copies.join(links, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    known = same.union(links.select(F.col("rep").alias("id"), "component"))
+    if other is None:
+        known = settle(known.groupBy("id").agg(F.min("component").alias("component")))
+    else:
+        known = _joined_again(known, other)
+        numbers = other.select(F.col("number").alias("id"), F.col("id").alias("own"))
+        profile = profile.join(numbers, "id", "left").withColumn("id", F.coalesce("own", "id"))
+    found.release()
+    release(copies, gone)
+    return profile.select("id", "n").join(known, "id", "left").select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
     )
 
 
+def _joined_again(known: DataFrame, other: DataFrame) -> DataFrame:
+    """(id, component) by ids proper, where the texts of an id are linked with each other."""
+    links = known
+    for column in ("id", "component"):
+        own = other.select(F.col("number").alias(column), F.col("id").alias("own"))
+        links = links.join(own, column, "left").withColumn(column, F.coalesce("own", column)).drop("own")
+    return settle(components(links.select(F.col("id").alias("a"), F.col("component").alias("b"))).withColumnRenamed("part", "component"))
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, each over the whole tables."""
 
-from mendlist.llm import decontaminate, licenses
+from mendlist.llm import licenses
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -64,40 +64,36 @@ def _tokens(text: str) -> str:
     return rf"[x for x in regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+') if x <> '']"
 
 
-def _seeds(table: str, key: str) -> str:
-    """A row per place and mask; list places count from 1."""
-    masks = " UNION ALL ".join(
-        f"SELECT {key}, pos, {j} AS mask, [{', '.join(f'w[pos + {k + 1}]' for k, c in enumerate(m) if c == '1')}] AS seed FROM places"
-        for j, m in enumerate(decontaminate.MASKS)
-    )
-    return f"(WITH places AS (SELECT {key}, w, unnest(range(0, len(w) - {decontaminate.SPAN - 1})) AS pos FROM {table}) {masks})"
-
-
+# every shift at which an item and a document have a token in common; no seeds
 SPACED_SEEDS = f"""WITH d AS (SELECT doc_id, {_tokens('text')} AS w FROM documents),
 b AS (SELECT item_id, {_tokens('text')} AS w FROM benchmark),
-hit AS (SELECT DISTINCT doc_id, item_id, x.pos - y.pos AS shift FROM {_seeds('d', 'doc_id')} x JOIN {_seeds('b', 'item_id')} y USING (mask, seed)),
-e AS (SELECT doc_id, item_id, shift, n_item, j, CAST(w[shift + j + 1] = a[j + 1] AS INT) AS same FROM (
-  SELECT doc_id, item_id, shift, d.w, b.w AS a, len(b.w) AS n_item,
-    unnest(range(greatest(0, -shift), least(len(b.w), len(d.w) - shift))) AS j FROM hit JOIN d USING (doc_id) JOIN b USING (item_id))),
-r AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN CURRENT ROW AND {decontaminate.STRETCH - 1} FOLLOWING) AS run FROM e)
-SELECT doc_id, item_id, shift, CAST(sum(same) AS BIGINT) AS n_matches, n_item, CAST(max(run) AS BIGINT) AS longest FROM r
-GROUP BY doc_id, item_id, shift, n_item
-HAVING 100 * sum(same) >= {decontaminate.SHARE} * n_item OR max(run) >= {decontaminate.STRETCH - decontaminate.MISSES}"""
-
-_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
+bt AS (SELECT item_id, len(w) AS n_item, unnest(w) AS t, unnest(range(len(w))) AS q FROM b),
+m AS (SELECT doc_id, item_id, n_item, p - q AS shift, q FROM dt JOIN bt USING (t)),
+c AS (SELECT doc_id, item_id, shift, count(*) AS n_matches FROM m GROUP BY doc_id, item_id, shift, n_item
+  HAVING CASE WHEN n_item <= 3 THEN count(*) = n_item ELSE 100 * count(*) >= 60 * n_item OR count(*) >= 11 END),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS run
+  FROM m JOIN c USING (doc_id, item_id, shift))
+SELECT doc_id, item_id, shift, n_matches, n_item, max(run) AS longest FROM r GROUP BY ALL
+HAVING 100 * n_matches >= 60 * n_item OR max(run) >= 11"""
+
+_QUOTE = "'"
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text.replace(_QUOTE, 2 * _QUOTE)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
 _T = len(licenses.TEMPLATES)
+_MARKED = f"regexp_matches(lower(unit), '{licenses.MARKER}')"
 
 LICENSES = f"""WITH tpl(template, license, text) AS (VALUES {_TEMPLATES}),
 tt AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({_tokens('text')}) AS term FROM tpl) GROUP BY ALL),
 idf AS (SELECT term, ln(CAST({1 + _T} AS DOUBLE) / (1 + count(*))) + 1 AS idf FROM tt GROUP BY term),
 wt AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
 f AS (SELECT concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
-u AS (SELECT path, 'header' AS kind, unnest(string_split(text, chr(10))) AS unit FROM f UNION SELECT path, 'file', text FROM f),
+u AS (SELECT * FROM (SELECT path, 'header' AS kind, unnest(string_split(text, chr(10))) AS unit FROM f
+  UNION SELECT path, 'header', unnest(regexp_split_to_array(text, '\\n[ \\t\\r\\n]*\\n')) FROM f UNION SELECT path, 'file', text FROM f) WHERE {_MARKED}),
 tok AS (SELECT path, kind, unit, term, count(*) * coalesce(any_value(idf), ln(CAST({1 + _T} AS DOUBLE)) + 1) AS own
   FROM (SELECT path, kind, unit, unnest({_tokens('unit')}) AS term FROM u) LEFT JOIN idf USING (term) GROUP BY path, kind, unit, term),
 nm AS (SELECT path, kind, unit, sqrt(sum(own * own)) AS norm FROM tok GROUP BY ALL),
-cs AS (SELECT path, kind, unit, template, license, round(sum(own * weight) / any_value(norm), 9) AS cosine
-  FROM tok JOIN wt USING (term) JOIN nm USING (path, kind, unit) GROUP BY path, kind, unit, template, license HAVING round(sum(own * weight) / any_value(norm), 9) >= {licenses.THRESHOLD}),
+cs AS (SELECT path, kind, unit, template, license, round(sum(own * weight) / any_value(norm), 6) AS cosine
+  FROM tok JOIN wt USING (term) JOIN nm USING (path, kind, unit) WHERE kind = 'header' OR template < {licenses.FILE_FORMS} GROUP BY path, kind, unit, template, license HAVING round(sum(own * weight) / any_value(norm), 6) >= {licenses.THRESHOLD}),
 best AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY path, kind, unit ORDER BY cosine DESC, template) = 1),
 own AS (SELECT path, kind, license, cosine FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY kind, cosine DESC, license DESC) = 1),
 shelf AS (SELECT regexp_replace(path, '/[^/]*$', '') AS directory, path AS from_path, license, cosine FROM own WHERE kind = 'file'

@@ -87,10 +87,23 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     result = corpus_pipeline.run(spark, folder[0])
-    assert result.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert result.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
     assert result.count() > 100
 
 
+def test_rows_without_id_and_with_repeated_ids(spark, folder):
+    """They go through every stage: leaks go, of one id one row stays."""
+    items = folder[2]
+    other = " ".join(f"plain{k}" for k in range(40))
+    rows = [(None, items[0]), (None, other), (7, other), (7, other), (7, "short one"), (8, other + " more"), (9, None), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["benchmark decontamination"](spark, docs, folder[0])
+    assert sorted(map(str, ((r.doc_id, r.text) for r in clean.collect()))) == sorted(map(str, rows[1:]))
+    apart = stages["n-gram Jaccard join"](spark, clean, folder[0])
+    assert sorted(str(r.doc_id) for r in apart.collect()) == ["10", "7", "9", "None"]
+
+
 def test_no_documents(spark, folder, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")

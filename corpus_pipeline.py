@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendlist.llm import boilerplate, decontaminate, jaccard, packing, quality
+from mendlist.operators.common import keep_first
 from mendlist.storage import settle
 
 #: A document with a lower score is rejected.
@@ -35,23 +36,28 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays.
 
-    Empty texts are linked with nothing, and rows without an id stay.
+    Of several rows with one id the first by text stays. Empty texts are linked with nothing,
+    and rows without an id stay.
     """
-    groups = jaccard.jaccard_components(docs, k=SHINGLE, percent=SIMILAR)
+    groups = settle(jaccard.jaccard_components(docs, k=SHINGLE, percent=SIMILAR))
     others = settle(groups.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    several = settle(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not several.count():
+        return kept
+    repeated = keep_first(kept.join(several, "doc_id", "left_semi"), ["doc_id"], ["text", *docs.columns])
+    return kept.join(several, "doc_id", "left_anti").unionByName(repeated)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a long stretch of one, go."""
+    """Documents that hold a benchmark item, or a long stretch of one, go; so do rows and items without an id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaking = settle(decontaminate.leaks(docs, items).select("doc_id").distinct())
-    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.without_leaks(docs, items).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a training sequence."""
-    return packing.packed(docs)
+    """One row per piece of a document in a training sequence, with its token ids."""
+    return packing.packed(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendlist.llm.words import mix, signed
-from mendlist.storage import settle
+from mendlist.storage import release, settle
 
 #: Bytes of text and words of a shard: about 150 MB of task memory.
 SHARD_BYTES = 4 << 20
@@ -139,13 +139,14 @@ def _shard(sequence, words, langs, lang_of, sign: int, depth: int):
 def _indexer(depth: int):
     def index(batches):
         for batch in batches:
-            texts = batch.column(0).cast(pa.large_string()).fill_null("")
-            langs = batch.column(1).cast(pa.string()).fill_null("und")
-            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            texts, langs = batch.columns
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))]
             at = 0
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + SHARD_BYTES, "right")) - 1)
-                found = _sequences(texts.slice(at, to - at), langs.slice(at, to - at))
+                # only the run is copied
+                run = texts.slice(at, to - at).cast(pa.large_string()).fill_null("")
+                found = _sequences(run, langs.slice(at, to - at).fill_null("und"))
                 at = to
                 if found is None:
                     continue
@@ -256,16 +257,10 @@ def _phrase_hashes(known: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-class _Bitmap:
-    """Hashes that may pass; of BITMAP bits at most."""
-
-    def __init__(self, bits: int, blocks: dict[int, bytes]):
-        whole = b"".join(blocks.get(b, bytes(_BUCKET // 8)) for b in range(bits // _BUCKET))
-        self.bits, self.cells = bits, np.frombuffer(whole, np.uint8)
-
-    def hold(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes & _U(self.bits - 1)
-        return (self.cells[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
+def _hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may pass."""
+    place = hashes & _U(8 * len(bitmap) - 1)
+    return (bitmap[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
 
 
 def _bitmap(spark, hashes: DataFrame):
@@ -279,7 +274,9 @@ def _bitmap(spark, hashes: DataFrame):
     blocks = hashes.select(place.alias("p")).groupBy((F.expr(f"p div {_BUCKET}")).alias("block")).agg(
         F.bitmap_construct_agg(F.col("p") % _BUCKET).alias("cells")
     )
-    return spark.sparkContext.broadcast(_Bitmap(bits, {r.block: bytes(r.cells) for r in blocks.collect()}))
+    found = {r.block: bytes(r.cells) for r in blocks.collect()}
+    whole = b"".join(found.get(b, bytes(_BUCKET // 8)) for b in range(bits // _BUCKET))
+    return spark.sparkContext.broadcast(np.frombuffer(whole, np.uint8))
 
 
 def _side(size: int) -> str:
@@ -298,9 +295,9 @@ def _levels(index: _Index, longest: int, passing: list):
             ids = index.level[0]
             # the shorter phrase without the outermost word on the other side
             other = ids[:, :-1] if _side(size - 1) == "left" else ids[:, 1:]
-            index.keep(passing[size - 2].value.hold(index.hashes(other)))
+            index.keep(_hold(passing[size - 2].value, index.hashes(other)))
         if size <= len(passing):
-            index.keep(passing[size - 1].value.hold(index.hashes(index.level[0])))
+            index.keep(_hold(passing[size - 1].value, index.hashes(index.level[0])))
         yield size
 
 
@@ -330,13 +327,14 @@ def _first_words(batches):
         yield emit(index, sign, 1)
 
 
-def _hash_counts(size: int, passing: list):
+def _hash_counts(size: int, passing: list, bits: int):
     def count(batches):
         for sign, index in _open(batches):
             for at in _levels(index, size, passing):
                 if at == size:
                     ids, _, n = index.level
-                    yield pa.RecordBatch.from_arrays([signed(index.hashes(ids)), pa.array(sign * n)], names=["h", "f"])
+                    short = index.hashes(ids) & _U((1 << bits) - 1)
+                    yield pa.RecordBatch.from_arrays([signed(short), pa.array(sign * n)], names=["h", "f"])
 
     return count
 
@@ -368,7 +366,7 @@ class Phrases:
 def count_phrases(docs: DataFrame, longest=3, least=10, text="text", lang="lang") -> Phrases:
     """Counts of all phrases of 1 to ``longest`` words that occur ``least`` times or more in their group."""
     spark = docs.sparkSession
-    shards = settle(docs.select(F.col(text), F.col(lang)).mapInArrow(_indexer(longest), _SHARD))
+    shards = settle(docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_indexer(longest), _SHARD))
 
     def summed(rows: DataFrame, *keys: str) -> DataFrame:
         return rows.groupBy(*keys).agg(F.sum("f").alias("f"))
@@ -377,12 +375,16 @@ def count_phrases(docs: DataFrame, longest=3, least=10, text="text", lang="lang"
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")))
     words = words.where(F.col("f") >= least)
     passing = [_bitmap(spark, settle(words.select("lang", "phrase").mapInArrow(_hash_words, "h long")))]
+    # as many bits as keep most phrases apart, since those that share a hash are counted as one here
+    bits = min(63, 5 + (totals.agg(F.sum("n")).first()[0] or 1).bit_length())
     for size in range(2, longest + 1):
-        hashes = summed(shards.mapInArrow(_hash_counts(size, list(passing)), "h long, f long"), "h")
+        hashes = summed(shards.mapInArrow(_hash_counts(size, list(passing), max(bits, BITMAP.bit_length())), "h long, f long"), "h")
         passing.append(_bitmap(spark, settle(hashes.where(F.col("f") >= least).select("h"))))
     longer = summed(shards.mapInArrow(_phrase_counts(longest, passing), _SPELLED), "lang", "size", "phrase")
     longer = longer.where(F.col("f") >= least)
-    return Phrases(settle(words.select("lang", "size", "phrase", "f").union(longer)), totals)
+    found = Phrases(settle(words.select("lang", "size", "phrase", "f").union(longer)), totals)
+    release(shards)
+    return found
 
 
 def _inner(phrase: Column, size: Column, least: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from mendlist import fixed, schemas
 from mendlist.functions.text import has_text, stripped
+from mendlist.sources import csv_records
 
 
 class InputError(ValueError):
@@ -27,25 +28,25 @@ def require_rows(df: DataFrame, what="input") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, multi_line=True) -> DataFrame:
-    """A header CSV as strings, blank cells as ``""``.
+    """A header CSV as strings, blank cells as ``""``. Every file is read by many tasks.
 
-    ``multi_line`` accepts quoted line breaks, at the price of one task per
-    file; turn it off (``--one-line`` on the command line) for large files without
-    them, so that files are split.
+    ``multi_line`` accepts quoted line breaks and reads the files twice for it; turn it off
+    (``--one-line`` on the command line) for files without them.
     Adds ``_file`` and ``_row``, which together give the order of the rows: by path,
     by block of the file, and by row within the block.
     """
-    # only the header is looked at: every column is a string
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
-    names = raw.columns
-    return raw.na.fill("").select(
-        *[F.col(f"`{n}`") for n in names],
-        F.struct(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("start"),
-        ).alias("_file"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
+    if multi_line:
+        raw = csv_records.parsed(spark, path)
+        path, start, line = csv_records.PLACE
+        names, row = raw.columns[3:], F.col(line)
+        place = F.struct(F.col(path).alias("path"), F.col(start).alias("start"))
+    else:
+        # only the header is looked at: every column is a string
+        raw = spark.read.csv(path, header=True, escape='"', inferSchema=False)
+        place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+        names, row = raw.columns, F.monotonically_increasing_id()
+    cells = [F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]
+    return raw.select(*cells, place.alias("_file"), row.alias("_row"))
 
 
 def read_annotated_csv(spark: SparkSession, path: str, multi_line=True) -> DataFrame:
@@ -68,10 +69,9 @@ def lines_as_reviews(texts: DataFrame, text="text") -> DataFrame:
     return lines.where(has_text(F.col("review"))).withColumn("review", stripped(F.col("review")))
 
 
-def read_raw_reviews(spark: SparkSession, path: str) -> DataFrame:
+def raw_reviews(stored: DataFrame) -> DataFrame:
     """The review table without its load time; an empty table is an error."""
-    df = spark.read.schema(schemas.RAW_REVIEWS).parquet(path).drop("ingested_at")
-    return require_rows(df, "raw_reviews")
+    return require_rows(stored.drop("ingested_at"), "raw_reviews")
 
 
 def read_split(spark: SparkSession, path: str, split: str, limit=None) -> DataFrame:

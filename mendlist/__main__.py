@@ -83,13 +83,12 @@ def run(spark: SparkSession, args) -> None:
         print(out["summary"].first()["summary_text"])
         return
     tables = Tables(args.store)
-    read = spark.read.parquet
     if args.step == "ingest":
         ingest_csv(spark, args.csv, tables, not args.one_line)
-        say({"reviews": read(tables.reviews).count()})
+        say({"reviews": tables.reviews(spark).count()})
     elif args.step == "seed":
         seed_features(spark, tables)
-        say({"features": read(tables.features).count()})
+        say({"features": tables.features(spark).count()})
     elif args.step == "preprocess":
         say(preprocess(spark, tables, test=args.test, val=args.val, seed=args.seed))
     elif args.step == "train":
@@ -108,11 +107,11 @@ def run(spark: SparkSession, args) -> None:
         scorers = named_model(args.category), named_model(args.sentiment)
         say(flow.run(spark, tables.root, *scorers, args.csv, args.split, args.limit, args.half_life))
     elif args.step == "backlog":
-        B.backlog(read(tables.scores), read(tables.features), args.priority, args.limit).show(args.limit, False)
+        B.backlog(tables.scores(spark), tables.features(spark), args.priority, args.limit).show(args.limit, False)
     elif args.step == "trend":
-        B.trend_points(read(tables.scores), read(tables.features), args.feature).show(fixed.PAGE_MAX, False)
+        B.trend_points(tables.scores(spark), tables.features(spark), args.feature).show(fixed.PAGE_MAX, False)
     elif args.step == "features":
-        list_features(read(tables.features), not args.all).show(fixed.PAGE_MAX, False)
+        list_features(tables.features(spark), not args.all).show(fixed.PAGE_MAX, False)
 
 
 def main(argv=None) -> int:

@@ -8,7 +8,7 @@ from mendlist.operators import training
 from mendlist.operators.cleaning import clean_reviews, dedup_reviews
 from mendlist.operators.split import assign_splits, group_key
 from mendlist.plans.ingest import Tables
-from mendlist.sources.readers import read_raw_reviews, read_records
+from mendlist.sources.readers import raw_reviews, read_records
 from mendlist.sources.writers import write_records, write_splits
 from mendlist.storage import settle
 
@@ -43,10 +43,10 @@ def training_tables(prepared: DataFrame, annotations: DataFrame) -> dict[str, Da
 
 def preprocess(spark: SparkSession, tables: Tables, **split_options) -> dict[str, int]:
     """Write splits and training records; returns rows per split."""
-    raw = read_raw_reviews(spark, tables.reviews)
+    raw = raw_reviews(tables.reviews(spark))
     write_splits(prepared_reviews(raw, store_at=tables.clean, **split_options), tables.splits)
     prepared = spark.read.parquet(tables.splits)
-    annotations = spark.read.parquet(tables.annotations)
+    annotations = tables.annotations(spark)
     records = training_tables(prepared, annotations)
     write_records(records["master"], tables.records("master"))
     # the other two sets follow from the stored master records, row by row

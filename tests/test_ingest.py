@@ -59,9 +59,9 @@ def test_loading_twice_adds_nothing(spark, csv_path, tmp_path):
     tables = Tables(str(tmp_path / "store"))
     for _ in range(2):
         ingest_csv(spark, csv_path, tables)
-    assert spark.read.parquet(tables.reviews).count() == 3
-    assert spark.read.parquet(tables.annotations).count() == 5
-    assert "ingested_at" not in readers.read_raw_reviews(spark, tables.reviews).columns
+    assert tables.reviews(spark).count() == 3
+    assert tables.annotations(spark).count() == 5
+    assert "ingested_at" not in readers.raw_reviews(tables.reviews(spark)).columns
 
 
 def test_upload_needs_a_review_column(spark, tmp_path):
@@ -139,11 +139,11 @@ def test_files_keep_their_order_and_add_up(spark, tmp_path):
     (tmp_path / "in/b.csv").write_text(head + "".join(line.format(f"t{i:03}", 5) for i in range(300)))
     store = Tables(str(tmp_path / "store"))
     ingest_csv(spark, str(tmp_path / "in"), store)
-    notes = lambda: [r.aspect_term for r in spark.read.parquet(store.annotations).orderBy("seq").collect()]
+    notes = lambda: [r.aspect_term for r in store.annotations(spark).orderBy("seq").collect()]
     assert notes() == ["first"] + [f"t{i:03}" for i in range(300)]
-    assert [r.rating for r in spark.read.parquet(store.reviews).collect()] == [1]
+    assert [r.rating for r in store.reviews(spark).collect()] == [1]
     (tmp_path / "more.csv").write_text(head + line.format("new", 2) + line.format("first", 1) + line.format("new", 2))
     for _ in range(2):
         ingest_csv(spark, str(tmp_path / "more.csv"), store)
         assert notes() == ["first"] + [f"t{i:03}" for i in range(300)] + ["new", "new"]
-    assert spark.read.parquet(store.reviews).count() == 1
+    assert store.reviews(spark).count() == 1

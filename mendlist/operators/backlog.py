@@ -1,6 +1,6 @@
 """Reads over the stored tables: ranked backlog, trend and review browser."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -116,11 +116,51 @@ def total_reviews(matching: DataFrame) -> DataFrame:
 
 
 def newest_page(matching: DataFrame, limit=fixed.PAGE_DEFAULT, offset=0) -> DataFrame:
-    """One page, newest load first, ties by id."""
+    """One page, newest load first, ties by id.
+
+    Every task sorts out its first ``offset + limit`` rows, so far pages cost more: ``page_after``
+    goes on from a page at the price of the first one.
+    """
     check_page(limit, offset)
     return matching.orderBy(F.desc("ingested_at"), "id").offset(offset).limit(limit)
 
 
+def cursor_of(page: DataFrame):
+    """(ingested_at, id) of a page's last row, from which ``page_after`` goes on; None for an empty page."""
+    last = page.orderBy(F.asc_nulls_first("ingested_at"), F.desc("id")).select("ingested_at", "id").first()
+    return None if last is None else tuple(last)
+
+
+def page_after(matching: DataFrame, cursor=None, limit=fixed.PAGE_DEFAULT) -> DataFrame:
+    """The page that follows a cursor, in the order of ``newest_page``; the first one without a cursor.
+
+    The cursor is a filter that reaches the scan: files and row groups of later loads are skipped by
+    their statistics. Rows loaded meanwhile do not shift the pages that follow.
+    """
+    check_page(limit)
+    if cursor is not None:
+        loaded, id = cursor
+        at, undated = F.col("ingested_at"), F.col("ingested_at").isNull()
+        if loaded is None:  # rows without a load time come last
+            matching = matching.where(undated & (F.col("id") > id))
+        else:
+            loaded = F.lit(loaded)
+            matching = matching.where(undated | (at <= loaded)).where(undated | (at < loaded) | (F.col("id") > id))
+    return matching.orderBy(F.desc("ingested_at"), "id").limit(limit)
+
+
+def one_of(column: str, values: list) -> Column:
+    """The column equals one of a few values, as a tree of equalities.
+
+    Unlike a long IN list, which a scan only knows by its least and greatest value, each equality is
+    held against statistics, Bloom filters and page indexes.
+    """
+    terms = [F.col(column) == v for v in values] or [F.lit(False)]
+    while len(terms) > 1:
+        terms = [terms[i] | terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
 def aspect_rows(aspects: DataFrame, features: DataFrame) -> DataFrame:
     """Aspects with their feature key, as shown beside a review."""
     keys = lookup(features.select(F.col("id").alias("feature_id"), "feature_key"))
@@ -154,13 +194,15 @@ def reviews_with_aspects(reviews: DataFrame, aspects: DataFrame, features: DataF
 def page_with_aspects(page: DataFrame, aspects: DataFrame, features: DataFrame, per_list=LIST_ROWS) -> DataFrame:
     """A page of reviews, each with the list of all its aspects.
 
-    ``page`` comes from ``newest_page`` (at most 200 rows). It is stored first;
-    its ids are broadcast after a count, and the aspect table is filtered where it lies and
-    read once. A list comes in parts of ``per_list`` aspects, numbered by ``part``.
+    ``page`` comes from ``newest_page`` or ``page_after`` (at most 200 rows). It is stored first;
+    its ids become a filter of the aspect table, which reaches the scan and skips what is clustered
+    elsewhere. A list comes in parts of ``per_list`` aspects, numbered by ``part``.
     """
     page = settle(page)
-    ids = lookup(page.select(F.col("id").alias("review_id")))
-    shown = settle(aspect_rows(aspects.join(ids, "review_id", "left_semi"), features))
+    ids = [r["id"] for r in page.select("id").limit(fixed.PAGE_MAX + 1).collect()]
+    if len(ids) > fixed.PAGE_MAX:
+        raise ValueError(f"a page holds {fixed.PAGE_MAX} reviews at most")
+    shown = settle(aspect_rows(aspects.where(one_of("review_id", ids)), features))
     item = F.struct("feature_key", "sentiment", "confidence", "source")
     lists = nest(shown, "review_id", "id", item, "aspects", per_list).withColumnRenamed("review_id", "id")
     empty = F.array().cast("array<struct<feature_key:string,sentiment:string,confidence:double,source:string>>")

@@ -61,6 +61,45 @@ def windowed_scores(aspects: DataFrame, half_life_days=fixed.HALF_LIFE_DAYS) ->
     )
 
 
+def day_counts(aspects: DataFrame) -> DataFrame:
+    """(feature_id, review_date, mentions, negatives): what scores need of dated aspects.
+
+    Counts of two sets of aspects add up, so they can be kept and added to; undated aspects have no place in them.
+    """
+    require_columns(aspects, SCORING_COLUMNS, "scoring input")
+    return (
+        aspects.where(F.col("review_date").isNotNull())
+        .groupBy("feature_id", "review_date")
+        .agg(F.count("*").alias("mentions"), F.count_if(F.col("sentiment") == "negative").alias("negatives"))
+    )
+
+
+def added(counts: DataFrame) -> DataFrame:
+    """Counts of the same feature and day as one row; days without mentions go."""
+    sums = counts.groupBy("feature_id", "review_date").agg(*[F.sum(c).alias(c) for c in ("mentions", "negatives")])
+    return sums.where(F.col("mentions") != 0)
+
+
+def scores_of_days(counts: DataFrame, half_life_days=fixed.HALF_LIFE_DAYS) -> DataFrame:
+    """Score per (feature, calendar month) from day counts, without the trend."""
+    day, n = F.col("review_date"), F.col("mentions")
+    start, end = S.month_start(day), S.month_end(day)
+    total = F.sum("mentions")
+    grouped = counts.groupBy("feature_id", start.alias("window_start"), end.alias("window_end")).agg(
+        total.alias("mention_count"),
+        (F.sum("negatives") / total).alias("negative_ratio"),
+        (F.sum(n * S.recency_weight(day, end, half_life_days)) / total).alias("_weight"),
+    )
+    score = S.criticality(F.col("negative_ratio"), F.col("mention_count"), F.col("_weight"))
+    return grouped.withColumn("score", score).drop("_weight")
+
+
+def with_trend(scores: DataFrame) -> DataFrame:
+    """Adds the step from each feature's previous month that has data."""
+    timeline = W.partitionBy("feature_id").orderBy("window_start")
+    return scores.withColumn("trend_delta", F.col("score") - F.lag("score").over(timeline))
+
+
 def undated_report(scores: DataFrame) -> DataFrame:
     """One row: features with an undated bucket, and rows mostly without dates."""
     return scores.agg(

@@ -4,12 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mendlist import fixed
 from mendlist.operators import aspects as A
-from mendlist.operators.criticality import dated_aspects, windowed_scores
 from mendlist.plans.baseline import Models, route_with_models
+from mendlist.plans.increments import refresh
 from mendlist.plans.ingest import Tables, ingest_csv, seed_features
 from mendlist.plans.preprocess import preprocess
 from mendlist.sources.readers import active_features, read_split, require_rows
-from mendlist.sources.writers import write_aspects, write_scores
+from mendlist.sources.writers import write_aspects
 from mendlist.storage import settle
 
 
@@ -29,7 +29,7 @@ def infer(
     two splits stand side by side. Returns the run's statistics.
     """
     reviews = read_split(spark, tables.splits, split, limit)
-    features = spark.read.parquet(tables.features)
+    features = tables.features(spark)
     routed = A.route_reviews(
         reviews, active_features(features), category_probs, sentiment_probs, threshold=threshold
     )
@@ -39,7 +39,7 @@ def infer(
 def infer_with_models(spark: SparkSession, tables: Tables, models: Models, split="test", limit=None, run_id=None) -> dict:
     """``infer`` by fitted baseline models."""
     reviews = read_split(spark, tables.splits, split, limit)
-    features = spark.read.parquet(tables.features)
+    features = tables.features(spark)
     routed = route_with_models(reviews, active_features(features), models)
     return store_run(reviews, routed, features, tables, run_id or split)
 
@@ -47,16 +47,16 @@ def infer_with_models(spark: SparkSession, tables: Tables, models: Models, split
 def store_run(reviews: DataFrame, routed: DataFrame, features: DataFrame, tables: Tables, run_id: str) -> dict:
     """Store one run's aspects; returns counts, source rates and unknown feature keys."""
     routed = settle(routed)
-    written = write_aspects(A.resolve_aspects(routed, features), tables.aspects, run_id)
+    written = write_aspects(A.resolve_aspects(routed, features), tables.store(reviews.sparkSession), run_id)
     stats = A.run_statistics(reviews, routed, features).first().asDict()
     return stats | {"aspects_written": written}
 
 
 def score(spark: SparkSession, tables: Tables, half_life_days=fixed.HALF_LIFE_DAYS) -> int:
-    """Recompute the score table from all stored aspects; returns the rows stored."""
-    aspects = require_rows(spark.read.parquet(tables.aspects), "review_aspects")
-    reviews = spark.read.parquet(tables.reviews)
-    return write_scores(windowed_scores(dated_aspects(aspects, reviews), half_life_days), tables.scores)
+    """Bring the score table up to date with all stored aspects; returns the rows stored."""
+    require_rows(tables.aspects(spark), "review_aspects")
+    refresh(spark, tables, half_life_days)
+    return tables.scores(spark).count()
 
 
 def run(
@@ -75,7 +75,7 @@ def run(
         ingest_csv(spark, csv_path, tables)
     seed_features(spark, tables)
     return {
-        "features": spark.read.parquet(tables.features).count(),
+        "features": tables.features(spark).count(),
         "preprocessing": preprocess(spark, tables),
         **infer(spark, tables, category_probs, sentiment_probs, inference_split, inference_limit),
         "scores_written": score(spark, tables, half_life_days),

@@ -4,6 +4,8 @@ Dates are shown as text and derived numbers are rounded to six digits on both
 sides, since sums of doubles depend on their order in the last digits.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from mendlist.operators import split as L
 from mendlist.operators import taxonomy as X
 from mendlist.operators import training as T
 from mendlist.operators.common import nest
-from mendlist.plans import baseline
+from mendlist.plans import baseline, increments
 from mendlist.plans.flow import analyse
 from mendlist.plans.gold import evaluate
 from mendlist.plans.ingest import Tables, ingest_csv
@@ -227,6 +229,25 @@ def reviews_filtered_page(d):
     )
 
 
+@query(
+    "reviews_after_cursor",
+    f"""WITH {R.ASPECTS}, {R.REVIEWS}, {R.FEATURES} SELECT id, app_id, CAST(review_date AS VARCHAR) AS review_date,
+    (row_number() OVER (ORDER BY ingested_at DESC, id) - 1) // 30 AS page
+    FROM reviews WHERE source = 'O' AND id IN {_HITS} ORDER BY ingested_at DESC, id LIMIT 150""",
+)
+def reviews_after_cursor(d):
+    """Five pages, each from the last row of the one before: the first 150 rows."""
+    matching, cursor, pages = settle(_filtered(d)), None, []
+    for n in range(5):
+        pages.append(settle(B.page_after(matching, cursor, 30)))
+        cursor = B.cursor_of(pages[-1])
+        if cursor is None:
+            break
+    rows = [p.select("id", "app_id", F.col("review_date").cast("string").alias("review_date"), F.lit(n).cast("bigint").alias("page"))
+            for n, p in enumerate(pages)]
+    return reduce(DataFrame.union, rows)
+
+
 @query(
     "reviews_filtered_total",
     f"""WITH {R.ASPECTS}, {R.REVIEWS}, {R.FEATURES}
@@ -411,24 +432,13 @@ def widened(words):
     return F.replace(F.replace(wide, F.lit("fi"), F.lit("ﬁ")), F.lit("fl"), F.lit("ﬂ"))
 
 
-@query(
-    "clean_compatibility_forms",
-    "SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM (SELECT doc_id, "
-    "array_to_string(list_slice(regexp_extract_all(text, '[a-z]+'), 1, 50), ' ') AS text FROM documents) WHERE length(text) > 0",
-)
-def clean_compatibility_forms(d):
-    """Full-width letters and ligatures in place of plain ones, which NFKC turns back."""
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([a-z]+)")), 1, 50), " ")
-    return C.clean_reviews(d.documents.select("doc_id", widened(words).alias("text")), "text")
-
-
 @query(
     "clean_compatibility_forms_whole",
     "SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS text FROM (SELECT doc_id, "
     "array_to_string(regexp_extract_all(text, '[a-z]+'), ' ') AS text FROM documents) WHERE length(text) > 0",
 )
 def clean_compatibility_forms_whole(d):
-    """As above, over all words of each document."""
+    """Full-width letters and ligatures in place of plain ones, which NFKC turns back."""
     words = F.array_join(F.regexp_extract_all("text", F.lit("([a-z]+)")), " ")
     return C.clean_reviews(d.documents.select("doc_id", widened(words).alias("text")), "text")
 
@@ -908,7 +918,23 @@ def taxonomy_missing(d):
 
 # -- aspects from text ---------------------------------------------------------
 
-_TAGS = """tags AS (
+# Complaints added to documents, so that every rule hits and every tier has a feature.
+_COMPLAINTS = [
+    ("doc_id BETWEEN 1 AND 2", " The PRICE is too high"),
+    ("doc_id BETWEEN 3 AND 5", " late again"),
+    ("doc_id % 7 = 0", " then it Crashed"),
+    ("doc_id % 7 = 1", " but beautiful"),
+    ("doc_id % 7 = 2", " nice design"),
+]
+_COMPLAINT = "CASE " + " ".join(f"WHEN {when} THEN '{words}'" for when, words in _COMPLAINTS) + " ELSE '' END"
+
+
+def with_complaints(d):
+    return d.documents.select("doc_id", F.concat("text", F.expr(_COMPLAINT)).alias("text"))
+
+
+_TAGS = f"""complaints AS (SELECT doc_id, text || {_COMPLAINT} AS text FROM documents),
+""" + """tags AS (
   SELECT doc_id, text, unnest(CASE WHEN len(hits) > 0 THEN hits ELSE [{'f': 'general', 's': 'neutral', 'c': 0.5}] END) AS tag FROM (
     SELECT doc_id, text, list_filter([
       CASE WHEN contains(t, 'crash') OR contains(t, 'bug') THEN {'f': 'reliability', 's': 'negative', 'c': 0.95} END,
@@ -918,7 +944,7 @@ _TAGS = """tags AS (
         {'f': 'pricing', 's': 'negative', 'c': 0.92} END,
       CASE WHEN contains(t, 'notification') OR contains(t, 'late') THEN
         {'f': 'notifications', 's': 'negative', 'c': 0.85} END], lambda x: x IS NOT NULL) AS hits
-    FROM (SELECT doc_id, text, lower(text) AS t FROM documents)))"""
+    FROM (SELECT doc_id, text, lower(text) AS t FROM complaints)))"""
 
 
 @query(
@@ -926,7 +952,7 @@ _TAGS = """tags AS (
     f"""WITH {_TAGS} SELECT doc_id, tag.f AS feature_key, tag.s AS sentiment, CAST(tag.c AS DOUBLE) AS confidence FROM tags""",
 )
 def keyword_tags(d):
-    return A.tag_reviews(d.documents.select("doc_id", "text"), "text").drop("original_review")
+    return A.tag_reviews(with_complaints(d), "text").drop("original_review")
 
 
 @query(
@@ -935,7 +961,7 @@ def keyword_tags(d):
     SELECT feature, mentions, positive, negative, {_TIER} FROM counts""",
 )
 def ad_hoc_analysis(d):
-    return analyse(d.documents.select(F.col("text").alias("review")))["priorities"]
+    return analyse(with_complaints(d).select(F.col("text").alias("review")))["priorities"]
 
 
 # A stand-in model simple enough for SQL: shares of letters in the text.
@@ -1344,11 +1370,11 @@ def csv_ingest_roundtrip(d):
     d.annotated.drop("row_no").write.csv(everything, header=True, escape='"')
     store = Tables(fresh_path(d.spark, "store"))
     for path in (some, everything, everything):
-        ingest_csv(d.spark, path, store, multi_line=False)
-    counts = d.spark.read.parquet(store.annotations).groupBy(F.col("review_id").alias("id")).agg(
+        ingest_csv(d.spark, path, store)
+    counts = store.annotations(d.spark).groupBy(F.col("review_id").alias("id")).agg(
         F.count("*").alias("annotations"), F.count("offset_to").alias("spans")
     )
-    return readers.read_raw_reviews(d.spark, store.reviews).join(counts, "id").select(
+    return readers.raw_reviews(store.reviews(d.spark)).join(counts, "id").select(
         "id", "app_id", "review_text", "domain", F.col("rating").cast("bigint").alias("rating"), "source_review_id", "annotations", "spans"
     )
 
@@ -1390,9 +1416,54 @@ def split_parquet_roundtrip(d):
     round(trend_delta, 6) AS trend_delta FROM scores WHERE window_start IS NOT NULL""",
 )
 def scores_roundtrip(d):
-    path = fresh_path(d.spark, "criticality_scores")
-    writers.write_scores(K.windowed_scores(d.partly_dated), path)
-    return shown_scores(d.spark.read.schema(schemas.CRITICALITY_SCORES).parquet(path))
+    tables = Tables(fresh_path(d.spark, "store"))
+    for half_life in (1, fixed.HALF_LIFE_DAYS):  # the second set replaces the first
+        writers.write_scores(K.windowed_scores(d.partly_dated, half_life), tables.store(d.spark))
+    return shown_scores(tables.scores(d.spark))
+
+
+_STORED_SCORES = f"""WITH {R.ASPECTS}, {R.REVIEWS}, {R.DATED}, {R.scores_sql('dated')} SELECT feature_id,
+    CAST(window_start AS VARCHAR) AS window_start, CAST(window_end AS VARCHAR) AS window_end, round(score, 6) AS score,
+    mention_count, round(negative_ratio, 6) AS negative_ratio, round(trend_delta, 6) AS trend_delta
+    FROM scores WHERE window_start IS NOT NULL"""
+
+
+def stored_reviews(d):
+    """A store that holds the reviews."""
+    tables = Tables(fresh_path(d.spark, "store"))
+    with tables.store(d.spark).begin() as change:
+        change.append(writers.REVIEWS, d.reviews.withColumn("ingested_at", F.col("ingested_at").cast("timestamp")))
+    return tables
+
+
+def aspect_loads(d):
+    """(run, aspects) of several loads; the third replaces the first, and all aspects stand in the end."""
+    line = F.col("l_linenumber")
+    rows = d.aspects
+    for run, part in (("a", line <= 3), ("b", line >= 3), ("a", line <= 2)):
+        yield run, rows.where(part).select("id", "review_id", "feature_id", "sentiment", "confidence", "source")
+
+
+@query("scores_kept_up_to_date", _STORED_SCORES)
+def scores_kept_up_to_date(d):
+    """The score table after several loads, each added to the counts kept, equals one full run."""
+    tables = stored_reviews(d)
+    for run, rows in aspect_loads(d):
+        writers.write_aspects(rows, tables.store(d.spark), run)
+        increments.refresh(d.spark, tables)
+    return shown_scores(tables.scores(d.spark))
+
+
+@query("scores_from_stream", _STORED_SCORES)
+def scores_from_stream(d):
+    """As above, by a stream of the commits: a micro-batch after the first load, one after the others, and a replay of all."""
+    tables, checkpoint = stored_reviews(d), fresh_path(d.spark, "stream")
+    for n, (run, rows) in enumerate(aspect_loads(d)):
+        writers.write_aspects(rows, tables.store(d.spark), run)
+        if n != 1:
+            increments.follow(d.spark, tables, checkpoint).awaitTermination()
+    increments.follow(d.spark, tables, fresh_path(d.spark, "stream")).awaitTermination()
+    return shown_scores(tables.scores(d.spark))
 
 
 @query(
@@ -1401,11 +1472,11 @@ def scores_roundtrip(d):
     WHERE feature_id <> 'Brand#13' GROUP BY ALL""",
 )
 def aspects_roundtrip(d):
-    path = fresh_path(d.spark, "review_aspects")
+    tables = Tables(fresh_path(d.spark, "store"))
     resolved = A.resolve_aspects(_routed_lines(d), d.features.where("is_active"))
-    writers.write_aspects(resolved, path, "first")
-    writers.write_aspects(resolved, path, "first")  # the same run again replaces itself
-    return d.spark.read.parquet(path).groupBy("feature_id", "sentiment", "source").agg(F.count("*").alias("n"))
+    writers.write_aspects(resolved, tables.store(d.spark), "first")
+    writers.write_aspects(resolved, tables.store(d.spark), "first")  # the same run again replaces itself
+    return tables.aspects(d.spark).groupBy("feature_id", "sentiment", "source").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -1413,10 +1484,10 @@ def aspects_roundtrip(d):
     f"WITH {R.FEATURES} SELECT feature_key, display_name FROM features",
 )
 def taxonomy_roundtrip(d):
-    path = fresh_path(d.spark, "features_master")
-    writers.add_missing_features(X.list_features(d.features), path)  # the active ones
-    writers.add_missing_features(d.features, path)  # adds only the others
-    return d.spark.read.parquet(path).select("feature_key", "display_name")
+    tables = Tables(fresh_path(d.spark, "store"))
+    writers.add_missing_features(X.list_features(d.features), tables.store(d.spark))  # the active ones
+    writers.add_missing_features(d.features, tables.store(d.spark))  # adds only the others
+    return tables.features(d.spark).select("feature_key", "display_name")
 
 
 @query(

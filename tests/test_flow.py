@@ -75,15 +75,15 @@ def test_flow_and_evaluation(spark, csv_path, tmp_path):
     assert again == summary
 
     report = evaluate(
-        spark, spark.read.parquet(tables.splits).where("split = 'test'"), spark.read.parquet(tables.annotations),
-        spark.read.parquet(tables.features), lambda t: F.transform(scorers[0](t), lambda p: p * 10 - 5), scorers[1],
+        spark, spark.read.parquet(tables.splits).where("split = 'test'"), tables.annotations(spark),
+        tables.features(spark), lambda t: F.transform(scorers[0](t), lambda p: p * 10 - 5), scorers[1],
         str(tmp_path / "report"), mapping={"cost": "cost", "general": None},
     )
     got = {(r.task, r.metric): r.value for r in report.collect()}
     assert got[("category", "f1_cost")] == 1.0 and got[("category", "support_cost")] == 8
     assert got[("sentiment", "support_negative")] + got[("sentiment", "support_positive")] == 8
     with pytest.raises(ValueError, match="no usable gold"):
-        evaluate(spark, spark.read.parquet(tables.splits), spark.read.parquet(tables.annotations), spark.read.parquet(tables.features),
+        evaluate(spark, spark.read.parquet(tables.splits), tables.annotations(spark), tables.features(spark),
                  lambda t: F.transform(scorers[0](t), lambda p: p * 10 - 5), scorers[1], str(tmp_path / "none"), mapping={})
 
 
@@ -102,7 +102,7 @@ def test_baseline_learns_and_is_stored(spark, csv_path, tmp_path):
     again = baseline.load(spark, str(tmp_path / "models"))
     assert (again.labels, again.threshold) == (models.labels, models.threshold)
     reviews = readers.read_split(spark, tables.splits, "test")
-    routed = baseline.route_with_models(reviews, spark.read.parquet(tables.features), again).collect()
+    routed = baseline.route_with_models(reviews, tables.features(spark), again).collect()
     moods = {r.review_id: r.sentiment for r in routed if r.feature_key == "cost"}
     assert len(moods) == reviews.count()
     for r in reviews.collect():
@@ -126,20 +126,23 @@ def test_command_line(spark, csv_path, tmp_path, capsys):
 def test_scores_are_replaced_and_undated_rows_not_stored(spark, table, tmp_path):
     import datetime as dt
 
-    path = str(tmp_path / "scores")
+    tables = Tables(str(tmp_path / "store"))
     row = ("f", dt.date(2024, 1, 1), dt.date(2024, 1, 31), 1.0, 2, 0.5, 0.0, None)
     undated = ("f", None, None, 1.0, 2, 0.5, 1.0, None)
     schema = ("feature_id string, window_start date, window_end date, score double, mention_count bigint, "
               "negative_ratio double, undated_ratio double, trend_delta double")
     for _ in range(2):
-        assert writers.write_scores(table([row, undated], schema), path) == 1
-    assert spark.read.parquet(path).columns == schemas.CRITICALITY_SCORES.fieldNames()
+        assert writers.write_scores(table([row, undated], schema), tables.store(spark)) == 1
+    assert tables.scores(spark).columns == schemas.CRITICALITY_SCORES.fieldNames()
 
 
 def test_empty_tables_are_errors(spark, table, tmp_path):
     tables = Tables(str(tmp_path / "empty"))
-    spark.createDataFrame([], schemas.RAW_REVIEWS).write.parquet(tables.reviews)
-    spark.createDataFrame([], schemas.REVIEW_ASPECTS).write.parquet(tables.aspects)
+    with pytest.raises(readers.InputError, match="raw_reviews is not stored"):
+        preprocess(spark, tables)
+    with tables.store(spark).begin() as change:
+        change.append(writers.REVIEWS, spark.createDataFrame([], schemas.RAW_REVIEWS))
+        change.append(writers.ASPECTS, spark.createDataFrame([], schemas.REVIEW_ASPECTS))
     with pytest.raises(readers.InputError, match="raw_reviews is empty"):
         preprocess(spark, tables)
     with pytest.raises(readers.InputError, match="review_aspects is empty"):

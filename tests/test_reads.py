@@ -189,3 +189,30 @@ def test_ad_hoc_analysis(table):
         ("Beautiful, but expensive", "ui_ux", "positive", 0.88), ("Beautiful, but expensive", "pricing", "negative", 0.92)}
     assert out["summary"].first().total_aspects == 4
     assert {r.sentiment: r.mentions for r in out["sentiment_distribution"].collect()} == {"negative": 2, "neutral": 1, "positive": 1}
+
+
+def test_pages_after_a_cursor(spark):
+    """Joined they are the offset pages: ties in the load time, rows without one, and rows loaded in between."""
+    import datetime as dt
+
+    rows = [(f"r{i:03d}", dt.datetime(2024, 1, 1 + i % 4) if i % 7 else None) for i in range(95)]
+    reviews = spark.createDataFrame(rows, "id string, ingested_at timestamp").repartition(5)
+    expected = [r.id for r in B.newest_page(reviews, 200).collect()]
+    got, cursor = [], None
+    for _ in range(20):
+        page = B.page_after(reviews, cursor, 10)
+        got += [r.id for r in page.collect()]
+        cursor = B.cursor_of(page)
+        if cursor is None:
+            break
+        later = spark.createDataFrame([(f"n{len(got)}", dt.datetime(2025, 1, 1))], reviews.schema)
+        reviews = reviews.union(later)
+    assert got == expected
+    with pytest.raises(ValueError):
+        B.page_after(reviews, None, 201)
+
+
+def test_a_list_of_values_as_a_filter(spark):
+    df = spark.range(50).selectExpr("cast(id as string) as k")
+    assert sorted(int(r.k) for r in df.where(B.one_of("k", [str(i) for i in (3, 7, 9, 40, 99)])).collect()) == [3, 7, 9, 40]
+    assert df.where(B.one_of("k", [])).isEmpty()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
 
-from mendlist.llm import boilerplate, decontaminate, jaccard, langid, licenses, packing, rules
+from mendlist.llm import boilerplate, decontaminate, jaccard, langid, licenses, packing, rules, substrings
 
 
 # --- quality rules
@@ -77,6 +77,19 @@ def test_jaccard_links_through_texts_of_one_id(spark):
     }
 
 
+def test_passages_of_texts_that_share_an_id(spark):
+    """Each row is judged by its own words: a copy goes, another text of its id stays."""
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    c = " ".join(f"c{k}" for k in range(70))
+    tail = " ".join(a.split()[:55])
+    rows = [(1, a), (2, a), (2, b), (3, f"x y {tail}"), (3, c), (4, f"{c} end"), (5, f"{b} z"), (None, a), (6, "short")]
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    expected = [(1, 60, 0, a), (2, 60, 60, ""), (2, 60, 0, b), (3, 57, 55, "x y"), (3, 70, 0, c), (4, 71, 70, "end"), (5, 61, 60, "z"),
+                (None, 60, 0, a), (6, 1, 0, "short")]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected))
+
+
 # --- packing
 
 

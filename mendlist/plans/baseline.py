@@ -1,12 +1,13 @@
 """Distributed text classifiers: a baseline in place of transformer fine-tuning.
 
-Hashed TF-IDF features with logistic regression, one binary model per label and
+Hashed TF-IDF features with logistic regression, one model of all labels (``multilabel``) and
 one 3-class model, weighted like the loss functions they stand in for. Training
-is Spark ML over the stored record sets; scoring adds columns to a DataFrame.
+runs over the stored record sets; scoring adds columns to a DataFrame.
 """
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -19,9 +20,9 @@ from mendlist.functions.gates import sigmoid, softmax
 from mendlist.operators import evaluation as E
 from mendlist.operators import training as T
 from mendlist.operators.aspects import found_categories, rated_aspects
+from mendlist.plans import multilabel
 from mendlist.plans.ingest import Tables
 from mendlist.sources.readers import read_records, require_rows
-from mendlist.storage import settle
 
 HASH_SIZE = 1 << 14
 ROUNDS = 10
@@ -30,13 +31,13 @@ ROUNDS = 10
 @dataclass(frozen=True)
 class Models:
     texts: PipelineModel
-    categories: dict  # label -> model
+    categories: multilabel.LinearLabels
     sentiment: LogisticRegressionModel
     threshold: float = fixed.DECISION_THRESHOLD
 
     @property
     def labels(self):
-        return tuple(sorted(self.categories))
+        return self.categories.labels
 
 
 def fit_texts(texts: DataFrame, hash_size=HASH_SIZE) -> PipelineModel:
@@ -62,19 +63,9 @@ def weights_by(df: DataFrame, key: str) -> dict:
     return {r[key]: r["weight"] for r in df.select(key, "weight").collect()}
 
 
-def fit_categories(featured: DataFrame, pos_weights: dict[str, float], rounds=ROUNDS) -> dict:
-    """label -> model. ``featured`` has ``features`` and a ``labels`` list."""
-    featured = settle(featured.select("features", "labels"))
-    models = {}
-    for label, weight in sorted(pos_weights.items()):
-        weight = max(weight, fixed.WEIGHT_EPSILON)  # 0 for a label that every record has
-        hit = F.array_contains("labels", label)
-        data = featured.select(
-            "features", hit.cast("double").alias("y"), F.when(hit, float(weight)).otherwise(1.0).alias("w")
-        )
-        regression = LogisticRegression(labelCol="y", weightCol="w", maxIter=rounds, regParam=0.01)
-        models[label] = regression.fit(data)
-    return models
+def fit_categories(featured: DataFrame, pos_weights: dict[str, float], rounds=ROUNDS, val=None) -> multilabel.LinearLabels:
+    """One model for all labels; of its rounds the best on ``val``. Tables have ``features`` and a ``labels`` list."""
+    return multilabel.fit(featured, pos_weights, val, rounds)[0]
 
 
 def fit_sentiment(featured: DataFrame, class_weights: dict[int, float], rounds=ROUNDS) -> LogisticRegressionModel:
@@ -93,11 +84,7 @@ def _raw(model, df: DataFrame, name: str) -> DataFrame:
 
 def category_logits(models: Models, texts: DataFrame) -> DataFrame:
     """Adds ``logits``, one per label in alphabetical order, from ``text``."""
-    df = _featured(models.texts, texts)
-    for label, model in models.categories.items():
-        df = _raw(model, df, f"_raw_{label}")
-    logits = [vector_to_array(F.col(f"_raw_{label}"))[1] for label in models.labels]
-    return df.withColumn("logits", F.array(*logits)).select(*texts.columns, "logits")
+    return multilabel.logits(models.categories, _featured(models.texts, texts)).select(*texts.columns, "logits")
 
 
 def sentiment_logits(models: Models, texts: DataFrame) -> DataFrame:
@@ -127,7 +114,9 @@ def train(spark: SparkSession, tables: Tables, vocabulary=fixed.LABELS, limit=No
     texts = fit_texts(labelled.select("text"))
     names = T.vocabulary_of(labelled, vocabulary)
     weights = weights_by(T.category_pos_weights(labelled, names), "label")
-    categories = fit_categories(_featured(texts, labelled.select("text", "labels")), weights, rounds)
+    held = records("aspect_category", schemas.CATEGORY_RECORD, "val")
+    taught, checked = (_featured(texts, df.select("text", "labels")) for df in (labelled, held))
+    categories = fit_categories(taught, weights, rounds, checked)
 
     def pairs(split):
         prepared = T.trainer_pairs(records("aspect_sentiment", schemas.SENTIMENT_RECORD, split))
@@ -138,7 +127,6 @@ def train(spark: SparkSession, tables: Tables, vocabulary=fixed.LABELS, limit=No
     classes = weights_by(T.sentiment_class_weights(named), "label_index")
     models = Models(texts, categories, fit_sentiment(_featured(texts, moods), classes, rounds))
 
-    held = records("aspect_category", schemas.CATEGORY_RECORD, "val")
     truth = F.transform(T.multi_hot(F.col("labels"), names), lambda x: x.cast("int"))
     outputs = category_logits(models, held.select("text", truth.alias("truth")))
     best = E.best_threshold(outputs, names).first()
@@ -164,9 +152,9 @@ def route_with_models(reviews: DataFrame, features: DataFrame, models: Models) -
 def save(models: Models, path: str) -> None:
     models.texts.write().overwrite().save(f"{path}/texts")
     models.sentiment.write().overwrite().save(f"{path}/sentiment")
-    for label, model in models.categories.items():
-        model.write().overwrite().save(f"{path}/category_{label}")
     spark = SparkSession.active()
+    rows = [(i, row.tolist()) for i, row in enumerate(models.categories.weights)]  # one per label
+    spark.createDataFrame(rows, "label int, weights array<double>").write.mode("overwrite").parquet(f"{path}/categories")
     facts = spark.range(1).select(
         F.array(*[F.lit(v) for v in models.labels]).alias("labels"), F.lit(models.threshold).alias("threshold")
     )
@@ -175,10 +163,10 @@ def save(models: Models, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> Models:
     facts = spark.read.schema("labels array<string>, threshold double").json(f"{path}/facts").first()
-    categories = {v: LogisticRegressionModel.load(f"{path}/category_{v}") for v in facts["labels"]}
+    rows = spark.read.parquet(f"{path}/categories").orderBy("label").collect()
     return Models(
         PipelineModel.load(f"{path}/texts"),
-        categories,
+        multilabel.LinearLabels(tuple(facts["labels"]), np.array([r.weights for r in rows])),
         LogisticRegressionModel.load(f"{path}/sentiment"),
         facts["threshold"],
     )

@@ -1556,13 +1556,14 @@ def eval_report_roundtrip(d):
     return report.select("task", "metric", r6("value"))
 
 
-@query("baseline_model_scores")
-def baseline_model_scores(d):
+_LANGS = ("de", "en", "es", "fr")
+
+
+def _routed_by_models(d):
     """Languages as categories and label quality as sentiment, learnt from the texts."""
-    langs = ("de", "en", "es", "fr")
     docs = d.documents.select("doc_id", "text", F.array("lang").alias("labels"))
     texts = baseline.fit_texts(docs)
-    weights = baseline.weights_by(T.category_pos_weights(docs, langs), "label")
+    weights = baseline.weights_by(T.category_pos_weights(docs, _LANGS), "label")
     categories = baseline.fit_categories(texts.transform(docs), weights)
     mood = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 0, "neutral").otherwise("positive")
     graded = d.labels.select("doc_id", mood.alias("mood"))
@@ -1572,3 +1573,30 @@ def baseline_model_scores(d):
     models = baseline.Models(texts, categories, sentiment)
     names = settle(d.documents.select(F.col("lang").alias("feature_key"), F.upper("lang").alias("display_name")).distinct())
     return baseline.route_with_models(d.documents_as_reviews, names, models)
+
+
+@query("baseline_model_scores")
+def baseline_model_scores(d):
+    return _routed_by_models(d)
+
+
+@query(
+    "baseline_model_facts",
+    """SELECT lang, count(*) AS documents, true AS most_found, true AS few_wrong, true AS one_sentiment_each
+    FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') AND length(trim(text)) > 0 GROUP BY lang""",
+)
+def baseline_model_facts(d):
+    """What fitted models must reach, whatever their last digits: by language, 95 % found, 5 % wrong at most, one sentiment a pair."""
+    routed = settle(_routed_by_models(d).select("review_id", "feature_key", "sentiment"))
+    docs = d.documents.where(F.col("lang").isin(*_LANGS) & (F.length(F.trim("text")) > 0)).select(F.col("doc_id").cast("string").alias("review_id"), "lang")
+    pairs = routed.groupBy("review_id", "feature_key").agg(F.count("*").alias("n"), F.count_if(F.col("sentiment").isNull()).alias("none"))
+    joined = docs.join(pairs, "review_id", "left")
+    hit = F.col("feature_key") == F.col("lang")
+    by_doc = joined.groupBy("review_id", "lang").agg(
+        F.coalesce(F.bool_or(hit), F.lit(False)).alias("found"), F.count_if(~hit).alias("wrong"),
+        F.coalesce(F.bool_and((F.col("n") == 1) & (F.col("none") == 0)), F.lit(True)).alias("single"),
+    )
+    return by_doc.groupBy("lang").agg(
+        F.count("*").alias("documents"), (F.avg(F.col("found").cast("double")) >= 0.95).alias("most_found"),
+        (F.avg((F.col("wrong") > 0).cast("double")) <= 0.05).alias("few_wrong"), F.bool_and("single").alias("one_sentiment_each"),
+    )

@@ -69,8 +69,20 @@ def nest(df: DataFrame, key: str, row_id: str, element: Column, name: str, per_l
 
     Every list comes in parts of ``per_list`` consecutive elements, numbered by
     ``part``; the parts of a key in order are its list, and no task ever holds more of it.
+    Keys are counted first: those with one part, mostly all, are grouped as they are, and only
+    the rows of longer lists get places.
     """
-    rows = numbered(df.select(key, F.col(row_id).alias("_at"), element.alias("_item")), key, ["_at", "_item"], "_place")
+    rows = df.select(key, F.col(row_id).alias("_at"), element.alias("_item"))
+    long = settle(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > per_list).select(F.col(key).alias("_long")))
+    whole = F.array_sort(F.collect_list(F.struct("_at", "_item")))
+    items = lambda ordered: F.transform(ordered, lambda x: x["_item"]).alias(name)
+    one = F.lit(0).cast("bigint").alias("part")
+    if long.isEmpty():
+        return rows.groupBy(key).agg(items(whole)).select(key, one, name)
+    same = F.col(key).eqNullSafe(F.col("_long"))
+    few = lookup(long)
+    placed = numbered(rows.join(few, same, "left_semi"), key, ["_at", "_item"], "_place")
     part = F.expr(f"_place div {per_list}").alias("part")
-    ordered = F.array_sort(F.collect_list(F.struct("_place", "_item")))
-    return rows.groupBy(key, part).agg(F.transform(ordered, lambda x: x["_item"]).alias(name))
+    in_parts = placed.groupBy(key, part).agg(items(F.array_sort(F.collect_list(F.struct("_place", "_item")))))
+    short = rows.join(few, same, "left_anti").groupBy(key).agg(items(whole)).select(key, one, name)
+    return in_parts.unionByName(short)

@@ -75,9 +75,9 @@ def raw_reviews(stored: DataFrame) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str, split: str, limit=None) -> DataFrame:
-    """One split of a split dataset (reads only that partition), optionally capped."""
+    """One split of a split dataset (reads only that partition), or its first ``limit`` rows by its first columns."""
     df = spark.read.parquet(path).where(F.col("split") == split)
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else df.orderBy(*[c for c in df.columns if c != "split"][:2]).limit(limit)
 
 
 def first_reviews(reviews: DataFrame, limit: int) -> DataFrame:

@@ -45,8 +45,8 @@ LEAST_SHARE = 60
 STRETCH = 13
 MISSES = 2
 
-#: Longs of the bitmap: four bits or more a seed, within these bounds.
-LEAST_WORDS = 1 << 12
+#: Longs of the bitmap: 32 bits or more a seed, within these bounds.
+LEAST_WORDS = 1 << 15
 MOST_WORDS = 1 << 18
 
 
@@ -129,7 +129,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         known = known.union(_seeds(short, ["item"], used).where("at = 0").select("item", "at", own[j]))
     known = settle(known)
     words, seeds = LEAST_WORDS, known.count()
-    while words < MOST_WORDS and 16 * words < seeds:
+    while words < MOST_WORDS and 2 * words < seeds:
         words *= 2
     bitmap = known.groupBy(_word(F.col("seed"), words).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from mendlist.llm.words import mix, signed
 from mendlist.storage import release, settle
 
-#: Bytes of text and words of a shard: about 150 MB of task memory.
-SHARD_BYTES = 4 << 20
-SHARD_WORDS = 1 << 20
+#: Bytes of text and words of a shard: about 80 MB of task memory.
+SHARD_BYTES = 2 << 20
+SHARD_WORDS = 1 << 19
 #: Largest size of a bitmap, and bits for each phrase known to pass as long as it is smaller.
 BITMAP = 1 << 27
 BITS_EACH = 16
@@ -53,11 +53,12 @@ _GAPS[[9, 32]] = True
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(values.astype(np.int32).tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32)
+def _unpack(data: bytes) -> np.ndarray:
+    size = 4 * int.from_bytes(data[-8:], "little")
+    return np.frombuffer(pa.decompress(data[:-8], decompressed_size=size, codec="zstd", asbytes=True), np.int32)
 
 
 def _order(sequence: np.ndarray, depth: int) -> np.ndarray:
@@ -130,7 +131,7 @@ def _shard(sequence, words, langs, lang_of, sign: int, depth: int):
             pa.array([sign], pa.int32()),
             pa.array([langs.to_pylist()], pa.list_(pa.string())),
             pa.array([pa.compress(text, codec="zstd", asbytes=True) + len(text).to_bytes(8, "little")], pa.binary()),
-            *(pa.array([_pack(x) + len(x).to_bytes(8, "little")], pa.binary()) for x in (lang_of, counts, left, right)),
+            *(pa.array([_pack(x)], pa.binary()) for x in (lang_of, counts, left, right)),
         ],
         names=["sign", "langs", "words", "lang_of", "first", "left", "right"],
     )
@@ -166,24 +167,27 @@ class _Index:
     """A shard as read back. Phrases of a level: ids (one row each), low ends of both intervals, sizes."""
 
     def __init__(self, langs, words, lang_of, first, left, right):
-        def ints(data):
-            return _unpack(data[:-8], int.from_bytes(data[-8:], "little"))
-
         text = pa.decompress(words[:-8], decompressed_size=int.from_bytes(words[-8:], "little"), codec="zstd", asbytes=True)
         self.words = pa.array([b"", *text.split(b"\n")], pa.binary()).cast(pa.string())
-        self.lang_of = np.r_[0, ints(lang_of)]
+        self.lang_of = np.r_[0, _unpack(lang_of)]
         self.langs = pa.array(langs, pa.string())
-        self.counts = ints(first).astype(np.int64)
-        self.side = {"left": ints(left), "right": ints(right)}
-        self.steps = {}
+        self.counts = _unpack(first).astype(np.int64)
+        # read when a level first needs them
+        self.packed = {"left": left, "right": right}
+        self.sides, self.steps = {}, {}
         starts = np.r_[0, np.cumsum(self.counts)[:-1]]
         ids = np.arange(1, len(self.counts))
         self.level = ids[:, None], {"left": starts[1:], "right": starts[1:]}, self.counts[1:]
 
+    def side(self, to: str) -> np.ndarray:
+        if to not in self.sides:
+            self.sides[to] = _unpack(self.packed.pop(to))
+        return self.sides[to]
+
     def _step(self, to: str) -> np.ndarray:
         """Where the row that begins with the word before (after) a row's phrase lies."""
         if to not in self.steps:
-            order = np.argsort(self.side[to], kind="stable")
+            order = np.argsort(self.side(to), kind="stable")
             step = np.empty(len(order), np.int32)
             step[order] = np.arange(len(order))
             self.steps[to] = step
@@ -200,7 +204,7 @@ class _Index:
         begin = np.r_[0, np.cumsum(size)]
         of = np.repeat(np.arange(len(size)), size)
         row = np.arange(begin[-1]) - begin[of] + low[to][of]
-        word = self.side[to][row]
+        word = self.side(to)[row]
         key = of * len(self.counts) + word
         del word
         order = np.argsort(key)

@@ -22,6 +22,7 @@ Columns other than the two named are neither read nor kept.
 """
 
 import sys
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ SHARD_WORDS = 1 << 19
 #: Largest size of a bitmap, and bits for each phrase known to pass as long as it is smaller.
 BITMAP = 1 << 27
 BITS_EACH = 16
+#: Rows sent to Python at once: texts, and shards, which are large.
+TEXTS_AT_ONCE = 1000
+SHARDS_AT_ONCE = 1
 _BUCKET = 32768  # bits of one value of bitmap_construct_agg
 
 _U = np.uint64
@@ -310,6 +314,7 @@ def _open(batches):
         for i in range(batch.num_rows):
             sign, *parts = (c[i].as_py() for c in batch.columns)
             yield sign, _Index(*parts)
+            pa.default_memory_pool().release_unused()
 
 
 def _counter(names):
@@ -360,6 +365,18 @@ def _hash_words(batches):
         yield pa.RecordBatch.from_arrays([signed(_phrase_hashes(known, np.arange(len(known))[:, None]))], names=["h"])
 
 
+@contextmanager
+def _rows_at_once(spark, rows: int):
+    """Jobs run inside send so many rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Phrases:
     """frequent: lang, size, phrase, f of all phrases (single words too) that reach the limit. totals: lang, n."""
 
@@ -370,24 +387,28 @@ class Phrases:
 def count_phrases(docs: DataFrame, longest=3, least=10, text="text", lang="lang") -> Phrases:
     """Counts of all phrases of 1 to ``longest`` words that occur ``least`` times or more in their group."""
     spark = docs.sparkSession
-    shards = settle(docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_indexer(longest), _SHARD))
+    texts = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    with _rows_at_once(spark, TEXTS_AT_ONCE):
+        shards = settle(texts.mapInArrow(_indexer(longest), _SHARD))
 
-    def summed(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.sum("f").alias("f"))
+    def summed(task, schema: str, *keys: str) -> DataFrame:
+        return shards.mapInArrow(task, schema).groupBy(*keys).agg(F.sum("f").alias("f"))
 
-    words = settle(summed(shards.mapInArrow(_first_words, _SPELLED), "lang", "size", "phrase"))
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        words = settle(summed(_first_words, _SPELLED, "lang", "size", "phrase"))
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")))
     words = words.where(F.col("f") >= least)
     passing = [_bitmap(spark, settle(words.select("lang", "phrase").mapInArrow(_hash_words, "h long")))]
     # as many bits as keep most phrases apart, since those that share a hash are counted as one here
-    bits = min(63, 5 + (totals.agg(F.sum("n")).first()[0] or 1).bit_length())
+    bits = max(BITMAP.bit_length(), min(63, 5 + (totals.agg(F.sum("n")).first()[0] or 1).bit_length()))
     for size in range(2, longest + 1):
-        hashes = summed(shards.mapInArrow(_hash_counts(size, list(passing), max(bits, BITMAP.bit_length())), "h long, f long"), "h")
-        passing.append(_bitmap(spark, settle(hashes.where(F.col("f") >= least).select("h"))))
-    longer = summed(shards.mapInArrow(_phrase_counts(longest, passing), _SPELLED), "lang", "size", "phrase")
-    longer = longer.where(F.col("f") >= least)
+        with _rows_at_once(spark, SHARDS_AT_ONCE):
+            hashes = settle(summed(_hash_counts(size, list(passing), bits), "h long, f long", "h").where(F.col("f") >= least).select("h"))
+        passing.append(_bitmap(spark, hashes))
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        longer = settle(summed(_phrase_counts(longest, passing), _SPELLED, "lang", "size", "phrase").where(F.col("f") >= least))
     found = Phrases(settle(words.select("lang", "size", "phrase", "f").union(longer)), totals)
-    release(shards)
+    release(shards, longer)
     return found
 
 

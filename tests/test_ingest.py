@@ -1,3 +1,6 @@
+import hashlib
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +8,7 @@ from mendlist.operators import ingest as I
 from mendlist.operators.common import nest
 from mendlist.plans.ingest import Tables, csv_tables, ingest_csv
 from mendlist.sources import readers, writers
-from mendlist.storage import fresh_path
+from mendlist.storage import fresh_path, shared_folder
 
 CSV = '''domain,app,sentence,category,term,sentiment,rating,review_id,from,to
 games,Zap,"It crashes, daily",reliability,it,negative,1,r1,0,2
@@ -147,3 +150,38 @@ def test_files_keep_their_order_and_add_up(spark, tmp_path):
         ingest_csv(spark, str(tmp_path / "more.csv"), store)
         assert notes() == ["first"] + [f"t{i:03}" for i in range(300)] + ["new", "new"]
     assert store.reviews(spark).count() == 1
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_only_repeated_annotations_get_places(spark, table, few):
+    """Ids are the same whichever way the n-th occurrences are found."""
+    rows = [("r", i, "t" if i < 5 else f"t{i}", "c", "p", None, None) for i in range(9)]
+    notes = table(rows, "review_id string, seq long, aspect_term string, aspect_category string, polarity string, offset_from int, offset_to int")
+    got = {r.seq: r.annotation_id for r in I.with_annotation_ids(notes, few).collect()}
+    hashed = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    alike = lambda term: hashed("\x1f".join(["r", term, "c", "p", "", ""])).upper()
+    assert got == {i: hashed(f"{alike('t') if i < 5 else alike(f't{i}')}\x1f{i if i < 5 else 0}") for i in range(9)}
+
+
+def test_loads_leave_no_intermediate_results(spark, csv_path, tmp_path):
+    shared = Path(shared_folder(spark))
+    folders = lambda: {p.name for p in shared.glob("settled-*")}
+    before = folders()
+    tables = Tables(str(tmp_path / "store"))
+    ingest_csv(spark, csv_path, tables)
+    ingest_csv(spark, csv_path, tables, multi_line=False)
+    assert folders() == before and tables.annotations(spark).count() >= 4
+
+
+def test_annotations_lie_by_review(spark, tmp_path):
+    """Over all files in order of the reviews, in each file by place; a review keeps the order of its rows."""
+    (tmp_path / "a.csv").write_text("domain,app,sentence,category,term,sentiment,rating\n" + "".join(
+        f"d,a,s{i % 7},c,t{i},positive,3\n" for i in range(200)))
+    tables = Tables(str(tmp_path / "store"))
+    ingest_csv(spark, str(tmp_path / "a.csv"), tables)
+    rows = tables.annotations(spark).selectExpr("*", "_metadata.file_name as f").collect()
+    assert [r.aspect_term for r in sorted(rows, key=lambda r: r.seq)] == [f"t{i}" for i in range(200)]
+    assert all(len(r.review_id) == 64 and r.review_id == r.review_id.lower() for r in rows)
+    for name in {r.f for r in rows}:
+        keys = [(r.review_id, r.seq) for r in rows if r.f == name]
+        assert keys == sorted(keys)

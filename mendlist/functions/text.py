@@ -109,6 +109,14 @@ def near_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(kept, r"[^a-z0-9]+", " "))
 
 
+def has_near_text(text: Column) -> Column:
+    """True where ``near_text`` is not empty: one look for its first character, null for null.
+
+    Some other letters become ASCII in lower case, so texts without ASCII ones are looked at again.
+    """
+    return text.rlike("[A-Za-z0-9]") | F.lower(text).rlike("[a-z0-9]")
+
+
 def fingerprint(text: Column) -> Column:
     """32-byte stand-in for a text, to keep keys narrow in shuffles."""
     return F.unhex(F.sha2(text, 256))

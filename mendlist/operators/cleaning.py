@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendlist.functions.text import clean_text, fingerprint, is_stable, near_text
+from mendlist.functions.text import clean_text, fingerprint, has_near_text, is_stable, near_text
 from mendlist.operators.common import keep_first
 
 
@@ -76,7 +76,7 @@ def dedup_report(reviews: DataFrame, text="review_text", app="app_id") -> DataFr
 def blank_near_keys(reviews: DataFrame, text="review_text", app="app_id") -> DataFrame:
     """Per app, how many reviews share the empty near key (other scripts, symbols)."""
     return (
-        reviews.where(near_text(F.col(text)) == "")
+        reviews.where(~has_near_text(F.col(text)))
         .groupBy(app)
         .agg(F.count("*").alias("blank_near_keys"))
     )

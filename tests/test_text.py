@@ -148,3 +148,12 @@ def test_hot_text_is_reduced_before_the_shuffle(spark):
 
 def test_titles(spark):
     assert apply(spark, X.title_words, ["ui_ux", "cost"]) == ["Ui Ux", "Cost"]
+
+
+def test_blank_near_keys_of_every_letter(spark):
+    """The short look agrees with the key itself, also for letters that are ASCII in lower case only."""
+    letters = [(chr(i),) for i in range(0x30000) if not 0xD800 <= i < 0xE000] + [("",), (None,), ("éİ",), ("* \n*",)]
+    df = spark.createDataFrame(letters, "t string")
+    key, short = X.near_text(F.col("t")) != "", X.has_near_text(F.col("t"))
+    assert df.where(~key.eqNullSafe(short)).count() == 0
+    assert {r.t for r in df.where(short & ~F.col("t").rlike("^[A-Za-z0-9]")).collect()} == {"İ", "K", "éİ"}

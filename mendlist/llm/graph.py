@@ -1,10 +1,18 @@
 """Connected components of links, by rounds of joins and aggregations."""
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendlist.storage import release, settle
 
+#: Links that a task puts together at once.
+CHUNK = 1 << 20
+
 
 def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
@@ -21,26 +29,61 @@ def _relink(arcs: DataFrame) -> DataFrame:
     return moved.where("a != b").distinct()
 
 
+def _forest(batches):
+    """Links of a task, taken together by ``CHUNK``: each id is tied to the smallest one they reach from it."""
+
+    def tied(a, b):
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        part = np.arange(len(ids))
+        while (part[x] != part[y]).any():
+            np.minimum.at(part, np.maximum(part[x], part[y]), np.minimum(part[x], part[y]))
+            while (part != part[part]).any():
+                part = part[part]
+        moved = part != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[part[moved]])], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in range(2)])
+        n += batch.num_rows
+        if n >= CHUNK:
+            yield tied(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tied(*map(np.concatenate, zip(*held)))
+
+
+def _stored(links: DataFrame) -> DataFrame:
+    return settle(links.mapInArrow(_forest, "a long, b long"))
+
+
+def _done(edges: DataFrame) -> bool:
+    """Whether every id is tied to one other, which is tied to none."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("tied")).union(edges.select("b", F.lit(0)))
+    ties = ends.groupBy("id").agg(F.sum("tied").alias("ties"), F.min("tied").alias("least"))
+    return ties.where("ties > 1 OR ties > 0 AND least = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, part): for each id on a link (a, b), the smallest id in reach.
 
-    Alternates two steps until nothing changes, in about the logarithm of the longest
+    Links that lie in one task are put together there, which is all there is to do for few of them. Then
+    two steps alternate until nothing is left to tie, in about the logarithm of the longest
     chain: tie the larger neighbours of each id to its smallest neighbour, then its
     smaller ones. Neighbours are aggregated, never listed, so a hub costs no more than
     its links. Links in any direction, repeated or to itself are fine.
     """
-    edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    seen = None
-    while True:
+    ends = [F.col(c).cast("long") for c in ("a", "b")]
+    edges = _stored(links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).where("a != b").distinct())
+    while not _done(edges):
         arcs = _directed(edges)
         low = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         wide = arcs.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b"))
         wide = wide.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-        before, edges = edges, settle(_relink(wide))
+        before, edges = edges, _stored(_relink(wide))
         release(before)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("part")).union(
-                edges.select(F.col("b").alias("id"), F.col("b").alias("part"))
-            ).distinct()
-        seen = state
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("part")).union(edges.select("b", "b").distinct())
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 
 from mendlist.llm import attribution, boilerplate, decontaminate, jaccard, langid, licenses, packing, quality, rules, substrings
+from mendlist.llm import graph
 from mendlist.llm.graph import components
 from mendlist.llm.tokens import Vocabulary
 
@@ -71,6 +72,24 @@ def test_components_of_links(spark):
     assert got == {x: low[x] for x in touched}
 
 
+@pytest.mark.parametrize("chunk", [graph.CHUNK, 3])
+def test_links_of_one_task_are_put_together_there(spark, monkeypatch, chunk):
+    """A long chain takes no round if its links lie in one task, and comes out whole if they are torn."""
+    rounds, relink = [], graph._relink
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    monkeypatch.setattr(graph, "_relink", lambda arcs: rounds.append(1) or relink(arcs))
+    links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, i) for i in range(101, 140)], "a long, b long")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(chunk, 1000)))
+    try:
+        got = {r["id"]: r["part"] for r in components(links.coalesce(1)).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
+    assert bool(rounds) == (chunk == 3)
+
+
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80), (2, 60)])
 def test_jaccard(docs, rows, k, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, k, percent).collect()}

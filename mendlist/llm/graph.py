@@ -54,10 +54,19 @@ def _forest(batches):
         yield tied(*map(np.concatenate, zip(*held)))
 
 
-def _stored(links: DataFrame) -> DataFrame:
+def _tied(links: DataFrame) -> DataFrame:
     return settle(links.mapInArrow(_forest, "a long, b long"))
 
 
+def _stored(links: DataFrame):
+    """(links, tasks): what is left to tie, in as few tasks as ``CHUNK`` allows; with one, nothing is."""
+    before = _tied(links)
+    tasks = max(1, -(-before.count() // CHUNK))
+    edges = _tied(before.coalesce(tasks))
+    release(before)
+    return edges, tasks
+
+
 def _done(edges: DataFrame) -> bool:
     """Whether every id is tied to one other, which is tied to none."""
     ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("tied")).union(edges.select("b", F.lit(0)))
@@ -68,20 +77,21 @@ def _done(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(id, part): for each id on a link (a, b), the smallest id in reach.
 
-    Links that lie in one task are put together there, which is all there is to do for few of them. Then
+    Links that lie in one task are put together there; tasks of few links are merged up to ``CHUNK``, however
+    many partitions the session has, so no more than that is left of most inputs. Then
     two steps alternate until nothing is left to tie, in about the logarithm of the longest
     chain: tie the larger neighbours of each id to its smallest neighbour, then its
     smaller ones. Neighbours are aggregated, never listed, so a hub costs no more than
     its links. Links in any direction, repeated or to itself are fine.
     """
     ends = [F.col(c).cast("long") for c in ("a", "b")]
-    edges = _stored(links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).where("a != b").distinct())
-    while not _done(edges):
+    edges, tasks = _stored(links.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).where("a != b"))
+    while tasks > 1 and not _done(edges):
         arcs = _directed(edges)
         low = arcs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         wide = arcs.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("low").alias("b"))
         wide = wide.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-        before, edges = edges, _stored(_relink(wide))
+        before, (edges, tasks) = edges, _stored(_relink(wide))
         release(before)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("part")).union(edges.select("b", "b").distinct())
 

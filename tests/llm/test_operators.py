@@ -90,6 +90,25 @@ def test_links_of_one_task_are_put_together_there(spark, monkeypatch, chunk):
     assert bool(rounds) == (chunk == 3)
 
 
+@pytest.mark.parametrize("chunk", [graph.CHUNK, 500])
+def test_links_over_many_partitions_are_merged_before_rounds(spark, monkeypatch, chunk):
+    """A chain dealt at random over 64 partitions takes no round if all of it is less than a task may hold."""
+    rounds, relink = [], graph._relink
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    monkeypatch.setattr(graph, "_relink", lambda arcs: rounds.append(1) or relink(arcs))
+    links = [(i + 1, i) for i in range(2000)] + [(5000, i) for i in range(5001, 5040)]
+    random.Random(5).shuffle(links)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        got = {r["id"]: r["part"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(64)).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {i: 0 for i in range(2001)} | {i: 5000 for i in range(5000, 5040)}
+    assert bool(rounds) == (chunk == 500)
+
+
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80), (2, 60)])
 def test_jaccard(docs, rows, k, percent):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, k, percent).collect()}

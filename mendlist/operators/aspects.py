@@ -75,14 +75,16 @@ def scorer(load: Callable[[], Callable[..., np.ndarray]]):
     return apply
 
 
-def found_categories(scored: DataFrame, features: DataFrame, labels=fixed.LABELS, threshold=fixed.DECISION_THRESHOLD) -> DataFrame:
+def found_categories(
+    scored: DataFrame, features: DataFrame, labels=fixed.LABELS, threshold=fixed.DECISION_THRESHOLD, keep=()
+) -> DataFrame:
     """(review_id, review_text, feature_key, display_name) per category at or above ``threshold``.
 
-    ``scored`` has id, review_text and ``probs``, one probability per label.
+    ``scored`` has id, review_text and ``probs``, one probability per label; columns named by ``keep`` stay.
     """
     names = F.array(*[F.lit(v) for v in labels])
     found = gates.predicted_labels(F.col("probs"), names, threshold)
-    rows = scored.select(F.col("id").alias("review_id"), "review_text", F.explode(found).alias("feature_key"))
+    rows = scored.select(F.col("id").alias("review_id"), "review_text", *keep, F.explode(found).alias("feature_key"))
     return with_display_name(rows, features)
 
 

@@ -6,35 +6,59 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mendlist import fixed
+from mendlist.functions.binding import bound
 from mendlist.functions.gates import sigmoid_value, top_position
 from mendlist.functions.scores import safe_ratio
 from mendlist.functions.text import stripped
 from mendlist.operators.common import lookup
 from mendlist.operators.taxonomy import map_category
-from mendlist.operators.training import multi_hot
+
+
+def mapped_annotations(annotations: DataFrame, mapping=None) -> DataFrame:
+    """The annotations that are mapped to a feature; a table made by this before is left as it is."""
+    if "outcome" in annotations.columns:
+        return annotations
+    return map_category(annotations, F.col("aspect_category"), mapping).where(F.col("outcome") == "mapped")
+
+
+#: Labels held by one number.
+WORD_BITS = 62
 
 
 def gold_category_labels(
     reviews: DataFrame, annotations: DataFrame, vocabulary=fixed.LABELS, mapping=None
 ) -> DataFrame:
     """(review_id, review_text, gold_labels): one multi-hot row for every review."""
-    mapped = map_category(annotations, F.col("aspect_category"), mapping)
+    mapped = mapped_annotations(annotations, mapping)
+    # the labels of a review as bits of numbers, which combine within the map tasks
+    names = sorted(set(vocabulary))
+    words = [names[i : i + WORD_BITS] for i in range(0, len(names), WORD_BITS)]
     found = (
-        mapped.where(F.col("feature_key").isin(*vocabulary))
+        mapped.where(F.col("feature_key").isin(*names))
         .groupBy("review_id")
-        .agg(F.collect_set("feature_key").alias("_features"))  # at most the vocabulary
+        .agg(*[F.bit_or(_bit_of(F.col("feature_key"), word)).alias(f"_bits{i}") for i, word in enumerate(words)])
     )
+    hot = [
+        F.coalesce(F.col(f"_bits{i}").bitwiseAND(F.lit(1 << j)) != 0, F.lit(False)).cast("double")
+        for i, word in enumerate(words)
+        for j in range(len(word))
+    ]
     texts = reviews.select(F.col("id").alias("review_id"), "review_text")
-    return texts.join(found, "review_id", "left").select(
-        "review_id", "review_text", multi_hot(F.col("_features"), vocabulary).alias("gold_labels")
-    )
+    return texts.join(found, "review_id", "left").select("review_id", "review_text", F.array(*hot).alias("gold_labels"))
+
+
+def _bit_of(name: Column, names) -> Column:
+    """A number with the bit of one of the names, 0 for others."""
+    bit = F.lit(0).cast("bigint")
+    for j, known in enumerate(names):
+        bit = F.when(name == known, F.lit(1 << j).cast("bigint")).otherwise(bit)
+    return bit
 
 
 def gold_sentiment(polarity: Column) -> Column:
     """Normalised gold sentiment; null for a missing or invalid polarity."""
-    spelled = F.lower(stripped(polarity))
-    spelled = F.when(spelled.isin(*fixed.NEUTRAL_SPELLINGS), "neutral").otherwise(spelled)
-    return F.when(spelled.isin(*fixed.SENTIMENTS), spelled)
+    neutral = lambda x: F.when(x.isin(*fixed.NEUTRAL_SPELLINGS), "neutral").when(x.isin(*fixed.SENTIMENTS), x)
+    return bound(F.lower(stripped(polarity)), neutral)
 
 
 def gold_sentiment_pairs(
@@ -43,8 +67,7 @@ def gold_sentiment_pairs(
     """(review_id, feature_key, text_a, text_b, gold_sentiment) per usable annotation."""
     names = lookup(features.select("feature_key", F.col("display_name").alias("text_b")))
     usable = (
-        map_category(annotations, F.col("aspect_category"), mapping)
-        .where(F.col("outcome") == "mapped")
+        mapped_annotations(annotations, mapping)
         .withColumn("gold_sentiment", gold_sentiment(F.col("polarity")))
         .where(F.col("gold_sentiment").isNotNull())
         .select("review_id", "feature_key", "gold_sentiment")

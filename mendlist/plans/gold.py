@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from mendlist import fixed
 from mendlist.operators import evaluation as E
+from mendlist.operators.common import short_id
 from mendlist.operators.training import sentiment_index
 from mendlist.sources.readers import require_rows
 from mendlist.sources.writers import write_report
-from mendlist.storage import settle
+from mendlist.storage import release, settle
 
 
 def evaluate(
@@ -28,9 +29,13 @@ def evaluate(
     The two scorers are functions of Columns giving logits: of the text, and of
     the text and the feature's display name.
     """
+    # both tables are read twice below, and may be long jobs; ids only bring rows together here
+    reviews = settle(reviews.select(short_id(F.col("id")).alias("id"), "review_text"))
     require_rows(reviews, "evaluation reviews")
+    notes = annotations.select(short_id(F.col("review_id")).alias("review_id"), "aspect_category", "polarity")
+    notes = settle(E.mapped_annotations(notes, mapping).select("review_id", "feature_key", "outcome", "polarity"))
     names = sorted(set(vocabulary))
-    gold = E.gold_category_labels(reviews, annotations, names, mapping)
+    gold = E.gold_category_labels(reviews, notes, names, mapping)
     category = E.category_metrics(
         gold.select(
             category_logits(F.col("review_text")).alias("logits"), F.col("gold_labels").alias("truth")
@@ -38,7 +43,7 @@ def evaluate(
         names,
         threshold,
     )
-    pairs = E.gold_sentiment_pairs(reviews, annotations, features, mapping)
+    pairs = E.gold_sentiment_pairs(reviews, notes, features, mapping)
     sentiment = E.sentiment_metrics(
         pairs.select(
             sentiment_logits(F.col("text_a"), F.col("text_b")).alias("logits"),
@@ -50,6 +55,7 @@ def evaluate(
     )
     # checked before anything is left behind
     report = settle(report)
+    release(reviews, notes)
     n_pairs = report.where("task = 'sentiment' AND metric LIKE 'support_%'").agg(F.sum("value")).first()[0]
     if not n_pairs:
         raise ValueError("no usable gold sentiment pair")

@@ -8,6 +8,8 @@ from mendlist import fixed
 from mendlist.functions import gates
 from mendlist.operators import aspects as A
 from mendlist.operators import evaluation as E
+from mendlist.operators.common import short_id
+from mendlist.plans.gold import evaluate
 from mendlist.sources import literals
 
 
@@ -134,3 +136,36 @@ def test_fixed_tables(spark):
     mapping = literals.category_features(spark)
     assert mapping.count() == len(fixed.CATEGORY_FEATURES)
     assert mapping.where("feature_key IS NULL").count() == 4
+
+
+def test_labels_beyond_one_number(table):
+    """A vocabulary of more labels than a number has bits; a label may come first, last or twice."""
+    names = [f"f{i:03}" for i in range(2 * E.WORD_BITS + 3)]
+    given = {"1": [0, E.WORD_BITS - 1], "2": [E.WORD_BITS, 2 * E.WORD_BITS, 2 * E.WORD_BITS + 2], "3": []}
+    notes = table([(k, names[i]) for k, own in given.items() for i in [*own, *own]] + [("1", "martian")], "review_id string, aspect_category string")
+    reviews = table([(k, k) for k in given], "id string, review_text string")
+    gold = E.gold_category_labels(reviews, notes, [*reversed(names), names[0]], {n: n for n in names})
+    assert {r.review_id: [i for i, x in enumerate(r.gold_labels) if x == 1.0] for r in gold.collect()} == given
+    assert {len(r.gold_labels) for r in gold.collect()} == {len(names)}
+
+
+def test_short_ids_stand_for_one_id_each(table):
+    ids = ["", "00", "0", "ab", "AB", "aB", "\x00", "\x01", "\xab", "ab" * 32, "g" * 64, "é", None]
+    rows = table([(x,) for x in ids], "id string").select("id", short_id(F.col("id")).alias("code")).collect()
+    assert {r.id is None for r in rows if r.code is None} == {True}
+    codes = {r.id: bytes(r.code) for r in rows if r.code is not None}
+    assert len(codes) == len(ids) - 1 == len(set(codes.values())) and len(codes["ab" * 32]) == 33
+
+
+def test_evaluation_works_its_inputs_out_once(spark, gold, tmp_path):
+    reviews, notes, features = gold
+    seen = spark.sparkContext.accumulator(0)
+    looked = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
+    logits = lambda *texts: F.array(*[F.lit(float(i)) for i in range(3)])
+    report = evaluate(
+        spark, reviews.withColumn("review_text", looked("review_text")), notes.withColumn("polarity", looked("polarity")), features,
+        logits, logits, str(tmp_path / "report"), ("billing_subscription", "login_auth", "sync_speed"),
+    )
+    got = {(r.task, r.metric): r.value for r in report.collect()}
+    assert got[("category", "support_login_auth")] == 1 and got[("sentiment", "support_neutral")] == 1
+    assert seen.value == reviews.count() + notes.count()

@@ -11,7 +11,7 @@ to the right and to the left, all phrases of a level at once.
 Counts are summed across shards. What cannot reach the limit is left out early and
 without loss: a phrase is only extended if its words, and all its shorter phrases,
 may reach the limit in the whole corpus. That is known from bitmaps of a fixed
-largest size, made from sums of phrase hashes; a false positive costs a row. Last, the
+largest size, made from sums of phrase hashes, which travel packed by range of hashes; a false positive costs a row. Last, the
 phrases that pass are counted by their spelling, so results are exact.
 
 Words, pieces: lower-cased A-Z; pieces end at ``[.,;:!?\\x0A-\\x0D]``, words at space and tab.
@@ -43,6 +43,9 @@ BITS_EACH = 16
 #: Rows sent to Python at once: texts, and shards, which are large.
 TEXTS_AT_ONCE = 1000
 SHARDS_AT_ONCE = 1
+#: Hashes a task adds up before it sends them, and words of the corpus for each range of hashes, about 100 MB of task memory.
+HASHES_AT_ONCE = 3 << 19
+RANGE_WORDS = 1 << 21
 _BUCKET = 32768  # bits of one value of bitmap_construct_agg
 
 _U = np.uint64
@@ -317,44 +320,100 @@ def _open(batches):
             pa.default_memory_pool().release_unused()
 
 
-def _counter(names):
-    def emit(index, sign, size):
-        group, phrase, count = index.spelled()
-        return pa.RecordBatch.from_arrays(
-            [group, pa.array(np.full(len(count), size, np.int32)), phrase, pa.array(sign * count)], names=names
-        )
+def _spelled(index, sign):
+    group, phrase, count = index.spelled()
+    key = pc.binary_join_element_wise(group, phrase, "\n")
+    return pa.RecordBatch.from_arrays([key, pa.array(sign * count)], names=["key", "f"])
 
-    return emit
 
+#: Group and phrase are shuffled as one text; a phrase holds no line break.
+_SPELLED = "key string, f long"
 
-_SPELLED = "lang string, size int, phrase string, f long"
+
+def _apart(counts: DataFrame) -> DataFrame:
+    """lang, size, phrase, f."""
+    phrase = F.substring_index("key", "\n", -1)
+    parts = counts.select("key", phrase.alias("phrase"), "f")
+    size = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1
+    return parts.select(F.expr("substring(key, 1, length(key) - length(phrase) - 1)").alias("lang"), size.alias("size"), "phrase", "f")
 
 
 def _first_words(batches):
-    emit = _counter(["lang", "size", "phrase", "f"])
     for sign, index in _open(batches):
-        yield emit(index, sign, 1)
+        yield _spelled(index, sign)
+
+
+def _added(parts: list):
+    """Sorted hashes and the sums of their counts."""
+    hashes, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])[: len(hashes)]
+    return hashes[new], np.add.reduceat(counts[order], new) if len(new) else counts
+
+
+def _pack_counts(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted hashes as steps, and counts: byte by byte of all numbers, as most bytes but the lowest are zero."""
+    both = np.concatenate([np.diff(hashes, prepend=0), counts]).astype(np.int64)
+    planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) + len(both).to_bytes(8, "little")
+
+
+def _unpack_counts(data: bytes):
+    size = int.from_bytes(data[-8:], "little")
+    planes = pa.decompress(data[:-8], decompressed_size=8 * size, codec="zstd", asbytes=True)
+    both = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, size).T).view(np.int64).ravel()
+    return np.cumsum(both[: size // 2]), both[size // 2 :]
+
 
+_RANGES = "range long, counts binary"
+
+
+def _hash_counts(size: int, passing: list, bits: int, shift: int):
+    """Counts of the hashes of a level, packed by range: hashes alike but for the lowest ``shift`` bits."""
+
+    def emit(hashes, counts):
+        of = hashes >> shift
+        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])[: len(of)]
+        packed = [_pack_counts(hashes[a:b], counts[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(of)))]
+        return pa.RecordBatch.from_arrays([pa.array(of[cuts]), pa.array(packed, pa.binary())], names=["range", "counts"])
 
-def _hash_counts(size: int, passing: list, bits: int):
     def count(batches):
+        parts = []
         for sign, index in _open(batches):
             for at in _levels(index, size, passing):
                 if at == size:
                     ids, _, n = index.level
-                    short = index.hashes(ids) & _U((1 << bits) - 1)
-                    yield pa.RecordBatch.from_arrays([signed(short), pa.array(sign * n)], names=["h", "f"])
+                    parts.append(((index.hashes(ids) & _U((1 << bits) - 1)).astype(np.int64), sign * n))
+            if sum(len(h) for h, _ in parts) > HASHES_AT_ONCE:
+                parts = [_added(parts)]
+                # sent if adding up made little of it
+                if 2 * len(parts[0][0]) > HASHES_AT_ONCE:
+                    yield emit(*parts.pop())
+        if parts:
+            yield emit(*_added(parts))
 
     return count
 
 
+def _frequent_hashes(least: int):
+    """The hashes of a range that reach the limit, from all its packed counts."""
+
+    def choose(batches):
+        for batch in batches:
+            for packed in batch.column(0):
+                hashes, counts = _added([_unpack_counts(x.as_py()) for x in packed.values])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[counts >= least])], names=["h"])
+
+    return choose
+
+
 def _phrase_counts(longest: int, passing: list):
     def count(batches):
-        emit = _counter(["lang", "size", "phrase", "f"])
         for sign, index in _open(batches):
             for size in _levels(index, longest, passing):
                 if size > 1:
-                    yield emit(index, sign, size)
+                    yield _spelled(index, sign)
 
     return count
 
@@ -391,22 +450,26 @@ def count_phrases(docs: DataFrame, longest=3, least=10, text="text", lang="lang"
     with _rows_at_once(spark, TEXTS_AT_ONCE):
         shards = settle(texts.mapInArrow(_indexer(longest), _SHARD))
 
-    def summed(task, schema: str, *keys: str) -> DataFrame:
-        return shards.mapInArrow(task, schema).groupBy(*keys).agg(F.sum("f").alias("f"))
+    def summed(task) -> DataFrame:
+        return shards.mapInArrow(task, _SPELLED).groupBy("key").agg(F.sum("f").alias("f"))
 
     with _rows_at_once(spark, SHARDS_AT_ONCE):
-        words = settle(summed(_first_words, _SPELLED, "lang", "size", "phrase"))
+        words = settle(_apart(summed(_first_words)))
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")))
     words = words.where(F.col("f") >= least)
     passing = [_bitmap(spark, settle(words.select("lang", "phrase").mapInArrow(_hash_words, "h long")))]
     # as many bits as keep most phrases apart, since those that share a hash are counted as one here
-    bits = max(BITMAP.bit_length(), min(63, 5 + (totals.agg(F.sum("n")).first()[0] or 1).bit_length()))
+    n_words = totals.agg(F.sum("n")).first()[0] or 1
+    bits = max(BITMAP.bit_length(), min(63, 5 + n_words.bit_length()))
+    shift = bits - max(0, int(n_words // RANGE_WORDS).bit_length())
     for size in range(2, longest + 1):
         with _rows_at_once(spark, SHARDS_AT_ONCE):
-            hashes = settle(summed(_hash_counts(size, list(passing), bits), "h long, f long", "h").where(F.col("f") >= least).select("h"))
+            packed = shards.mapInArrow(_hash_counts(size, list(passing), bits, shift), _RANGES)
+            ranges = packed.groupBy("range").agg(F.collect_list("counts").alias("parts")).select("parts")
+            hashes = settle(ranges.mapInArrow(_frequent_hashes(least), "h long"))
         passing.append(_bitmap(spark, hashes))
     with _rows_at_once(spark, SHARDS_AT_ONCE):
-        longer = settle(summed(_phrase_counts(longest, passing), _SPELLED, "lang", "size", "phrase").where(F.col("f") >= least))
+        longer = settle(_apart(summed(_phrase_counts(longest, passing)).where(F.col("f") >= least)))
     found = Phrases(settle(words.select("lang", "size", "phrase", "f").union(longer)), totals)
     release(shards, longer)
     return found
@@ -430,8 +493,9 @@ def collocations(phrases: Phrases, shortest=2, top=2000, covered_percent=50, sca
     frequent = phrases.frequent
     candidates = frequent.where(F.col("size") >= shortest)
     cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    # head and tail are the phrase, which is put together again when both are counted
     cuts = cuts.select(
-        "*", F.expr("substring_index(phrase, ' ', k)").alias("head"),
+        "lang", "a", "k", F.expr("substring_index(phrase, ' ', k)").alias("head"),
         F.expr("substring(phrase, length(substring_index(phrase, ' ', k)) + 2)").alias("tail"),
     )
     heads = frequent.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l"))
@@ -439,6 +503,7 @@ def collocations(phrases: Phrases, shortest=2, top=2000, covered_percent=50, sca
     # products of three counts: decimals of 38 digits
     exact = F.expr(f"cast((cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * {scale}) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as long)")
     scored = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).withColumn("score", exact)
+    scored = scored.withColumn("phrase", F.concat_ws(" ", "head", "tail"))
     least = F.min(F.struct("score", "k", "l", "r", "a")).alias("c")
     scored = scored.groupBy("lang", "phrase").agg(least).select("lang", "phrase", "c.a", "c.l", "c.r", "c.score")
     covers = candidates.where(F.col("size") > shortest).select(

@@ -187,6 +187,27 @@ def test_texts_cut_into_several_shards(spark, monkeypatch):
     assert _found(collocations.collocations(collocations.count_phrases(_spread(spark, rows, 2)))) == _collocations(rows)
 
 
+def test_hash_counts_are_sent_several_times_and_by_range(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HASHES_AT_ONCE", 40)
+    monkeypatch.setattr(collocations, "RANGE_WORDS", 100)
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 50)
+    rows = [(i, text, "line\nbreak" if lang == "de" else lang) for i, text, lang in _prose(n=60)]
+    assert _found(collocations.collocations(collocations.count_phrases(_spread(spark, rows, 3)))) == _collocations(rows)
+
+
+def test_packed_counts_of_hashes():
+    deal = np.random.default_rng(5)
+    hashes = np.unique(deal.integers(0, 1 << 32, 200_000))
+    counts = deal.integers(-1, 4, len(hashes))
+    packed = collocations._pack_counts(hashes, counts)
+    assert len(packed) < 4 * len(hashes)  # 16 bytes as two numbers
+    for given in (hashes, counts), (np.array([0, (1 << 63) - 1]), np.array([1 << 40, -5])), (hashes[:0], counts[:0]):
+        back = collocations._unpack_counts(collocations._pack_counts(*given))
+        assert all(np.array_equal(a, b) for a, b in zip(back, given))
+    twice, sums = collocations._added([(hashes, counts), (hashes[::2], counts[::2])])
+    assert np.array_equal(twice, hashes) and sums.sum() == counts.sum() + counts[::2].sum()
+
+
 def test_collocations_of_nothing(spark):
     assert _found(collocations.collocations(collocations.count_phrases(_spread(spark, [], 1)))) == []
     odd = [(None, None, None), (1, "", None), (2, "...", "en")]

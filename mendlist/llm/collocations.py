@@ -12,7 +12,8 @@ Counts are summed across shards. What cannot reach the limit is left out early a
 without loss: a phrase is only extended if its words, and all its shorter phrases,
 may reach the limit in the whole corpus. That is known from bitmaps of a fixed
 largest size, made from sums of phrase hashes, which travel packed by range of hashes; a false positive costs a row. Last, the
-phrases that pass are counted by their spelling, so results are exact.
+phrases that pass are counted by their spelling, so results are exact. Spelled counts are added up by task and travel
+packed as well, sorted, by range of the hashes of what is spelled.
 
 Words, pieces: lower-cased A-Z; pieces end at ``[.,;:!?\\x0A-\\x0D]``, words at space and tab.
 A text of more than ``SHARD_WORDS`` words is cut into several shards; each reaches over the next one's first
@@ -46,6 +47,9 @@ SHARDS_AT_ONCE = 1
 #: Hashes a task adds up before it sends them, and words of the corpus for each range of hashes, about 100 MB of task memory.
 HASHES_AT_ONCE = 3 << 19
 RANGE_WORDS = 1 << 21
+#: Bytes of spelled counts a task adds up before it sends them, about 200 MB of task memory, and shards of the corpus for each range.
+SPELLED_AT_ONCE = 64 << 20
+RANGE_SHARDS = 16
 _BUCKET = 32768  # bits of one value of bitmap_construct_agg
 
 _U = np.uint64
@@ -59,13 +63,16 @@ _GAPS = _ENDS.copy()
 _GAPS[[9, 32]] = True
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype(np.int32).tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
+def _pack(values: np.ndarray, kind=np.int32) -> bytes:
+    """Numbers, byte by byte of all of them, as most bytes but the lowest are zero."""
+    planes = values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    size = 4 * int.from_bytes(data[-8:], "little")
-    return np.frombuffer(pa.decompress(data[:-8], decompressed_size=size, codec="zstd", asbytes=True), np.int32)
+def _unpack(data: bytes, kind=np.int32) -> np.ndarray:
+    size, width = int.from_bytes(data[-8:], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[:-8], decompressed_size=width * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(kind).ravel()
 
 
 def _order(sequence: np.ndarray, depth: int) -> np.ndarray:
@@ -320,14 +327,77 @@ def _open(batches):
             pa.default_memory_pool().release_unused()
 
 
-def _spelled(index, sign):
+#: Group and phrase are counted as one text; a phrase holds no line break.
+_SPELLED = "key string, f long"
+_SPELLED_RANGES = "range int, numbers binary, text binary"
+
+
+def _spelled(index, sign, bits: int) -> pa.Table:
     group, phrase, count = index.spelled()
     key = pc.binary_join_element_wise(group, phrase, "\n")
-    return pa.RecordBatch.from_arrays([key, pa.array(sign * count)], names=["key", "f"])
+    of = (index.hashes(index.level[0]) & _U((1 << bits) - 1)).astype(np.int32)
+    return pa.table({"range": of, "key": key, "f": sign * count})
 
 
-#: Group and phrase are shuffled as one text; a phrase holds no line break.
-_SPELLED = "key string, f long"
+def _added_spelled(parts: list) -> pa.Table:
+    """Counts by range and spelling."""
+    added = pa.concat_tables(parts).group_by(["range", "key"], use_threads=False).aggregate([("f", "sum")])
+    return added.rename_columns({"f_sum": "f"}).select(["range", "key", "f"])
+
+
+def _pack_spelled(keys: pa.Array, counts: np.ndarray):
+    """(lengths and counts, text) of spelled counts; sorted ones take the least room."""
+    at = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    text = keys.buffers()[2].slice(int(at[0]), int(at[-1] - at[0]))
+    return _pack(np.concatenate([np.diff(at), counts]), np.int64), pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpack_spelled(numbers: bytes, text: bytes):
+    numbers = _unpack(numbers, np.int64)
+    size = len(numbers) // 2
+    at = np.r_[0, np.cumsum(numbers[:size])].astype(np.int32)
+    text = pa.decompress(text, decompressed_size=int(at[-1]), codec="zstd")
+    return pa.StringArray.from_buffers(size, pa.py_buffer(at), text), numbers[size:]
+
+
+def _send_spelled(tables):
+    """Packed counts by range: of a task's tables, added up as long as that makes little of them."""
+
+    def emit(table):
+        table = table.sort_by([("range", "ascending"), ("key", "ascending")]).combine_chunks()
+        of, counts = table["range"].to_numpy(), table["f"].to_numpy()
+        keys = table["key"].combine_chunks()
+        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        packed = [_pack_spelled(keys.slice(a, b - a), counts[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(of)))]
+        numbers, texts = (pa.array(x, pa.binary()) for x in zip(*packed))
+        return pa.RecordBatch.from_arrays([pa.array(of[cuts]), numbers, texts], names=["range", "numbers", "text"])
+
+    parts = []
+    for table in tables:
+        if table.num_rows:
+            parts.append(table)
+        if sum(t.nbytes for t in parts) > SPELLED_AT_ONCE:
+            parts = [_added_spelled(parts)]
+            # sent if adding up made little of it
+            if 3 * parts[0].nbytes > 2 * SPELLED_AT_ONCE:
+                yield emit(parts.pop())
+    if parts:
+        yield emit(_added_spelled(parts))
+
+
+def _sums_spelled(least: int | None):
+    """The spelled counts of a range, from all its packed ones; those that reach the limit if there is one."""
+
+    def add(batches):
+        for batch in batches:
+            for packed in batch.column(0):
+                parts = [_unpack_spelled(*(x.as_py() for x in row)) for row in zip(*packed.values.flatten())]
+                table = _added_spelled([pa.table({"range": np.zeros(len(f), np.int32), "key": key, "f": f}) for key, f in parts])
+                if least is not None:
+                    table = table.filter(pc.greater_equal(table["f"], least))
+                yield from table.select(["key", "f"]).to_batches()
+
+    return add
 
 
 def _apart(counts: DataFrame) -> DataFrame:
@@ -338,9 +408,11 @@ def _apart(counts: DataFrame) -> DataFrame:
     return parts.select(F.expr("substring(key, 1, length(key) - length(phrase) - 1)").alias("lang"), size.alias("size"), "phrase", "f")
 
 
-def _first_words(batches):
-    for sign, index in _open(batches):
-        yield _spelled(index, sign)
+def _first_words(bits: int):
+    def count(batches):
+        yield from _send_spelled(_spelled(index, sign, bits) for sign, index in _open(batches))
+
+    return count
 
 
 def _added(parts: list):
@@ -353,17 +425,13 @@ def _added(parts: list):
 
 
 def _pack_counts(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted hashes as steps, and counts: byte by byte of all numbers, as most bytes but the lowest are zero."""
-    both = np.concatenate([np.diff(hashes, prepend=0), counts]).astype(np.int64)
-    planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) + len(both).to_bytes(8, "little")
+    """Sorted hashes as steps, and counts."""
+    return _pack(np.concatenate([np.diff(hashes, prepend=0), counts]), np.int64)
 
 
 def _unpack_counts(data: bytes):
-    size = int.from_bytes(data[-8:], "little")
-    planes = pa.decompress(data[:-8], decompressed_size=8 * size, codec="zstd", asbytes=True)
-    both = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, size).T).view(np.int64).ravel()
-    return np.cumsum(both[: size // 2]), both[size // 2 :]
+    both = _unpack(data, np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
 _RANGES = "range long, counts binary"
@@ -408,12 +476,15 @@ def _frequent_hashes(least: int):
     return choose
 
 
-def _phrase_counts(longest: int, passing: list):
-    def count(batches):
+def _phrase_counts(longest: int, passing: list, bits: int):
+    def levels(batches):
         for sign, index in _open(batches):
             for size in _levels(index, longest, passing):
                 if size > 1:
-                    yield _spelled(index, sign)
+                    yield _spelled(index, sign, bits)
+
+    def count(batches):
+        yield from _send_spelled(levels(batches))
 
     return count
 
@@ -450,11 +521,14 @@ def count_phrases(docs: DataFrame, longest=3, least=10, text="text", lang="lang"
     with _rows_at_once(spark, TEXTS_AT_ONCE):
         shards = settle(texts.mapInArrow(_indexer(longest), _SHARD))
 
-    def summed(task) -> DataFrame:
-        return shards.mapInArrow(task, _SPELLED).groupBy("key").agg(F.sum("f").alias("f"))
+    def summed(task, least=None) -> DataFrame:
+        packed = shards.mapInArrow(task, _SPELLED_RANGES)
+        ranges = packed.groupBy("range").agg(F.collect_list(F.struct("numbers", "text")).alias("parts")).select("parts")
+        return _apart(ranges.mapInArrow(_sums_spelled(least), _SPELLED))
 
+    spelled_bits = (shards.count() // RANGE_SHARDS).bit_length()
     with _rows_at_once(spark, SHARDS_AT_ONCE):
-        words = settle(_apart(summed(_first_words)))
+        words = settle(summed(_first_words(spelled_bits)))
     totals = settle(words.groupBy("lang").agg(F.sum("f").alias("n")))
     words = words.where(F.col("f") >= least)
     passing = [_bitmap(spark, settle(words.select("lang", "phrase").mapInArrow(_hash_words, "h long")))]
@@ -469,7 +543,7 @@ def count_phrases(docs: DataFrame, longest=3, least=10, text="text", lang="lang"
             hashes = settle(ranges.mapInArrow(_frequent_hashes(least), "h long"))
         passing.append(_bitmap(spark, hashes))
     with _rows_at_once(spark, SHARDS_AT_ONCE):
-        longer = settle(_apart(summed(_phrase_counts(longest, passing)).where(F.col("f") >= least)))
+        longer = settle(summed(_phrase_counts(longest, passing, spelled_bits), least))
     found = Phrases(settle(words.select("lang", "size", "phrase", "f").union(longer)), totals)
     release(shards, longer)
     return found

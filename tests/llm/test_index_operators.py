@@ -208,6 +208,45 @@ def test_packed_counts_of_hashes():
     assert np.array_equal(twice, hashes) and sums.sum() == counts.sum() + counts[::2].sum()
 
 
+def test_spelled_counts_are_sent_several_times_and_by_range(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SPELLED_AT_ONCE", 2000)
+    monkeypatch.setattr(collocations, "RANGE_SHARDS", 1)
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 50)
+    rows = [(i, text, "line\nbreak" if lang == "de" else lang) for i, text, lang in _prose(n=60)]
+    assert _found(collocations.collocations(collocations.count_phrases(_spread(spark, rows, 3)))) == _collocations(rows)
+
+
+@pytest.mark.parametrize("at_once", [1, 64 << 20])
+def test_spelled_counts_leave_a_task_packed(monkeypatch, at_once):
+    """A row for each range, not for each word, in a third of the bytes of the words."""
+    monkeypatch.setattr(collocations, "SPELLED_AT_ONCE", at_once)
+    monkeypatch.setattr(collocations, "SHARD_WORDS", 3000)
+    deal = random.Random(4)
+    texts = [" ".join(f"word{deal.randint(0, 20000)}" for _ in range(1000)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en", "line\nbreak"] * 20)], names=["text", "lang"])
+    shards = list(collocations._indexer(3)([batch]))
+    sent = [r for b in collocations._first_words(2)(shards) for r in b.to_pylist()]
+    assert {r["range"] for r in sent} == set(range(4)) and (len(sent) == 4 if at_once > 1 else 4 < len(sent) <= 4 * len(shards))
+    got = Counter()
+    for r in sent:
+        keys, counts = collocations._unpack_spelled(r["numbers"], r["text"])
+        assert keys.to_pylist() == sorted(set(keys.to_pylist()))
+        for key, n in zip(keys.to_pylist(), counts.tolist()):
+            got[key] += n
+    expected = {f"{lang}\n{p[0]}": n for lang, f in _phrases([(0, t, ["en", "line\nbreak"][i % 2]) for i, t in enumerate(texts)], 1).items() for p, n in f.items()}
+    assert got == expected
+    if at_once > 1:
+        assert sum(len(r["numbers"]) + len(r["text"]) for r in sent) < sum(map(len, expected)) / 3
+
+
+def test_transforms_take_less_room_than_whole_numbers():
+    deal = np.random.default_rng(6)
+    ids = np.minimum(deal.zipf(1.3, 200_000), 60_000).astype(np.int32)
+    assert len(collocations._pack(ids)) < 0.9 * len(pa.compress(ids.tobytes(), codec="zstd", asbytes=True))
+    for given in ids, ids[:1], ids[:0], np.array([-1, (1 << 31) - 1]):
+        assert np.array_equal(collocations._unpack(collocations._pack(given)), given)
+
+
 def test_collocations_of_nothing(spark):
     assert _found(collocations.collocations(collocations.count_phrases(_spread(spark, [], 1)))) == []
     odd = [(None, None, None), (1, "", None), (2, "...", "en")]

@@ -47,9 +47,10 @@ SHARDS_AT_ONCE = 1
 #: Hashes a task adds up before it sends them, and words of the corpus for each range of hashes, about 100 MB of task memory.
 HASHES_AT_ONCE = 3 << 19
 RANGE_WORDS = 1 << 21
-#: Bytes of spelled counts a task adds up before it sends them, about 200 MB of task memory, and shards of the corpus for each range.
-SPELLED_AT_ONCE = 64 << 20
+#: Bytes of spelled counts a task adds up before it sends them, about 150 MB of task memory, and shards of the corpus for each range.
+SPELLED_AT_ONCE = 48 << 20
 RANGE_SHARDS = 16
+_DEALS = 8  # of ranges, added up one after the other
 _BUCKET = 32768  # bits of one value of bitmap_construct_agg
 
 _U = np.uint64
@@ -339,10 +340,18 @@ def _spelled(index, sign, bits: int) -> pa.Table:
     return pa.table({"range": of, "key": key, "f": sign * count})
 
 
-def _added_spelled(parts: list) -> pa.Table:
-    """Counts by range and spelling."""
-    added = pa.concat_tables(parts).group_by(["range", "key"], use_threads=False).aggregate([("f", "sum")])
-    return added.rename_columns({"f_sum": "f"}).select(["range", "key", "f"])
+def _added_spelled(parts: list) -> list:
+    """Counts by range and spelling, of some ranges in each table, since adding up takes memory."""
+    table = pa.concat_tables(parts)
+    deal = pc.bit_wise_and(table["range"], _DEALS - 1)
+    added = []
+    for j in range(_DEALS):
+        some = table.filter(pc.equal(deal, j))
+        if some.num_rows:
+            some = some.group_by(["range", "key"], use_threads=False).aggregate([("f", "sum")])
+            added.append(some.rename_columns({"f_sum": "f"}).select(["range", "key", "f"]))
+        pa.default_memory_pool().release_unused()
+    return added
 
 
 def _pack_spelled(keys: pa.Array, counts: np.ndarray):
@@ -377,12 +386,15 @@ def _send_spelled(tables):
         if table.num_rows:
             parts.append(table)
         if sum(t.nbytes for t in parts) > SPELLED_AT_ONCE:
-            parts = [_added_spelled(parts)]
+            parts = _added_spelled(parts)
             # sent if adding up made little of it
-            if 3 * parts[0].nbytes > 2 * SPELLED_AT_ONCE:
-                yield emit(parts.pop())
+            if 3 * sum(t.nbytes for t in parts) > 2 * SPELLED_AT_ONCE:
+                while parts:
+                    yield emit(parts.pop())
     if parts:
-        yield emit(_added_spelled(parts))
+        parts = _added_spelled(parts)
+        while parts:
+            yield emit(parts.pop())
 
 
 def _sums_spelled(least: int | None):
@@ -392,10 +404,11 @@ def _sums_spelled(least: int | None):
         for batch in batches:
             for packed in batch.column(0):
                 parts = [_unpack_spelled(*(x.as_py() for x in row)) for row in zip(*packed.values.flatten())]
-                table = _added_spelled([pa.table({"range": np.zeros(len(f), np.int32), "key": key, "f": f}) for key, f in parts])
-                if least is not None:
-                    table = table.filter(pc.greater_equal(table["f"], least))
-                yield from table.select(["key", "f"]).to_batches()
+                parts = [pa.table({"range": np.zeros(len(f), np.int32), "key": key, "f": f}) for key, f in parts]
+                for table in _added_spelled(parts):
+                    if least is not None:
+                        table = table.filter(pc.greater_equal(table["f"], least))
+                    yield from table.select(["key", "f"]).to_batches()
 
     return add
 

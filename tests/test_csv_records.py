@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from mendlist.sources import csv_records as C
@@ -88,3 +89,68 @@ def test_a_changed_split_is_an_error():
     for block in (("f", 50), ("g", 0)):
         with pytest.raises(RuntimeError, match="first pass"):
             C._beginning(files, block)
+
+
+def test_lines_of_whole_cells_are_told_by_column():
+    """What is found for whole columns of lines is what a look at each line finds."""
+    deal = random.Random(3)
+    lines = ["".join(deal.choices('",ab \ré', k=deal.randint(0, 9))) for _ in range(3000)]
+    for at in range(0, 3000, 20):
+        for inside in (False, True):
+            state, expected = inside, []
+            for i, line in enumerate(lines[at : at + 20]):
+                after = C.ends_inside(line, state)
+                if after != state:
+                    expected.append((i, after))
+                state = after
+            found = C._Lines(pa.array(lines[at : at + 20], pa.string()))
+            assert list(found.turns(inside)) == expected and found.end(inside) == state
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_plain_blocks_are_read_as_they_are(spark, tmp_path, monkeypatch, end):
+    """Lines of blocks without quoted line breaks are not joined in Python; rows are numbered through all files."""
+    joined = tmp_path / "joined"
+    whole = C._joiner
+
+    def noted(beginnings):
+        records = whole(beginnings)
+
+        def note(batches):
+            for r in records(batches):
+                with open(joined, "a") as f:
+                    f.write("".join(f"{p}\n" for p in r.column(0).to_pylist()))
+                yield r
+
+        return note
+
+    monkeypatch.setattr(C, "_joiner", noted)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    plain = [f'{i},"say ""{i}"", then"' for i in range(3000)]
+    (folder / "a.csv").write_text(end.join(["k,t", *plain, ""]), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        one = readers.read_csv(spark, str(folder)).collect()
+        assert not joined.exists()
+        (folder / "b.csv").write_text(end.join(["k,t", *[f'b{i},"two{end}lines"' for i in range(50)], ""]), newline="")
+        both = readers.read_csv(spark, str(folder)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(one) == 3000 and len({r._file.start for r in one}) > 3
+    assert [r.t for r in sorted(one, key=lambda r: r._row)] == [f'say "{i}", then' for i in range(3000)]
+    assert [r.k for r in sorted(both, key=lambda r: r._row)] == [*map(str, range(3000)), *[f"b{i}" for i in range(50)]]
+    assert {r.t for r in both if r.k[0] == "b"} == {"two\nlines"}
+    # of the second file only; a.csv is the first file
+    assert set(joined.read_text().split()) == {"1"}
+
+
+def test_plain_blocks_must_be_those_of_the_first_pass(spark):
+    schema = "path string, start long, number long, value string, file int, plain boolean, returns boolean, first long, n long, before long"
+    good = ("f", 0, 7, "a,b\r", 0, True, True, 5, 4, 100)
+    got = C._whole_lines(spark.createDataFrame([good], schema)).first()
+    assert (got.line, got.record, got.before) == (2, "a,b", 100)
+    for bad in (("f", 9, 7, "a", None, None, None, None, None, None), ("f", 0, 9, "a", 0, True, False, 5, 4, 0)):
+        with pytest.raises(Exception, match="first pass"):
+            C._whole_lines(spark.createDataFrame([bad], schema)).collect()

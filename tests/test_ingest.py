@@ -185,3 +185,40 @@ def test_annotations_lie_by_review(spark, tmp_path):
     for name in {r.f for r in rows}:
         keys = [(r.review_id, r.seq) for r in rows if r.f == name]
         assert keys == sorted(keys)
+
+
+def test_rows_are_parsed_and_hashed_once(spark, csv_path):
+    """Keys are stored with the rows; ids are those worked out from the cells."""
+    plain = readers.read_annotated_csv(spark, csv_path)
+    keyed = readers.read_annotated_csv(spark, csv_path, derive=I.with_keys)
+    assert {I.REVIEW_KEY, I.SHORT} <= set(keyed.columns) - set(plain.columns)
+    for a, b in zip(csv_tables(plain), csv_tables(keyed, ordered=True)):
+        names = [c for c in a.columns if c != "seq"]
+        assert b.columns == a.columns and sorted(map(str, a.select(names).collect())) == sorted(map(str, b.select(names).collect()))
+
+
+def test_parts_of_ids_are_even_and_in_order():
+    first, spread = writers._shares({0: 3, 1: 4, 5: 30, 6: 1, 9: 2}, 16, 5)
+    assert spread == [1, 1, 1, 1, 1, 4, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]
+    assert first == sorted(first) and first[5] == first[4] + 1 and first[6] == first[5] + 4 and first[15] == first[6]
+    assert writers._shares({}, 16, 1) == ([0] * 16, [1] * 16)
+
+
+def test_a_large_review_is_dealt_to_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(writers, "FILE_ROWS", 100)
+    rows = spark.range(2000).selectExpr(
+        "sha2(cast(if(id < 1000, 0, id) as string), 256) as review_id", "id as seq", "sha2(concat('a', id), 256) as annotation_id")
+    stored = rows.where("id % 3 = 0").select("review_id", "annotation_id")
+    for known, kept in ((None, range(2000)), (stored, [i for i in range(2000) if i % 3])):
+        got = writers._fresh_by_review(rows, known).withColumn("p", F.spark_partition_id()).collect()
+        assert sorted(r.seq for r in got) == list(kept)
+        parts = {}
+        for r in got:
+            parts.setdefault(r.p, []).append((r.review_id, r.seq))
+        assert all(p == sorted(p) for p in parts.values()) and max(map(len, parts.values())) < 400
+        assert len({r.p for r in got if r.seq < 1000}) > 5
+        small = {}
+        for r in got:
+            if r.seq >= 1000:
+                small.setdefault(r.review_id, set()).add(r.p)
+        assert all(len(p) == 1 for p in small.values())
